@@ -45,9 +45,8 @@ def _letters() -> np.ndarray:
 _code_table: list[np.ndarray] = []
 
 
-def _features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(place of the gram, bucket, order) for each order over the joined texts; a gram within one text
-    only is kept by the caller, who knows where texts begin."""
+def _features(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """(order, bucket of the gram at each place) over the joined texts; the caller drops grams across two texts."""
     if not _code_table:
         _code_table.append(_letters())
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -74,19 +73,19 @@ def _runs(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 def present(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of the distinct features of every text; with ``wanted`` (flag a bucket) only of those."""
-    rows, buckets = [], []
+    found = []
     for first, run in _runs(texts):
         ends = np.cumsum([len(t) for t in run])
+        own = []
         for k, bucket in _features(run):
             at = np.flatnonzero(wanted[bucket]) if wanted is not None else np.arange(len(bucket))
-            row = np.searchsorted(ends, at, side="right")
+            row = np.searchsorted(ends, at, side="right") if wanted is not None else np.repeat(np.arange(len(run)), np.diff(ends, prepend=0))[: len(at)]
             inside = at + k <= ends[row]
-            both = np.unique(((row[inside] + first) << BUCKET_BITS) | bucket[at[inside]])
-            rows.append(both >> BUCKET_BITS)
-            buckets.append(both & ((1 << BUCKET_BITS) - 1))
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    both = np.unique((np.concatenate(rows) << BUCKET_BITS) | np.concatenate(buckets))
+            own.append(((row[inside] + first) << BUCKET_BITS) | bucket[at[inside]])
+        both = np.concatenate(own) if own else np.empty(0, np.int64)
+        both.sort()
+        found.append(both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both)
+    both = np.concatenate(found) if found else np.empty(0, np.int64)
     return both >> BUCKET_BITS, both & ((1 << BUCKET_BITS) - 1)
 
 
