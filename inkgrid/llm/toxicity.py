@@ -111,7 +111,7 @@ class Model:
         return score
 
 
-def train_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, target: np.ndarray, sample_weight: np.ndarray, n_columns: int, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
+def train_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, target: np.ndarray, sample_weight: np.ndarray, n_columns: int, l2: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression by Adam over the whole sparse matrix."""
     w, b, n = np.zeros(n_columns), 0.0, len(target)
     m, v = np.zeros(n_columns + 1), np.zeros(n_columns + 1)
@@ -138,7 +138,7 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = 4000, max_features: int = 50_000, min_z: float = 2.0, min_texts: int = 3) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = 4000, max_features: int = 20_000, min_z: float = 2.5, min_texts: int = 3) -> Model:
     """Learn from a bounded sample. The driver gets the sample's size in ids, ``max_features`` ratios and
     the sample's chosen features."""
     spark = documents.sparkSession
