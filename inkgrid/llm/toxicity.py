@@ -111,7 +111,7 @@ class Model:
         return score
 
 
-def train_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, target: np.ndarray, sample_weight: np.ndarray, n_columns: int, l2: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
+def train_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, target: np.ndarray, sample_weight: np.ndarray, n_columns: int, l2: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression by Adam over the whole sparse matrix."""
     w, b, n = np.zeros(n_columns), 0.0, len(target)
     m, v = np.zeros(n_columns + 1), np.zeros(n_columns + 1)
