@@ -3,7 +3,7 @@
 Both public vocabularies split a text into pre-tokens that never reach from a visible character
 into a following blank, so the ids of a text are the ids of its chunks ``blanks + visible run`` in
 order. Each distinct chunk goes through the library once per worker; texts with white space other
-than blank and newline go through it whole.
+than blank and newline, or with the marks of special tokens, go through it whole.
 """
 
 from __future__ import annotations
@@ -11,23 +11,65 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import filterfalse
+from functools import partial
+from itertools import compress
+from operator import is_
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
 #: A lone newline; blanks and a word before a full stop or comma; blanks and a visible run; blanks.
 _CHUNK = re.compile(rf"(?<![ \n])\n(?=[^ \n])|[ \n]*+[{_LETTER}]++(?=[.,])|[ \n]*+[^ \n]++|[ \n]+")
-#: The same without blanks, for vocabularies that drop white space.
-_BARE_CHUNK = re.compile(rf"[{_LETTER}]++(?=[.,])|[^ \n]++")
-_OTHER_SPACE = re.compile("[\t\r\f\v\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
-#: Letters whose lower case depends on their neighbours or is more than one letter.
-_ODD_CASE = re.compile("[Σİ]|<\\|")
+#: White space that the cuts do not know, special tokens, and the mark used for cutting.
+_WHOLE = re.compile("[\x01\t\r\f\v\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|<\\|")
+#: Places where plain cutting before blanks, newlines, full stops and commas would be wrong.
+_UNEVEN = re.compile(rf"(?<![{_LETTER}0-9])[.,]|[ \n](?:[ \n]|\Z)")
+_WORD = re.compile(rf" ?[{_LETTER}]+")
 #: Chunks kept per worker and generation; the generation before the current one is kept too.
-MEMORY = 500_000
+MEMORY = 800_000
 #: Longest chunk that is kept.
 LONGEST = 48
 
+_is_none = partial(is_, None)
+#: Class of each Latin-1 character: 1 letter or digit, 2 full stop or comma, 3 blank or newline, 4 other white space or control.
+_CLASS = np.zeros(256, np.uint8)
+for _c in range(256):
+    if re.match(f"[{_LETTER}0-9]", chr(_c)):
+        _CLASS[_c] = 1
+    elif chr(_c) in ".,":
+        _CLASS[_c] = 2
+    elif chr(_c) in " \n":
+        _CLASS[_c] = 3
+    elif _WHOLE.match(chr(_c)):
+        _CLASS[_c] = 4
+PLAIN, UNEVEN, WHOLE = 0, 1, 2
+
+
+def survey(texts: list[str]) -> np.ndarray:
+    """How each text may be cut: as the patterns say, but for Latin-1 texts by class tables over all of them at once."""
+    joined = "\n".join(texts)
+    try:
+        raw = np.frombuffer(joined.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        raw = None
+    if raw is None or "<|" in joined:
+        if len(texts) > 1:
+            half = len(texts) // 2
+            return np.concatenate((survey(texts[:half]), survey(texts[half:])))
+        return np.array([WHOLE if _WHOLE.search(joined) else UNEVEN if _UNEVEN.search(joined) else PLAIN])
+    kind = np.concatenate(([np.uint8(3)], _CLASS[raw], [np.uint8(3)]))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    out = np.zeros(len(texts), np.int64)
+    odd = np.flatnonzero(((kind[1:] == 2) & (kind[:-1] != 1)) | ((kind[1:] == 3) & (kind[:-1] == 3)))
+    # a place between two texts says that one ends or the other begins with a blank: both count
+    for at in (odd, odd - 1):
+        out[np.searchsorted(ends, np.clip(at, 0, len(joined)), side="right").clip(0, len(texts) - 1)] = UNEVEN
+    out[np.searchsorted(ends, np.flatnonzero(kind[1:-1] == 4), side="right")] = WHOLE
+    return out
+
+
 _encoders: dict[str, "TextEncoder"] = {}
 
 
@@ -38,8 +80,13 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
         #: White space leaves no ids and case is folded: chunks need neither.
         self.folds = not self._library([" \n "])[0] and self._library(["A"]) == self._library(["a"])
+        #: ids that end a word (a suffix says so) or that begin one (a leading blank is part of the id).
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for piece, i in vocabulary.items():
+            self.edge[i] = piece.endswith("</w>") if self.folds else piece.startswith("Ġ")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -47,25 +94,58 @@ class TextEncoder:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in encoded]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Plain words, many in one text: the library's cost for a text is that of many words. The ids are
+        cut at word edges; should their number not be that of the words, each goes alone."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), 500):
+            part = words[lo : lo + 500]
+            ids = np.frombuffer(self._library([(" " if self.folds else "").join(part)])[0], "<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(part):
+                out += self._library(part)
+                continue
+            cuts = [0, *(edges + 1).tolist()] if self.folds else [*edges.tolist(), len(ids)]
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def _cut(self, text: str, uneven: bool) -> list[str]:
+        if self.folds and not ("Σ" in text or "İ" in text):
+            text = text.lower()
+        if uneven:
+            return _CHUNK.findall(text)
+        if self.folds:
+            return text.replace(",", " ,").replace(".", " .").split()
+        marked = text.replace(" ", "\x01 ").replace(",", "\x01,").replace(".", "\x01.").replace("\n", "\x01\n\x01")
+        return marked.split("\x01")
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Chunks not met before go through the library together."""
-        whole = {i for i, t in enumerate(texts) if t and _OTHER_SPACE.search(t)}
-        find = _BARE_CHUNK.findall if self.folds else _CHUNK.findall
-        cut = [[] if i in whole else find(t.lower() if self.folds and not _ODD_CASE.search(t) else t) for i, t in enumerate(texts)]
-        met: dict[str, bytes] = self.young
-        lacking: set[str] = set()
-        for chunks in cut:
-            lacking.update(filterfalse(met.__contains__, chunks))
+        if not texts:
+            return []
+        kinds = survey(texts).tolist()
+        whole = [i for i, k in enumerate(kinds) if k == WHOLE]
+        cut = [[] if k == WHOLE or not t else self._cut(t, k == UNEVEN) for t, k in zip(texts, kinds, strict=True)]
+        met = self.young
+        found = [list(map(met.get, chunks)) for chunks in cut]
+        gaps = [i for i, ids in enumerate(found) if None in ids]
         long_ones: list[str] = []
-        if lacking:
-            if self.old:
-                for c in [c for c in lacking if c in self.old]:
-                    met[c] = self.old[c]
-                    lacking.discard(c)
-            new = list(lacking)
-            met.update(zip(new, self._library(new), strict=True))
-            long_ones = [c for c in new if len(c) > LONGEST]
-        out = [b"".join(map(met.__getitem__, c)) for c in cut]
+        if gaps:
+            lacking: set[str] = set()
+            for i in gaps:
+                lacking.update(compress(cut[i], map(_is_none, found[i])))
+            for c in [c for c in lacking if c in self.old]:
+                met[c] = self.old[c]
+                lacking.discard(c)
+            words = [c for c in lacking if (self.folds or c[:1] == " ") and _WORD.fullmatch(c)]
+            met.update(zip(words, self._words(words), strict=True))
+            others = list(lacking.difference(words))
+            met.update(zip(others, self._library(others), strict=True))
+            long_ones = [c for c in lacking if len(c) > LONGEST]
+            for i in gaps:
+                found[i] = [met[c] if ids is None else ids for c, ids in zip(cut[i], found[i], strict=True)]
+        out = [b"".join(ids) for ids in found]
         for i in whole:
             out[i] = self._library([texts[i]])[0]
         for c in long_ones:
