@@ -113,18 +113,23 @@ _SHARDS = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType(
 _DIGEST = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
 
+def _moved_as(width: int) -> str:
+    return "<u2" if width <= 16 else "<u4"
+
+
 def encode_documents(documents: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
-    """doc_id, ids (bit-packed), n, tie: each text encoded where it was read, so that ids and not texts are shuffled."""
+    """doc_id, ids (16 bits each if that is enough, else 32), n, tie: each text encoded where it was read, so that ids and not texts are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.uint32(end_id).tobytes()
+        kind = _moved_as(width)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 packed, n = [], []
                 for ids in enc.encode_many(part.column("text").to_pylist()):
                     got = np.frombuffer(ids + end, "<u4")
-                    packed.append(pack_bits(got, width))
+                    packed.append(got.astype(kind).tobytes())
                     n.append(len(got))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary()), pa.array(n, pa.int64()), part.column("tie")], names=_ENCODED.names)
 
@@ -144,15 +149,15 @@ def write_shards(documents: DataFrame, path: str, tokenizer: str, vocabulary: in
         def flush() -> pa.RecordBatch:
             nonlocal seq, inside, held, docs, counts
             starts = np.concatenate(([0], np.cumsum(counts)))
-            shard = build_shard(np.concatenate(held), starts, np.array(docs, np.int64), width, block_ids)
+            shard = build_shard(np.frombuffer(b"".join(held), _moved_as(width)), starts, np.array(docs, np.int64), width, block_ids)
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([inside], pa.int64()), pa.array([int(starts[-1])], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([shard], pa.binary())], names=_SHARDS.names)
             seq, inside, held, docs, counts = seq + 1, inside + int(starts[-1]), [], [], []
             return row
 
         size = 0
         for batch in batches:
-            for d, ids, n in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("n").to_pylist(), strict=True):
-                held.append(unpack_bits(ids.as_buffer(), width, n))
+            for d, ids, n in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                held.append(ids)
                 docs.append(d)
                 counts.append(n)
                 size += n

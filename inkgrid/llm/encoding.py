@@ -11,9 +11,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import partial
-from itertools import compress
-from operator import is_
 
 import numpy as np
 
@@ -29,10 +26,21 @@ _UNEVEN = re.compile(rf"(?<![{_LETTER}0-9])[.,]|[ \n](?:[ \n]|\Z)")
 _WORD = re.compile(rf" ?[{_LETTER}]+")
 #: Chunks kept per worker and generation; the generation before the current one is kept too.
 MEMORY = 800_000
+#: Chunks of the small memory asked first: the earliest ones, which are mostly the common ones.
+HOT = 30_000
 #: Longest chunk that is kept.
 LONGEST = 48
 
-_is_none = partial(is_, None)
+
+class _Memory(dict):
+    """Chunk -> ids; what is asked for in vain is noted in ``lacking``, once, and reads as None."""
+
+    lacking: dict[str, None]
+
+    def __missing__(self, chunk: str) -> None:
+        self.lacking[chunk] = None
+
+
 #: Class of each Latin-1 character: 1 letter or digit, 2 full stop or comma, 3 blank or newline, 4 other white space or control.
 _CLASS = np.zeros(256, np.uint8)
 for _c in range(256):
@@ -87,7 +95,8 @@ class TextEncoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
             self.edge[i] = piece.endswith("</w>") if self.folds else piece.startswith("Ġ")
-        self.young: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {}
+        self.young = _Memory()
         self.old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -127,31 +136,33 @@ class TextEncoder:
         kinds = survey(texts).tolist()
         whole = [i for i, k in enumerate(kinds) if k == WHOLE]
         cut = [[] if k == WHOLE or not t else self._cut(t, k == UNEVEN) for t, k in zip(texts, kinds, strict=True)]
-        met = self.young
-        found = [list(map(met.get, chunks)) for chunks in cut]
-        gaps = [i for i, ids in enumerate(found) if None in ids]
-        long_ones: list[str] = []
-        if gaps:
-            lacking: set[str] = set()
-            for i in gaps:
-                lacking.update(compress(cut[i], map(_is_none, found[i])))
+        hot, met = self.hot, self.young
+        lacking = met.lacking = {}
+        found = [[ids if ids is not None else met[c] for c, ids in zip(chunks, map(hot.get, chunks), strict=True)] for chunks in cut]
+        if lacking:
             for c in [c for c in lacking if c in self.old]:
                 met[c] = self.old[c]
-                lacking.discard(c)
+                del lacking[c]
             words = [c for c in lacking if (self.folds or c[:1] == " ") and _WORD.fullmatch(c)]
-            met.update(zip(words, self._words(words), strict=True))
-            others = list(lacking.difference(words))
-            met.update(zip(others, self._library(others), strict=True))
-            long_ones = [c for c in lacking if len(c) > LONGEST]
-            for i in gaps:
-                found[i] = [met[c] if ids is None else ids for c, ids in zip(cut[i], found[i], strict=True)]
+            new = dict(zip(words, self._words(words), strict=True))
+            others = [c for c in lacking if c not in new]
+            new.update(zip(others, self._library(others), strict=True))
+            met.update(new)
+            for chunks, ids in zip(cut, found, strict=True):
+                at = -1
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    ids[at] = met[chunks[at]]
+            for c in new:
+                if len(c) > LONGEST:
+                    del met[c]
+                elif len(hot) < HOT:
+                    hot[c] = new[c]
         out = [b"".join(ids) for ids in found]
         for i in whole:
             out[i] = self._library([texts[i]])[0]
-        for c in long_ones:
-            del met[c]
         if len(met) > MEMORY:
-            self.old, self.young = met, {}
+            self.old, self.young = met, _Memory()
         return out
 
     def encode(self, text: str) -> bytes:
