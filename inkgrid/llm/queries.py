@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bitpack import op9_bitpacked_ids
+from .license_scan import op8_license_scan
+from .license_scan import oracle as license_sql
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op10_vector_packing
 from .suffix_dedup import op6_suffix_dedup
@@ -15,8 +17,8 @@ from .winnow import op5_winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op5_winnowing, op6_suffix_dedup, op7_nb_ngram_toxicity, op9_bitpacked_ids, op10_vector_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op5_winnowing, op6_suffix_dedup, op7_nb_ngram_toxicity, op8_license_scan, op9_bitpacked_ids, op10_vector_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_scan": license_sql()}
