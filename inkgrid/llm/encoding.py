@@ -81,6 +81,40 @@ def survey(texts: list[str]) -> np.ndarray:
 _encoders: dict[str, "TextEncoder"] = {}
 
 
+class ChunkMemory:
+    """Joins the ids of chunks; ``solve`` gives those of chunks not met before, many at once."""
+
+    def __init__(self, solve):
+        self.solve = solve
+        self.hot: dict[str, bytes] = {}
+        self.young = _Memory()
+        self.old: dict[str, bytes] = {}
+
+    def join(self, cut: list[list[str]]) -> list[bytes]:
+        hot, met = self.hot, self.young
+        lacking = met.lacking = {}
+        found = [[ids if ids is not None else met[c] for c, ids in zip(chunks, map(hot.get, chunks), strict=True)] for chunks in cut]
+        if lacking:
+            for c in [c for c in lacking if c in self.old]:
+                met[c] = self.old[c]
+                del lacking[c]
+            new = self.solve(list(lacking))
+            met.update(new)
+            for chunks, ids in zip(cut, found, strict=True):
+                at = -1
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    ids[at] = met[chunks[at]]
+            for c in new:
+                if len(c) > LONGEST:
+                    del met[c]
+                elif len(hot) < HOT:
+                    hot[c] = new[c]
+        if len(met) > MEMORY:
+            self.old, self.young = met, _Memory()
+        return [b"".join(ids) for ids in found]
+
+
 class TextEncoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -95,9 +129,7 @@ class TextEncoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
             self.edge[i] = piece.endswith("</w>") if self.folds else piece.startswith("Ġ")
-        self.hot: dict[str, bytes] = {}
-        self.young = _Memory()
-        self.old: dict[str, bytes] = {}
+        self.memory = ChunkMemory(self._solve)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -119,6 +151,13 @@ class TextEncoder:
             out += [data[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
+    def _solve(self, chunks: list[str]) -> dict[str, bytes]:
+        words = [c for c in chunks if (self.folds or c[:1] == " ") and _WORD.fullmatch(c)]
+        new = dict(zip(words, self._words(words), strict=True))
+        others = [c for c in chunks if c not in new]
+        new.update(zip(others, self._library(others), strict=True))
+        return new
+
     def _cut(self, text: str, uneven: bool) -> list[str]:
         if self.folds and not ("Σ" in text or "İ" in text):
             text = text.lower()
@@ -136,33 +175,9 @@ class TextEncoder:
         kinds = survey(texts).tolist()
         whole = [i for i, k in enumerate(kinds) if k == WHOLE]
         cut = [[] if k == WHOLE or not t else self._cut(t, k == UNEVEN) for t, k in zip(texts, kinds, strict=True)]
-        hot, met = self.hot, self.young
-        lacking = met.lacking = {}
-        found = [[ids if ids is not None else met[c] for c, ids in zip(chunks, map(hot.get, chunks), strict=True)] for chunks in cut]
-        if lacking:
-            for c in [c for c in lacking if c in self.old]:
-                met[c] = self.old[c]
-                del lacking[c]
-            words = [c for c in lacking if (self.folds or c[:1] == " ") and _WORD.fullmatch(c)]
-            new = dict(zip(words, self._words(words), strict=True))
-            others = [c for c in lacking if c not in new]
-            new.update(zip(others, self._library(others), strict=True))
-            met.update(new)
-            for chunks, ids in zip(cut, found, strict=True):
-                at = -1
-                for _ in range(ids.count(None)):
-                    at = ids.index(None, at + 1)
-                    ids[at] = met[chunks[at]]
-            for c in new:
-                if len(c) > LONGEST:
-                    del met[c]
-                elif len(hot) < HOT:
-                    hot[c] = new[c]
-        out = [b"".join(ids) for ids in found]
+        out = self.memory.join(cut)
         for i in whole:
             out[i] = self._library([texts[i]])[0]
-        if len(met) > MEMORY:
-            self.old, self.young = met, _Memory()
         return out
 
     def encode(self, text: str) -> bytes:
