@@ -325,11 +325,12 @@ def bucket_groups(rows: DataFrame, least: int, roots_only: bool, held: int = 1 <
     return placed.mapInArrow(run, _GROUPS)
 
 
-_KEPT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
+_KEPT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())])
 
 
-def cut_out(texts: DataFrame, carry: list[str], with_bytes: bool) -> DataFrame:
-    """``carry`` columns and the outcome, from ``text`` and ``marks`` (array of lo, hi in bytes)."""
+def cut_out(texts: DataFrame, carry: list[str], with_text: bool) -> DataFrame:
+    """``carry`` columns and the outcome, from ``text`` and ``marks`` (array of lo, hi in bytes). ``kept`` is the
+    remaining text, if asked for; of a character cut in two, the rest is dropped."""
     schema = T.StructType([texts.schema[c] for c in carry] + _KEPT.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,16 +339,16 @@ def cut_out(texts: DataFrame, carry: list[str], with_bytes: bool) -> DataFrame:
             for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks"), strict=True):
                 data = text.encode()
                 if not marks.is_valid or not len(marks):
-                    rows.append((len(data), 0, 0, hashlib.sha256(data).hexdigest(), data if with_bytes else None))
+                    rows.append((len(data), 0, 0, hashlib.sha256(data).hexdigest(), text if with_text else None))
                     continue
                 lo, hi = (marks.values.field(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
                 edge = np.bincount(lo, minlength=len(data) + 1) - np.bincount(hi, minlength=len(data) + 1)
                 gone = np.cumsum(edge)[:-1] > 0
                 left = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(data), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left if with_bytes else None))
+                rows.append((len(data), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.names)
 
     return texts.select(*carry, "text", "marks").mapInArrow(run, schema)
@@ -386,8 +387,8 @@ def repeat_groups(documents: DataFrame, least: int = LEAST, gram: int = GRAM, cr
     return bucket_groups(_buckets(texts, least, gram, crowd)[1], least, roots_only=False)
 
 
-def remove_repeats(documents: DataFrame, carry: list[str], least: int = LEAST, gram: int = GRAM, crowd: int = CROWD, with_bytes: bool = False) -> DataFrame:
-    """``carry`` columns of every row, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
+def remove_repeats(documents: DataFrame, carry: list[str], least: int = LEAST, gram: int = GRAM, crowd: int = CROWD, with_text: bool = False) -> DataFrame:
+    """``carry`` columns of every row, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text."""
     if not 8 <= gram <= least <= 255 + gram:
         raise ValueError("gram must be 8 bytes or more, and least - gram at most 255")
     ordered = _ordered(documents)
@@ -398,7 +399,7 @@ def remove_repeats(documents: DataFrame, carry: list[str], least: int = LEAST, g
     gathered = marks.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     others = [c for c in carry if c not in ("doc", "text", "marks")]
     rows = ordered.select(F.col("_doc").alias("doc"), F.col("_text").alias("text"), *others)
-    return cut_out(rows.join(gathered, "doc", "left"), others, with_bytes)
+    return cut_out(rows.join(gathered, "doc", "left"), others, with_text)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
