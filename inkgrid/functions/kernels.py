@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the kernels.
 SSIM_WINDOW, SSIM_K1, SSIM_K2, SSIM_CROP = 7, 0.01, 0.03, 3
@@ -314,7 +315,7 @@ def _grid(flat, h, w) -> np.ndarray:
     return np.asarray(flat, np.float64).reshape(int(h), int(w))
 
 
-def pairwise(kernel, kind: str = "double"):
+def pairwise(kernel, kind: T.DataType = T.DoubleType()):
     """Arrow function (a, b, height, width) of a kernel on two flat masks."""
 
     @F.pandas_udf(kind)
@@ -324,7 +325,7 @@ def pairwise(kernel, kind: str = "double"):
     return run
 
 
-def single(kernel, kind: str = "double"):
+def single(kernel, kind: T.DataType = T.DoubleType()):
     """Arrow function (a, height, width) of a kernel on one flat mask."""
 
     @F.pandas_udf(kind)
@@ -338,4 +339,4 @@ mask_iou_column = pairwise(mask_iou)
 ssim_column = pairwise(ssim)
 blended_score_column = pairwise(blended_score)
 stroke_width_column = single(lambda a: stroke_width(a > 0.5))
-jpeg_sampling_column = F.pandas_udf(lambda s: s.map(jpeg_sampling, na_action="ignore"), "string")
+jpeg_sampling_column = F.pandas_udf(lambda s: s.map(jpeg_sampling, na_action="ignore"), T.StringType())
