@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from .common import scratch_path, shuffle_width, table, text_or_empty, vocabulary_path
 from .encoding import encoder
+from .memory import task
 
 MAGIC = b"BITIDS01"
 _HEAD = struct.Struct("<8sIIQQQ")
@@ -134,7 +135,7 @@ def encode_documents(documents: DataFrame, tokenizer: str, end_id: int, width: i
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary()), pa.array(n, pa.int64()), part.column("tie")], names=_ENCODED.names)
 
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), text_or_empty().alias("text"))
-    return rows.withColumn("tie", F.xxhash64("text")).mapInArrow(run, _ENCODED)
+    return rows.withColumn("tie", F.xxhash64("text")).mapInArrow(task("encoding")(run), _ENCODED)
 
 
 def write_shards(documents: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int, shard_ids: int = 1 << 20, block_ids: int = 4096) -> None:
@@ -177,7 +178,7 @@ def write_shards(documents: DataFrame, path: str, tokenizer: str, vocabulary: in
         edges = F.array(*[F.lit(b).cast("long") for b in bounds])
         target = F.size(F.filter(edges, lambda b: b <= F.col("doc_id")))
     placed = encoded.withColumn("_to", target.cast("int")).repartitionById(len(bounds) + 1, F.col("_to")).drop("_to")
-    placed.sortWithinPartitions("doc_id", "tie").mapInArrow(run, _SHARDS).write.parquet(path)
+    placed.sortWithinPartitions("doc_id", "tie").mapInArrow(task("encoding")(run), _SHARDS).write.parquet(path)
 
 
 def part_bases(spark: SparkSession, path: str) -> DataFrame:
@@ -206,7 +207,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 null = shard.doc_ids == _NULL_ID
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64(), mask=null), pa.array(base + shard.starts[:-1]), pa.array(np.diff(shard.starts)), pa.array(crc, pa.int64())], names=_DIGEST.names)
 
-    return shards(spark, path).select("base", "shard").mapInArrow(run, _DIGEST)
+    return shards(spark, path).select("base", "shard").mapInArrow(task("encoding")(run), _DIGEST)
 
 
 def read_ids(spark: SparkSession, path: str, lo: int, hi: int) -> np.ndarray:

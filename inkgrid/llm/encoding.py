@@ -14,6 +14,8 @@ from array import array
 
 import numpy as np
 
+from . import memory
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
@@ -25,7 +27,7 @@ _WHOLE = re.compile("[\x01\t\r\f\v\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠
 _UNEVEN = re.compile(rf"(?<![{_LETTER}0-9])[.,]|[ \n](?:[ \n]|\Z)")
 _WORD = re.compile(rf" ?[{_LETTER}]+")
 #: Chunks kept per worker and generation; the generation before the current one is kept too.
-MEMORY = 800_000
+MEMORY = 600_000
 #: Chunks of the small memory asked first: the earliest ones, which are mostly the common ones.
 HOT = 30_000
 #: Longest chunk that is kept.
@@ -184,6 +186,9 @@ class TextEncoder:
         return self.encode_many([text])[0]
 
 
+memory.remembers("encoding", _encoders.clear)
+
+
 def encoder(path: str) -> TextEncoder:
     """One encoder per worker process and vocabulary."""
     if path not in _encoders:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table, text_or_empty
+from .memory import task
 from .textkit import mix, utf8_chunks, word_hashes
 
 SIDES = (-2, -1, 1, 2)
@@ -175,7 +176,7 @@ def build_vocabulary(documents: DataFrame, size: int, hashed: int) -> Vocabulary
         if held:
             yield from rows()
 
-    counts = _texts(documents).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = _texts(documents).mapInArrow(task("masked_lm")(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(size - hashed).select("word").toArrow().column("word").to_numpy().view(np.uint64)
     order = np.argsort(top)
     return Vocabulary(top[order], order.astype(np.int64), size)
@@ -235,8 +236,8 @@ def train_round(documents: DataFrame, vocabulary: Vocabulary, weights: np.ndarra
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t[0] for t in totals.values()], pa.int64()), pa.array([t[1].tobytes() for t in totals.values()], pa.binary())], names=["piece", "seen", "sums"])
 
-    learnt = _texts(documents).mapInArrow(run, "piece int, part int, seen long, sums binary")
-    summed = learnt.repartition("piece").sortWithinPartitions("piece", "part").mapInArrow(add, "piece int, seen long, sums binary").toArrow().sort_by("piece")
+    learnt = _texts(documents).mapInArrow(task("masked_lm")(run), "piece int, part int, seen long, sums binary")
+    summed = learnt.repartition("piece").sortWithinPartitions("piece", "part").mapInArrow(task("masked_lm")(add), "piece int, seen long, sums binary").toArrow().sort_by("piece")
     if not summed.num_rows:
         return weights
     return np.concatenate([np.frombuffer(d.as_py()) / n.as_py() for d, n in zip(summed.column("sums"), summed.column("seen"), strict=True)]).astype(np.float32)
@@ -272,7 +273,7 @@ def score_documents(documents: DataFrame, vocabulary: Vocabulary, weights: np.nd
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], names=schema.names)
 
-    return _texts(documents, *keep).mapInArrow(run, schema)
+    return _texts(documents, *keep).mapInArrow(task("masked_lm")(run), schema)
 
 
 def op4_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, table, text_or_empty
 from .components import components
+from .memory import task
 from .textkit import mix, shingle_hashes, utf8_chunks, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -113,7 +114,7 @@ def sign(documents: DataFrame, size: int, trees: int, depth: int, least: int) ->
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(width))), pa.int32()), pa.array(keys))
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(n)), pa.array(h1), pa.array(h2), pa.array(n.astype(np.int32)), lists], names=_SIGNED.names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_or_empty()).alias("text")).mapInArrow(run, _SIGNED)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_or_empty()).alias("text")).mapInArrow(task("ngrams")(run), _SIGNED)
 
 
 def candidate_groups(nodes: DataFrame) -> DataFrame:
@@ -200,7 +201,7 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
         if held and (got := close()) is not None:
             yield got
 
-    return members.mapInArrow(run, _VERIFIED)
+    return members.mapInArrow(task("ngrams")(run), _VERIFIED)
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -220,7 +221,7 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
                 part = batch.slice(first, n)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found), pa.array(packed, pa.binary())], names=schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(task("ngrams")(run), schema)
 
 
 def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = RECALL, block: int = 384) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from .common import table, text_or_empty, vocabulary_path
 from .encoding import encoder
+from .memory import task
 
 
 @dataclass
@@ -201,7 +202,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, limits
             yield flush()
 
     skip = F.greatest(F.coalesce(F.col(loss_from).cast("int"), F.lit(0)), F.lit(0)) if loss_from else F.lit(0)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), skip.alias("skip")).mapInArrow(run, _PIECES)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), skip.alias("skip")).mapInArrow(task("encoding")(run), _PIECES)
 
 
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

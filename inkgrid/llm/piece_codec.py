@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import memory
 from .common import table, text_or_empty, vocabulary_path
 from .encoding import ChunkMemory
+from .memory import task
 
 BLANK = "▁"
 _PIECES_IN = re.compile(r"\n| +[^ \n]*|[^ \n]+")
@@ -231,6 +233,9 @@ class PieceCodec:
 _codecs: dict[str, PieceCodec] = {}
 
 
+memory.remembers("pieces", _codecs.clear)
+
+
 def codec(path: str) -> PieceCodec:
     """One codec per worker process and model."""
     if path not in _codecs:
@@ -251,7 +256,7 @@ def encode_documents(documents: DataFrame, model: str, keep: list[str]) -> DataF
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) // 4 for x in got]))), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], names=schema.names)
 
-    return documents.select(*keep, text_or_empty().alias("_text")).mapInArrow(run, schema)
+    return documents.select(*keep, text_or_empty().alias("_text")).mapInArrow(task("pieces")(run), schema)
 
 
 def decode_documents(encoded: DataFrame, model: str, keep: list[str]) -> DataFrame:
@@ -263,7 +268,7 @@ def decode_documents(encoded: DataFrame, model: str, keep: list[str]) -> DataFra
             texts = [codec(model).decode(ids.values.to_numpy(zero_copy_only=False)) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.select(*keep, "ids").mapInArrow(run, schema)
+    return encoded.select(*keep, "ids").mapInArrow(task("pieces")(run), schema)
 
 
 _DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())])
@@ -282,7 +287,7 @@ def round_trips(documents: DataFrame, model: str) -> DataFrame:
                 cols = [[len(x) // 4 for x in got], [zlib.crc32(x) for x in got], [hashlib.sha256(t.encode()).hexdigest() for t in back], [a == b for a, b in zip(texts, back, strict=True)]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3])], names=_DIGEST.names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text")).mapInArrow(run, _DIGEST)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text")).mapInArrow(task("pieces")(run), _DIGEST)
 
 
 def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, table, text_or_empty
+from .memory import task
 from .textkit import byte_prefix, gram_hash, mix, rightmost_minima, span_hash, utf8_chunks
 
 LEAST, GRAM, CROWD = 100, 32, 4096
@@ -181,7 +182,7 @@ def anchors(documents: DataFrame, least: int, gram: int, held: int = 1 << 20) ->
         if parts:
             yield from flush()
 
-    return documents.select("doc", "text").mapInArrow(run, _ANCHORS)
+    return documents.select("doc", "text").mapInArrow(task("suffixes")(run), _ANCHORS)
 
 
 _SORTED = T.StructType([T.StructField("mark", T.BooleanType()), *[f for f in _ANCHORS.fields if f.name != "ctx"]])
@@ -230,7 +231,7 @@ def first_of_each(rows: DataFrame) -> DataFrame:
             yield out(np.array([False]), [np.array([c]) for c in pending[0]])
 
     placed = rows.repartition("key").sortWithinPartitions("key", "ctx", "doc", "lo")
-    return placed.mapInArrow(run, _SORTED)
+    return placed.mapInArrow(task("suffixes")(run), _SORTED)
 
 
 _CONTEXTS = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("bytes", T.BinaryType()), T.StructField("before", T.ShortType())])
@@ -258,7 +259,7 @@ def contexts(texts: DataFrame, least: int) -> DataFrame:
                         c += x
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([doc] * len(cols[0]), pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int16())], names=_CONTEXTS.names)
 
-    return texts.mapInArrow(run, _CONTEXTS)
+    return texts.mapInArrow(task("suffixes")(run), _CONTEXTS)
 
 
 _GROUPS = T.StructType([T.StructField("grp", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("maximal", T.BooleanType()), T.StructField("root", T.BooleanType()), T.StructField("doc", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("first", T.BooleanType())])
@@ -322,7 +323,7 @@ def bucket_groups(rows: DataFrame, least: int, roots_only: bool, held: int = 1 <
             yield from groups(*cols)
 
     placed = rows.repartition("key").sortWithinPartitions("key", "doc", "lo")
-    return placed.mapInArrow(run, _GROUPS)
+    return placed.mapInArrow(task("suffixes")(run), _GROUPS)
 
 
 _KEPT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())])
@@ -351,7 +352,7 @@ def cut_out(texts: DataFrame, carry: list[str], with_text: bool) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.names)
 
-    return texts.select(*carry, "text", "marks").mapInArrow(run, schema)
+    return texts.select(*carry, "text", "marks").mapInArrow(task("suffixes")(run), schema)
 
 
 def _ordered(documents: DataFrame) -> DataFrame:

@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, table, text_or_empty
+from .memory import task
 from .textkit import mix, powers, prefix_hash
 
 ORDERS = (3, 4, 5, 6, 7)
 BUCKET_BITS = 22
 #: Characters handled at once.
-_CHUNK = 1 << 19
+_CHUNK = 1 << 17
 
 
 def _letters() -> np.ndarray:
@@ -100,12 +101,10 @@ class Model:
     def scorer(self):
         wanted = np.zeros(1 << BUCKET_BITS, bool)
         wanted[self.buckets] = True
-        weight = np.zeros(1 << BUCKET_BITS, np.float64)
-        weight[self.buckets] = self.weights
 
         def score(texts: list[str]) -> np.ndarray:
             rows, buckets = present(texts, wanted)
-            margin = np.bincount(rows, weight[buckets], len(texts)) + self.intercept
+            margin = np.bincount(rows, self.weights[np.searchsorted(self.buckets, buckets)], len(texts)) + self.intercept
             return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
         return score
@@ -160,12 +159,12 @@ def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = 4000, max_
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BUCKET_BITS), np.int32)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
                 y = np.array(part.column("y").to_pylist())
                 rows, buckets = present(part.column("text").to_pylist())
                 for c in (0, 1):
-                    seen[c] += np.bincount(buckets[y[rows] == c], minlength=1 << BUCKET_BITS).astype(np.int32)
+                    np.add.at(seen[c], buckets[y[rows] == c], 1)
         at = np.flatnonzero(seen.any(axis=0))
         for lo in range(0, len(at), 1 << 16):
             a = at[lo : lo + (1 << 16)]
@@ -175,7 +174,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = 4000, max_
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log((shares[1] + 0.5) / (shares[0] + 0.5))))
-    counts = sample.mapInArrow(count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = sample.mapInArrow(task("toxicity")(count), "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     ratio = F.log((F.col("toxic") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n0 + 1.0))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     ranked = counts.select("bucket", ratio.alias("ratio"), (ratio / error).alias("z"), (F.col("toxic") + F.col("clean")).alias("n"))
@@ -198,7 +197,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = 4000, max_
             packed = [column[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(packed, pa.binary())], names=["doc_id", "y", "features"])
 
-    matrix = sample.mapInArrow(chosen_features, "doc_id long, y int, features binary").toArrow().sort_by("doc_id")
+    matrix = sample.mapInArrow(task("toxicity")(chosen_features), "doc_id long, y int, features binary").toArrow().sort_by("doc_id")
     y = matrix.column("y").to_numpy().astype(float)
     lists = [np.frombuffer(x.as_py(), "<u4") for x in matrix.column("features")]
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
@@ -220,7 +219,7 @@ def score_texts(documents: DataFrame, model: Model, keep: list[str]) -> DataFram
                 got = score(part.column("_lower").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(got, pa.float64())], names=schema.names)
 
-    return documents.select(*keep, "_lower").mapInArrow(run, schema)
+    return documents.select(*keep, "_lower").mapInArrow(task("toxicity")(run), schema)
 
 
 def with_scores(documents: DataFrame, labels: DataFrame, keep: list[str], **how) -> DataFrame:

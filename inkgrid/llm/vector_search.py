@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
+from .memory import task
 
 
 @dataclass
@@ -146,7 +147,7 @@ def assign(vectors: DataFrame, index: Index) -> DataFrame:
             home = np.concatenate([_distances(x[a : a + 1024], index.centroids).argmin(axis=1) for a in range(0, len(x), 1024)] or [np.empty(0, np.int64)])
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(home.astype(np.int32))], names=["vec_id", "v", "list"])
 
-    return vectors.filter(F.size("v") == index.dims).select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, list int")
+    return vectors.filter(F.size("v") == index.dims).select("vec_id", "v").mapInArrow(task("vectors")(run), "vec_id long, v array<double>, list int")
 
 
 def probe(queries: DataFrame, index: Index) -> DataFrame:
@@ -165,7 +166,7 @@ def probe(queries: DataFrame, index: Index) -> DataFrame:
             offsets = pa.array(np.arange(len(q) + 1) * lists.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(bound), pa.ListArray.from_arrays(offsets, pa.array(lists.ravel())), near], names=["vec_id", "v", "bound", "lists", "near"])
 
-    return queries.filter(F.size("v") == index.dims).select("vec_id", "v").mapInArrow(run, kind)
+    return queries.filter(F.size("v") == index.dims).select("vec_id", "v").mapInArrow(task("vectors")(run), kind)
 
 
 def scan_block(data: np.ndarray, queries: np.ndarray, bounds: np.ndarray, top: float, width: int = 16, epsilon: float = 2.1) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +243,7 @@ def scan(blocks: DataFrame, index: Index, n_queries: int = 64) -> DataFrame:
         if waiting and (got := answer()) is not None:
             yield got
 
-    return blocks.mapInArrow(run, _FOUND)
+    return blocks.mapInArrow(task("vectors")(run), _FOUND)
 
 
 def search(embeddings: DataFrame, is_query, k: int = 20, chunk: int = 4096, **how) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shuffle_width, table, text_or_empty
+from .memory import task
 from .textkit import byte_prefix, gram_hash, rightmost_minima, span_hash, utf8_chunks
 
 GRAM, WINDOW = 16, 64
@@ -147,7 +148,7 @@ def fingerprint_documents(documents: DataFrame, gram: int = GRAM, window: int =
                     yield emit(held)
                     held = held[-1:]
 
-    return in_descending_order(documents).mapInArrow(run, _ROWS)
+    return in_descending_order(documents).mapInArrow(task("winnow")(run), _ROWS)
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
