@@ -16,25 +16,29 @@ from .common import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Every node has one parent, and no parent has one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.agg(F.count_if(F.expr("up > 1 OR up + down > 1"))).first()[0]
 
 
 def components(edges: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
     """``a, b`` edges of long ids -> ``node, root``: root is the least id of the component. Ids without an edge are absent."""
-    current = materialize(edges.select("a", "b").filter("a <> b").distinct(), label)
-    seen = None
+    current = edges.select("a", "b").filter("a <> b")
     for _ in range(rounds):
-        current = materialize(_small_star(_large_star(current)), label)
-        state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
+        current = materialize(_small_star(_large_star(current)).distinct(), label)
+        if _is_star_forest(current):
             roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
-        seen = state
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+    raise RuntimeError(f"no star forest after {rounds} rounds")

@@ -230,7 +230,7 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, size: int =
     sets = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("keys").alias("keys"))
     sets = materialize(sets, "sets")
 
-    grouped = materialize(candidate_groups(sets), "groups")
+    grouped = candidate_groups(sets)
     sizes = grouped.groupBy("root").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("blocks"))
     placed = grouped.join(sizes, "root").join(sets.select("node", "h1"), "node")
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.lower(text_or_empty()).alias("text"))

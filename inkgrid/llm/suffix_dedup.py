@@ -41,15 +41,18 @@ LEAST, GRAM, CROWD = 100, 32, 4096
 # ---------------------------------------------------------------- enhanced suffix array
 
 
-def sort_suffixes(buf: np.ndarray, starts: np.ndarray, depth: int, group: np.ndarray | None = None) -> np.ndarray:
-    """Order of the suffixes at ``starts`` by group, then by their first ``depth`` bytes (zeros after the end)."""
+def sort_suffixes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, group: np.ndarray | None = None) -> np.ndarray:
+    """Order of the suffixes [start, end) by group, then by their first ``depth`` bytes, a prefix before what it begins."""
     words = -(-depth // 8)
     padded = np.concatenate((buf, np.zeros(8 * words, np.uint8)))
     rows = np.lib.stride_tricks.sliding_window_view(padded, 8 * words)[starts]
     rows = np.array(rows)
     rows[:, depth:] = 0
+    room = ends - starts
+    if len(room) and room.min() < depth:
+        rows[np.arange(8 * words)[None, :] >= room[:, None]] = 0
     keys = rows.view(">u8").astype(np.uint64)
-    return np.lexsort([*keys.T[::-1], *([group] if group is not None else [])])
+    return np.lexsort([np.minimum(room, depth), *keys.T[::-1], *([group] if group is not None else [])])
 
 
 def common_prefixes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, depth: int, group: np.ndarray | None = None) -> np.ndarray:
@@ -115,7 +118,7 @@ def maximal_repeats(texts: list[bytes], least: int = LEAST, depth: int | None =
     starts, owner = starts[fits], owner[fits]
     if len(starts) < 2:
         return []
-    order = sort_suffixes(buf, starts, depth)
+    order = sort_suffixes(buf, starts, bounds[owner + 1], depth)
     lcp = common_prefixes(buf, starts, bounds[owner + 1], order, depth)
     tree = interval_tree(lcp, least)
     at = starts[order]
@@ -278,7 +281,7 @@ def bucket_groups(rows: DataFrame, least: int, roots_only: bool, held: int = 1 <
         starts = base[row] + inner
         bucket = np.cumsum(np.concatenate(([0], np.array(keys)[1:] != np.array(keys)[:-1])))[row]
         depth = least if roots_only else int(sizes.max())
-        order = sort_suffixes(buf, starts, depth, bucket)
+        order = sort_suffixes(buf, starts, (base + sizes)[row], depth, bucket)
         lcp = common_prefixes(buf, starts, (base + sizes)[row], order, depth, bucket)
         tree = interval_tree(lcp, least)
         if not len(tree):

@@ -68,7 +68,7 @@ class Index:
             top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
             found = np.take_along_axis(scores, top, axis=1)
             real = np.isfinite(found)
-            exact = np.einsum("ij,ikj->ik", part, self.sample[top])
+            exact = products(part[:, None, :], self.sample[top])
             rows[lo : lo + 256], best[lo : lo + 256] = np.where(real, top, -1), exact
             enough = real.all(axis=1) & (n == self.k)
             worst = np.where(enough, np.where(real, exact, np.inf).min(axis=1), -np.inf)
@@ -76,6 +76,11 @@ class Index:
         return bound, rows, best
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products along the last axis, always added in the same order: equal vectors score equally to the bit."""
+    return np.ascontiguousarray(a * b).sum(axis=-1)
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(axis=1)[:, None] - 2 * (a @ b.T) + (b * b).sum(axis=1)[None, :]
 
@@ -210,7 +215,7 @@ def scan(blocks: DataFrame, index: Index, n_queries: int = 64) -> DataFrame:
             waiting.clear()
             other = own[a] != ids[0][r]
             a, r = a[other], r[other]
-            score = np.einsum("ij,ij->i", q[a], data[0][r])
+            score = products(q[a], data[0][r])
             order = np.lexsort((ids[0][r], -score, a))
             a, r, score = a[order], r[order], score[order]
             rank = np.arange(len(a)) - np.searchsorted(a, a)
