@@ -289,7 +289,7 @@ def intervals(df: DataFrame, cell: list[str], cluster: str, stratum: str, column
         found = kind(*(rows[c] for c in columns), list(rows[stratum]), b=b, seed=cell_seed(seed, names), **how)
         return pd.DataFrame([dict(zip(cell, names, strict=True)) | found])
 
-    return df.select(*cell, cluster, stratum, *columns).groupBy(*cell).applyInPandas(solve, f"{keys}, {fields}")
+    return df.select(*dict.fromkeys([*cell, cluster, stratum, *columns])).groupBy(*cell).applyInPandas(solve, f"{keys}, {fields}")
 
 
 def populations(spark, scenarios: dict[str, dict], clusters: int, strata: int, sims: int, seed: int = SEED) -> DataFrame:

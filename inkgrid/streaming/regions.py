@@ -29,7 +29,7 @@ def merged(current: dict, incoming: dict) -> dict:
     """What arrives wins, but for what the user has set: text, offsets and, if overridden, the style."""
     out = {**incoming, **{k: current[k] for k in ("text", "dx", "dy", "overridden") if k in current}, "status": "ready"}
     if current.get("overridden"):
-        out.update({k: current[k] for k in _STYLE if k in current})
+        out = {k: v for k, v in out.items() if k not in _STYLE} | {k: current[k] for k in _STYLE if k in current}
     return out
 
 
