@@ -55,7 +55,7 @@ class Packer:
 
     limits: Limits
     cut: bool = True
-    pool_size: int = 1024
+    pool_size: int = 256
     pool: list[Piece] = field(default_factory=list)
     vectors: list[tuple[float, float, float]] = field(default_factory=list)
     sequence: int = 0
@@ -155,7 +155,7 @@ class Packer:
 _PIECES = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("loss_tokens", T.LongType()))])
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, limits: Limits = Limits(), pool_size: int = 1024, loss_from: str | None = None) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, limits: Limits = Limits(), pool_size: int = 256, loss_from: str | None = None) -> DataFrame:
     """One row a piece. ``loss_from`` names a column with the number of leading characters that bear no
     loss (a prompt); without it every token bears loss. sequence_id is unique over all partitions."""
 
