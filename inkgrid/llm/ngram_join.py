@@ -171,13 +171,14 @@ _VERIFIED = "node long, root long, links long, whole boolean"
 
 
 def verify(members: DataFrame, threshold: float) -> DataFrame:
-    """From rows (cell, side, whole, node, shingles) sorted by cell: links of each node in the cell and the least node reached."""
+    """From rows (cell, side, whole, node, shingles) sorted by cell, side and node: links of each node in the cell and the
+    least node reached. A row that repeats the one before (a repeated row of the input) is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
 
         def close() -> pa.RecordBatch | None:
-            rows = sorted(held, key=lambda r: (r[0], r[1]))
+            rows = held
             nodes = np.array([r[1] for r in rows])
             left = sum(r[0] == 0 for r in rows) if rows[-1][0] else 0
             if len(rows) < 2:
@@ -197,7 +198,9 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
                     if held and (got := close()) is not None:
                         yield got
                     current, held = cell, []
-                held.append((side, node, np.frombuffer(data, np.uint64), whole))
+                shingles = np.frombuffer(data, np.uint64)
+                if not held or held[-1][:2] != (side, node) or not np.array_equal(held[-1][2], shingles):
+                    held.append((side, node, shingles, whole))
         if held and (got := close()) is not None:
             yield got
 
@@ -234,13 +237,13 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, size: int =
     sizes = grouped.groupBy("root").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("blocks"))
     placed = grouped.join(sizes, "root").join(sets.select("node", "h1"), "node")
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.lower(text_or_empty()).alias("text"))
-    full = shingle_sets(texts.join(placed, "node"), size).filter("found = h1").drop("found").dropDuplicates(["node", "h1"])
+    full = shingle_sets(texts.join(placed, "node"), size).filter("found = h1").drop("found")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = full.withColumn("_b", own).withColumn("_o", other)
     low, high = F.least("_b", "_o"), F.greatest("_b", "_o")
     cells = dealt.select(F.xxhash64("root", low, high).alias("cell"), F.when(F.col("_b") > F.col("_o"), 1).otherwise(0).alias("side"), (F.col("blocks") == 1).alias("whole"), "node", "shingles")
-    verified = materialize(verify(cells.repartition("cell").sortWithinPartitions("cell"), threshold), "verified")
+    verified = materialize(verify(cells.repartition("cell").sortWithinPartitions("cell", "side", "node"), threshold), "verified")
 
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     edges = verified.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"), "whole")
