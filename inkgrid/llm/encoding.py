@@ -11,10 +11,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
 from . import memory
+from .textkit import byte_prefix, span_hash
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -23,10 +25,10 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
 _CHUNK = re.compile(rf"(?<![ \n])\n(?=[^ \n])|[ \n]*+[{_LETTER}]++(?=[.,])|[ \n]*+[^ \n]++|[ \n]+")
 #: White space that the cuts do not know, special tokens, and the mark used for cutting.
 _WHOLE = re.compile("[\x01\t\r\f\v\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|<\\|")
-#: Places where plain cutting before blanks, newlines, full stops and commas would be wrong.
-_UNEVEN = re.compile(rf"(?<![{_LETTER}0-9])[.,]|[ \n](?:[ \n]|\Z)")
 _WORD = re.compile(rf" ?[{_LETTER}]+")
-#: Chunks kept per worker and generation; the generation before the current one is kept too.
+#: Chunks kept in a ChunkTable before it is emptied.
+KEPT = 1_000_000
+#: Chunks kept in a ChunkMemory per generation; the generation before the current one is kept too.
 MEMORY = 600_000
 #: Chunks of the small memory asked first: the earliest ones, which are mostly the common ones.
 HOT = 30_000
@@ -43,10 +45,11 @@ class _Memory(dict):
         self.lacking[chunk] = None
 
 
-#: Class of each Latin-1 character: 1 letter or digit, 2 full stop or comma, 3 blank or newline, 4 other white space or control.
+#: Class of each byte: 1 letter or digit, 2 full stop or comma, 3 blank or newline, 4 other white space or control, 5 part of a character beyond ASCII.
 _CLASS = np.zeros(256, np.uint8)
-for _c in range(256):
-    if re.match(f"[{_LETTER}0-9]", chr(_c)):
+_CLASS[128:] = 5
+for _c in range(128):
+    if chr(_c).isalnum():
         _CLASS[_c] = 1
     elif chr(_c) in ".,":
         _CLASS[_c] = 2
@@ -54,33 +57,132 @@ for _c in range(256):
         _CLASS[_c] = 3
     elif _WHOLE.match(chr(_c)):
         _CLASS[_c] = 4
-PLAIN, UNEVEN, WHOLE = 0, 1, 2
-
-
-def survey(texts: list[str]) -> np.ndarray:
-    """How each text may be cut: as the patterns say, but for Latin-1 texts by class tables over all of them at once."""
-    joined = "\n".join(texts)
-    try:
-        raw = np.frombuffer(joined.encode("latin-1"), np.uint8)
-    except UnicodeEncodeError:
-        raw = None
-    if raw is None or "<|" in joined:
-        if len(texts) > 1:
-            half = len(texts) // 2
-            return np.concatenate((survey(texts[:half]), survey(texts[half:])))
-        return np.array([WHOLE if _WHOLE.search(joined) else UNEVEN if _UNEVEN.search(joined) else PLAIN])
-    kind = np.concatenate(([np.uint8(3)], _CLASS[raw], [np.uint8(3)]))
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    out = np.zeros(len(texts), np.int64)
-    odd = np.flatnonzero(((kind[1:] == 2) & (kind[:-1] != 1)) | ((kind[1:] == 3) & (kind[:-1] == 3)))
-    # a place between two texts says that one ends or the other begins with a blank: both count
-    for at in (odd, odd - 1):
-        out[np.searchsorted(ends, np.clip(at, 0, len(joined)), side="right").clip(0, len(texts) - 1)] = UNEVEN
-    out[np.searchsorted(ends, np.flatnonzero(kind[1:-1] == 4), side="right")] = WHOLE
-    return out
-
+#: First bytes of the characters beyond ASCII in _WHOLE.
+_SUSPECT = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+
+
+def spans(texts: list[str], data: list[bytes], bare: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(joined bytes, bounds of texts, chunk starts, chunk ends, texts that must go whole). With ``bare``
+    chunks leave out the blanks between them."""
+    buf = np.frombuffer(b"".join(data), np.uint8)
+    bounds = np.concatenate(([0], np.cumsum([len(d) for d in data])))
+    none = np.empty(0, np.int64)
+    if not len(buf):
+        return buf, bounds, none, none, []
+    kind = _CLASS[buf]
+    some = np.diff(bounds) > 0
+    first = np.zeros(len(buf), bool)
+    first[bounds[:-1][some]] = True
+    before = np.concatenate(([np.uint8(0)], kind[:-1]))
+    before[first] = 0
+
+    def owner(at: np.ndarray) -> np.ndarray:
+        return np.unique(np.searchsorted(bounds, at, side="right") - 1)
+
+    # white space of other kinds and special tokens: the whole text
+    suspects = set(owner(np.flatnonzero((kind == 4) | _SUSPECT[buf])).tolist())
+    bar = np.flatnonzero(buf[1:] == 0x7C)
+    suspects.update(owner(bar[buf[bar] == 0x3C]).tolist())
+    whole = sorted(i for i in suspects if _WHOLE.search(texts[i]))
+    # stops after something that is no letter, blanks in a row or at the end: cut by the pattern
+    stop = np.flatnonzero((kind == 2) & (before != 1))
+    wide = stop[before[stop] == 5]
+    lead, tail = buf[wide - 2], buf[wide - 1]
+    latin = (lead >= 0xC3) & (lead <= 0xC5) & ~((lead == 0xC3) & ((tail == 0x97) | (tail == 0xB7)))
+    last = bounds[1:][some] - 1
+    odd = np.concatenate((np.setdiff1d(stop, wide[latin]), np.flatnonzero((kind == 3) & (before == 3)), last[kind[last] == 3]))
+    uneven = sorted(set(owner(odd).tolist()) - set(whole)) if len(odd) else []
+    blank = kind == 3
+    if bare:
+        start = (first | (before == 3) | (kind == 2)) & ~blank
+        end = np.concatenate(((blank | (kind == 2))[1:] | first[1:], [True])) & ~blank
+    else:
+        start = first | blank | (kind == 2)
+        start[1:] |= buf[:-1] == 10
+        end = np.concatenate((start[1:], [True]))
+    for i in (*whole, *uneven):
+        start[bounds[i] : bounds[i + 1]] = False
+        end[bounds[i] : bounds[i + 1]] = False
+    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+    if uneven:
+        extra = np.array([x for i in uneven for x in _pattern_spans(texts[i], int(bounds[i]))], np.int64).reshape(-1, 2)
+        starts, ends = np.concatenate((starts, extra[:, 0])), np.concatenate((ends, extra[:, 1]))
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+    return buf, bounds, starts, ends, whole
+
+
+def _pattern_spans(text: str, at: int) -> Iterator[tuple[int, int]]:
+    for chunk in _CHUNK.findall(text):
+        n = len(chunk.encode())
+        yield at, at + n
+        at += n
+
+
+class ChunkTable:
+    """Chunk hash -> ids, in flat arrays with open addressing, half full at most: a batch is looked up in a few gathers."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self._resize(21)
+        self.hashes, self.start, self.length = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids = np.zeros(1 << 18, np.uint32)
+        self.n = self.used = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 for none. A hash is never 0."""
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.slots[slot]
+        out = np.where(held == hashes, self.entry[slot], -1)
+        rest = np.flatnonzero((held != hashes) & (held != 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & (len(self.slots) - 1)
+            held = self.slots[slot[rest]]
+            hit = held == hashes[rest]
+            out[rest[hit]] = self.entry[slot[rest[hit]]]
+            rest = rest[~hit & (held != 0)]
+        return out
 
-_encoders: dict[str, "TextEncoder"] = {}
+    def add(self, hashes: np.ndarray, values: list[bytes]) -> None:
+        """Distinct hashes that are not in the table, and their ids."""
+        flat = np.frombuffer(b"".join(values), np.uint32)
+        sizes = np.array([len(v) // 4 for v in values])
+        for name, need in (("hashes", self.n + len(sizes)), ("start", self.n + len(sizes)), ("length", self.n + len(sizes)), ("ids", self.used + len(flat))):
+            own = getattr(self, name)
+            if len(own) < need:
+                setattr(self, name, np.concatenate((own, np.zeros(max(need - len(own), len(own)), own.dtype))))
+        self.hashes[self.n : self.n + len(sizes)] = hashes
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.length[self.n : self.n + len(sizes)] = sizes
+        old, self.n, self.used = self.n, self.n + len(sizes), self.used + len(flat)
+        if 2 * self.n > len(self.slots):
+            self._resize((2 * self.n).bit_length())
+            old = 0
+        self._place(old)
+
+    def _resize(self, bits: int) -> None:
+        self.bits = bits
+        self.slots, self.entry = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def _place(self, first: int) -> None:
+        """Entries from ``first`` on get their slots."""
+        hashes, numbers = self.hashes[first : self.n], np.arange(first, self.n, dtype=np.int32)
+        slot, rest = (hashes >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(hashes))
+        while len(rest):
+            free = rest[self.slots[slot[rest]] == 0]
+            self.slots[slot[free]] = hashes[free]  # of several for one slot the last stays
+            self.entry[slot[free]] = numbers[free]
+            rest = rest[self.slots[slot[rest]] != hashes[rest]]
+            slot[rest] = (slot[rest] + 1) & (len(self.slots) - 1)
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the entries one after another, where each begins, with the end)."""
+        sizes = self.length[entries]
+        begins = np.concatenate(([0], np.cumsum(sizes)))
+        return self.ids[np.repeat(self.start[entries] - begins[:-1], sizes) + np.arange(begins[-1])], begins
 
 
 class ChunkMemory:
@@ -117,6 +219,9 @@ class ChunkMemory:
         return [b"".join(ids) for ids in found]
 
 
+_encoders: dict[str, "TextEncoder"] = {}
+
+
 class TextEncoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -131,7 +236,7 @@ class TextEncoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
             self.edge[i] = piece.endswith("</w>") if self.folds else piece.startswith("Ġ")
-        self.memory = ChunkMemory(self._solve)
+        self.table = ChunkTable()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -160,24 +265,28 @@ class TextEncoder:
         new.update(zip(others, self._library(others), strict=True))
         return new
 
-    def _cut(self, text: str, uneven: bool) -> list[str]:
-        if self.folds and not ("Σ" in text or "İ" in text):
-            text = text.lower()
-        if uneven:
-            return _CHUNK.findall(text)
-        if self.folds:
-            return text.replace(",", " ,").replace(".", " .").split()
-        marked = text.replace(" ", "\x01 ").replace(",", "\x01,").replace(".", "\x01.").replace("\n", "\x01\n\x01")
-        return marked.split("\x01")
-
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Chunks not met before go through the library together."""
+        """ids of each text. Chunks not met before go through the library together."""
         if not texts:
             return []
-        kinds = survey(texts).tolist()
-        whole = [i for i, k in enumerate(kinds) if k == WHOLE]
-        cut = [[] if k == WHOLE or not t else self._cut(t, k == UNEVEN) for t, k in zip(texts, kinds, strict=True)]
-        out = self.memory.join(cut)
+        lowered = [t.lower() if self.folds and not ("Σ" in t or "İ" in t) else t for t in texts]
+        buf, bounds, starts, ends, whole = spans(lowered, [t.encode() for t in lowered], self.folds)
+        hashes = span_hash(byte_prefix(buf), starts, ends) | np.uint64(1)
+        if self.table.n > KEPT or self.table.used > 16 * KEPT:
+            self.table.clear()
+        entries = self.table.find(hashes)
+        lacking = np.flatnonzero(entries < 0)
+        if len(lacking):
+            new, at = np.unique(hashes[lacking], return_index=True)
+            data = buf.tobytes()
+            chunks = [data[a:b].decode() for a, b in zip(starts[lacking[at]].tolist(), ends[lacking[at]].tolist(), strict=True)]
+            solved = self._solve(chunks)
+            self.table.add(new, [solved[c] for c in chunks])
+            entries[lacking] = self.table.find(hashes[lacking])
+        ids, begins = self.table.gather(entries)
+        cuts = (4 * begins[np.searchsorted(starts, bounds)]).tolist()
+        flat = ids.tobytes()
+        out = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         for i in whole:
             out[i] = self._library([texts[i]])[0]
         return out

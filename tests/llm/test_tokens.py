@@ -9,7 +9,7 @@ import pytest
 
 from inkgrid.llm import bitpack, packing, piece_codec
 from inkgrid.llm.common import scratch_path, vocabulary_path
-from inkgrid.llm.encoding import encoder
+from inkgrid.llm.encoding import ChunkTable, encoder
 
 from .conftest import DOCUMENTS
 
@@ -31,6 +31,19 @@ def test_encoder_equals_the_library(name, batch):
     assert got == want
 
 
+def test_chunk_table_grows():
+    rng = np.random.default_rng(0)
+    table = ChunkTable()
+    table._resize(4)
+    keys = np.unique(rng.integers(1, 1 << 63, 5000, dtype=np.uint64) << np.uint64(1) | np.uint64(1))
+    for lo in range(0, len(keys), 700):
+        part = keys[lo : lo + 700]
+        table.add(part, [np.array([k % 1000] * (k % 4), "<u4").tobytes() for k in part.tolist()])
+    ids, begins = table.gather(table.find(keys))
+    assert all(ids[a:b].tolist() == [k % 1000] * (k % 4) for k, a, b in zip(keys.tolist(), begins[:-1], begins[1:], strict=True))
+    assert (table.find(keys + np.uint64(2)) == -1).sum() >= len(keys) - 5
+
+
 @pytest.mark.parametrize("width", [1, 3, 7, 8, 13, 16, 17, 24, 31])
 def test_bits_round_trip(width):
     rng = np.random.default_rng(width)
