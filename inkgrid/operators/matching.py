@@ -6,6 +6,8 @@ as residual condition, never products. ``grid`` adds a cell key where one image
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,19 +41,22 @@ def best_partner(left: DataFrame, right: DataFrame, key: list[str], score: Colum
 
 def greedy_assignment(pairs: DataFrame, key: list[str], larger_first: bool = False) -> DataFrame:
     """One-to-one pairs by descending score. ``pairs`` has the key, g, p and score; ties go to the smaller (g, p),
-    or to the larger with ``larger_first``. Work is by key; a key's pairs are in one task, as its boxes are few."""
+    or to the larger with ``larger_first``. An ordered fold over the pairs of a key, as one image has few boxes."""
+    others = [c for c in pairs.columns if c not in key]
+    sign = -1 if larger_first else 1
+    item = F.struct((-F.col("score")).alias("a"), (F.col("g") * sign).alias("b"), (F.col("p") * sign).alias("c"), F.struct(*others).alias("v"))
+    lists = pairs.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    kind = pairs.select(F.struct(*others).alias("v")).schema["v"].dataType.simpleString()
+    ids = {c: f"array<{pairs.schema[c].dataType.simpleString()}>" for c in ("g", "p")}
+    start = F.struct(F.array().cast(ids["g"]).alias("g"), F.array().cast(ids["p"]).alias("p"), F.array().cast(f"array<{kind}>").alias("kept"))
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        order = rows.sort_values(["score", "g", "p"], ascending=[False, not larger_first, not larger_first])
-        used_g, used_p, keep = set(), set(), []
-        for i, g, p in zip(order.index, order["g"], order["p"], strict=True):
-            if g not in used_g and p not in used_p:
-                used_g.add(g)
-                used_p.add(p)
-                keep.append(i)
-        return rows.loc[keep]
+    def step(s: Column, x: Column) -> Column:
+        v = x["v"]
+        free = ~F.array_contains(s["g"], v["g"]) & ~F.array_contains(s["p"], v["p"])
+        taken = F.struct(F.array_append(s["g"], v["g"]).alias("g"), F.array_append(s["p"], v["p"]).alias("p"), F.array_append(s["kept"], v).alias("kept"))
+        return F.when(free, taken).otherwise(s)
 
-    return pairs.groupBy(*key).applyInPandas(assign, pairs.schema)
+    return lists.select(*key, F.inline(F.aggregate("_all", start, step)["kept"])).select(*pairs.columns)
 
 
 def mutual_best_assignment(pairs: DataFrame, key: list[str], rounds: int = 50) -> DataFrame:
@@ -97,7 +102,7 @@ def components_by_key(edges: DataFrame, key: list[str]) -> DataFrame:
     their least g (those without any last), then least p."""
     schema = ", ".join(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in key) + ", side string, node long, component int"
 
-    def solve(names: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
         parent: dict = {}
 
         def find(x):
@@ -106,22 +111,42 @@ def components_by_key(edges: DataFrame, key: list[str]) -> DataFrame:
                 x = parent[x]
             return x
 
-        for g, p in zip(rows["g"], rows["p"], strict=True):
-            a = None if pd.isna(g) else ("g", int(g))
-            b = None if pd.isna(p) else ("p", int(p))
-            if a is not None and b is not None:
-                low, high = sorted((find(a), find(b)))
-                parent[high] = low
-            elif a is not None or b is not None:
-                find(a if a is not None else b)
-        roots: dict = {}
-        for x in sorted(parent):
-            roots.setdefault(find(x), []).append(x)
-        number = {r: i for i, r in enumerate(sorted(roots))}
-        out = [(*names, side, node, number[r]) for r, members in roots.items() for side, node in members]
-        return pd.DataFrame(out, columns=[*key, "side", "node", "component"])
-
-    return edges.select(*key, "g", "p").groupBy(*key).applyInPandas(solve, schema)
+        names = list(zip(*(rows[c] for c in key), strict=True))
+        no_g, no_p = rows["g"].isna(), rows["p"].isna()
+        for name, g, p, a, b in zip(names, rows["g"].fillna(0).astype("int64"), rows["p"].fillna(0).astype("int64"), no_g, no_p, strict=True):
+            if a and b:
+                continue
+            low, high = sorted((find((name, "g", g) if not a else (name, "p", p)), find((name, "p", p) if not b else (name, "g", g))))
+            parent[high] = low
+        number, last = {}, None
+        out = []
+        for x in sorted(parent):  # a component's root is its least node, so roots come in order
+            if x[0] != last:
+                number, last = {}, x[0]
+            out.append((*x, number.setdefault(find(x), len(number))))
+        return pd.DataFrame([(*n, side, node, c) for n, side, node, c in out], columns=[*key, "side", "node", "component"])
+
+    return whole_keys(edges.select(*key, "g", "p"), key, solve, schema)
+
+
+def whole_keys(df: DataFrame, key: list[str], solve, schema: str) -> DataFrame:
+    """``solve`` on frames that hold many keys, each key whole: far fewer Python calls than one a key."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for rows in frames:
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            if not len(rows):
+                continue
+            last = (rows[key] == rows[key].iloc[-1]).all(axis=1)
+            done = rows[~last]
+            if len(done):
+                yield solve(done)
+            held = rows[last]
+        if held is not None and len(held):
+            yield solve(held)
+
+    return df.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, schema)
 
 
 def neighbour_clamp(boxes: DataFrame, key: list[str], item: str) -> DataFrame:
