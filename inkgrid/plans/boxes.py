@@ -28,20 +28,20 @@ def cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy("engine", "variant").agg(F.count("*").alias("n_lines"), found.alias("n_found"), F.round(found / F.count("*"), 6).alias("recall"), F.round(F.avg("best"), 6).alias("mean_iou"))
 
 
-@query(f"""{BOXES} SELECT a.image_id, a.ln AS g, b.p, round({OVERLAP}, 6) AS score FROM gt a JOIN pred b USING (image_id) WHERE {OVERLAP} >= 0.5""")
+@query(f"""{BOXES} SELECT a.image_id, a.ln AS g, b.p, round({OVERLAP}, 9) AS score FROM gt a JOIN pred b USING (image_id) WHERE {OVERLAP} >= 0.5""")
 def j03_overlap_join(spark, sf_dir):
-    return _pairs(spark, sf_dir, G.overlap_min(F.col("a"), F.col("b")), 0.5).select("image_id", "g", "p", F.round("score", 6).alias("score"))
+    return _pairs(spark, sf_dir, G.overlap_min(F.col("a"), F.col("b")), 0.5).select("image_id", "g", "p", F.round("score", 9).alias("score"))
 
 
-@query(f"""{BOXES} SELECT a.image_id, a.ln AS g, b.p, round({IOU}, 6) AS score FROM gt a JOIN pred b USING (image_id) WHERE {IOU} >= 0.3""")
+@query(f"""{BOXES} SELECT a.image_id, a.ln AS g, b.p, round({IOU}, 9) AS score FROM gt a JOIN pred b USING (image_id) WHERE {IOU} >= 0.3""")
 def j04_iou_join(spark, sf_dir):
-    return _pairs(spark, sf_dir, G.iou(F.col("a"), F.col("b")), 0.3).select("image_id", "g", "p", F.round("score", 6).alias("score"))
+    return _pairs(spark, sf_dir, G.iou(F.col("a"), F.col("b")), 0.3).select("image_id", "g", "p", F.round("score", 9).alias("score"))
 
 
-@query(f"""{BOXES} SELECT a.image_id, a.ln AS g, b.p, round({IOU}, 6) AS score FROM gt a JOIN pred b USING (image_id) WHERE {IOU} >= 0.3""")
+@query(f"""{BOXES} SELECT a.image_id, a.ln AS g, b.p, round({IOU}, 9) AS score FROM gt a JOIN pred b USING (image_id) WHERE {IOU} >= 0.3""")
 def j04_iou_join_by_grid(spark, sf_dir):
     """The same pairs by grid cells, for images with very many boxes."""
-    return _pairs(spark, sf_dir, G.iou(F.col("a"), F.col("b")), 0.3, grid=64.0).select("image_id", "g", "p", F.round("score", 6).alias("score"))
+    return _pairs(spark, sf_dir, G.iou(F.col("a"), F.col("b")), 0.3, grid=64.0).select("image_id", "g", "p", F.round("score", 9).alias("score"))
 
 
 _GREEDY = f"""{BOXES.replace("WITH ", "WITH RECURSIVE ", 1)}, cand AS (SELECT image_id, g, p, row_number() OVER (PARTITION BY image_id ORDER BY s DESC, {{order}}) AS k
@@ -120,7 +120,7 @@ cuts AS (SELECT DISTINCT image_id, v, 'x' AS axis FROM (SELECT image_id, unnest(
 slabs AS (SELECT image_id, axis, v AS lo, lead(v) OVER (PARTITION BY image_id, axis ORDER BY v) AS hi FROM cuts),
 cells AS (SELECT x.image_id, x.lo AS x0, x.hi AS x1, y.lo AS y0, y.hi AS y1 FROM slabs x JOIN slabs y USING (image_id) WHERE x.axis = 'x' AND y.axis = 'y' AND x.hi IS NOT NULL AND y.hi IS NOT NULL),
 covered AS (SELECT c.* FROM cells c WHERE EXISTS (SELECT 1 FROM regions r WHERE r.image_id = c.image_id AND r.x <= c.x0 AND r.x + r.w >= c.x1 AND r.y <= c.y0 AND r.y + r.h >= c.y1))
-SELECT g.image_id, g.ln, round(coalesce(sum((c.x1 - c.x0) * (c.y1 - c.y0)), 0) / any_value(g.w * g.h), 6) AS fraction
+SELECT g.image_id, g.ln, round(coalesce(sum((c.x1 - c.x0) * (c.y1 - c.y0)), 0) / any_value(g.w * g.h), 9) AS fraction
 FROM gt g LEFT JOIN covered c ON c.image_id = g.image_id AND c.x0 >= g.x AND c.x1 <= g.x + g.w AND c.y0 >= g.y AND c.y1 <= g.y + g.h GROUP BY g.image_id, g.ln""")
 def g06_fraction_in_regions(spark, sf_dir):
     """Share of each line under the union of its image's regions; P03 filters on it."""
@@ -128,7 +128,7 @@ def g06_fraction_in_regions(spark, sf_dir):
     b = F.col("b")
     regions = gt.filter("l_partkey % 4 = 0").groupBy("image_id").agg(F.collect_list(G.box(b["x"] + 5, b["y"] + 5, b["w"], b["h"])).alias("regions"))
     joined = gt.join(regions, "image_id", "left").withColumn("regions", F.coalesce("regions", F.array().cast(f"array<{G.BOX}>")))
-    return joined.select("image_id", "ln", F.round(G.fraction_in_regions(b, F.col("regions")), 6).alias("fraction"))
+    return joined.select("image_id", "ln", F.round(G.fraction_in_regions(b, F.col("regions")), 9).alias("fraction"))
 
 
 @query(f"""{BOXES} SELECT a.image_id, a.ln, round({INTER}, 6) AS common, a.w * a.h AS area, (a.x + a.w / 2) AS cx, round((b.x + b.w / 2 - a.x - a.w / 2) / a.h, 6) AS dx, round((b.y + b.h / 2 - a.y - a.h / 2) / a.h, 6) AS dy,
