@@ -311,6 +311,56 @@ def jpeg_sampling(data: bytes) -> str | None:
     return None
 
 
+def core_band(alpha: np.ndarray, threshold: float = 0.5) -> float | None:
+    """Share of the ink's height between its first and last row that hold half the ink of the fullest row or more."""
+    rows = (alpha > threshold).sum(axis=1)
+    inked, core = np.flatnonzero(rows), np.flatnonzero(2 * rows >= max(int(rows.max(initial=0)), 1))
+    return float((core[-1] - core[0] + 1) / (inked[-1] - inked[0] + 1)) if len(inked) else None
+
+
+def best_place(target: np.ndarray, render, places: list[float]) -> tuple[float, float]:
+    """(place, score) of the given render that agrees best with the target by the blended score; the first of equals."""
+    scores = [blended_score(render(p), target) for p in places]
+    i = int(np.argmax(scores))
+    return places[i], scores[i]
+
+
+def flood(image: np.ndarray, y: int, x: int, tolerance: float) -> np.ndarray:
+    """Pixels reached from a place by steps between neighbours that differ by ``tolerance`` a channel at most."""
+    image = image.astype(np.int64)
+    down, along = (np.abs(np.diff(image, axis=a)).max(axis=2) <= tolerance for a in (0, 1))
+    seen = np.zeros(image.shape[:2], bool)
+    seen[y, x] = True
+    while True:
+        new = seen.copy()
+        new[1:] |= seen[:-1] & down
+        new[:-1] |= seen[1:] & down
+        new[:, 1:] |= seen[:, :-1] & along
+        new[:, :-1] |= seen[:, 1:] & along
+        if (new == seen).all():
+            return seen
+        seen = new
+
+
+def control_behind(image: np.ndarray, box: tuple[float, float, float, float], near: int, far: int, tolerance: float, most_variance: float = 20.0, least_delta: float = 25.0) -> dict | None:
+    """Box and colour of the plain area that text stands on, if it differs from the wider surroundings: near pixels
+    vary little, and their median is ``least_delta`` or more from that of the far ones. ``image`` is BGR."""
+    h, w = image.shape[:2]
+
+    def window(pad: int) -> tuple[int, int, np.ndarray]:
+        x0, y0 = max(int(box[0]) - pad, 0), max(int(box[1]) - pad, 0)
+        return x0, y0, image[y0 : min(int(box[1] + box[3]) + pad, h), x0 : min(int(box[0] + box[2]) + pad, w)]
+
+    x0, y0, close = window(near)
+    if not close.size or (close @ np.array([0.114, 0.587, 0.299])).var() > most_variance:
+        return None
+    inner, outer = (np.median(a.reshape(-1, 3), axis=0) for a in (close, window(far)[2]))
+    if np.linalg.norm(inner - outer) < least_delta:
+        return None
+    rows, columns = np.nonzero(flood(image, y0, x0, tolerance))
+    return {"x": int(columns.min()), "y": int(rows.min()), "w": int(np.ptp(columns)) + 1, "h": int(np.ptp(rows)) + 1, "rgb": [int(v) for v in inner[::-1]]}
+
+
 def _grid(flat, h, w) -> np.ndarray:
     return np.asarray(flat, np.float64).reshape(int(h), int(w))
 

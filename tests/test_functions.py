@@ -214,3 +214,20 @@ def test_images():
     assert K.median_run(np.array([[1, 1, 0, 1], [0, 0, 0, 0]])) == 1.5 and K.stroke_width(np.zeros((3, 3), bool)) is None
     jpeg = bytes.fromhex("ffd8ffc0001108001000100301220002110103110100")
     assert K.jpeg_sampling(jpeg) == "4:2:0" and K.jpeg_sampling(b"png") is None
+
+
+def test_band_place_and_control():
+    ink = np.zeros((10, 8))
+    ink[1, 3] = ink[8, 3] = 1
+    ink[3:7, 1:7] = 1
+    assert K.core_band(ink) == 4 / 8 and K.core_band(np.zeros((3, 3))) is None
+    target = np.zeros((12, 12))
+    target[4:8, 5:9] = 1
+    shifted = lambda p: np.roll(target, int(p), axis=1)
+    assert K.best_place(target, shifted, [-2, -1, 0, 1, 2]) == (0, pytest.approx(1.0))
+    image = np.full((60, 80, 3), 250.0)
+    image[20:40, 20:60] = (40, 80, 120)
+    found = K.control_behind(image, (30, 26, 20, 8), near=2, far=25, tolerance=5)
+    assert found == {"x": 20, "y": 20, "w": 40, "h": 20, "rgb": [120, 80, 40]}
+    assert K.control_behind(image, (5, 5, 5, 5), near=2, far=8, tolerance=5) is None
+    assert K.control_behind(image, (15, 15, 20, 20), near=2, far=20, tolerance=5) is None, "not plain"
