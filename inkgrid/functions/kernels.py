@@ -342,7 +342,7 @@ def flood(image: np.ndarray, y: int, x: int, tolerance: float) -> np.ndarray:
         seen = new
 
 
-def control_behind(image: np.ndarray, box: tuple[float, float, float, float], near: int, far: int, tolerance: float, most_variance: float = 20.0, least_delta: float = 25.0) -> dict | None:
+def control_behind(image: np.ndarray, box: tuple[float, float, float, float], near: int = 10, far: int = 30, tolerance: float = 18, most_variance: float = 20.0, least_delta: float = 25.0) -> dict | None:
     """Box and colour of the plain area that text stands on, if it differs from the wider surroundings: near pixels
     vary little, and their median is ``least_delta`` or more from that of the far ones. ``image`` is BGR."""
     h, w = image.shape[:2]
