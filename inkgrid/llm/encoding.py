@@ -26,6 +26,8 @@ _CHUNK = re.compile(rf"(?<![ \n])\n(?=[^ \n])|[ \n]*+[{_LETTER}]++(?=[.,])|[ \n]
 #: White space that the cuts do not know, special tokens, and the mark used for cutting.
 _WHOLE = re.compile("[\x01\t\r\f\v\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]|<\\|")
 _WORD = re.compile(rf" ?[{_LETTER}]+")
+#: Characters cut at once: a cut takes about a hundred bytes a character.
+AT_ONCE = 1 << 18
 #: Chunks kept in a ChunkTable before it is emptied.
 KEPT = 1_000_000
 #: Chunks kept in a ChunkMemory per generation; the generation before the current one is kept too.
@@ -267,6 +269,9 @@ class TextEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """ids of each text. Chunks not met before go through the library together."""
+        if len(texts) > 1 and sum(map(len, texts)) > AT_ONCE:
+            half = len(texts) // 2
+            return self.encode_many(texts[:half]) + self.encode_many(texts[half:])
         if not texts:
             return []
         lowered = [t.lower() if self.folds and not ("Σ" in t or "İ" in t) else t for t in texts]
