@@ -121,7 +121,9 @@ def candidate_groups(nodes: DataFrame) -> DataFrame:
     """``node, root`` of the nodes that share a trie node with another, joined through the least node of each."""
     places = nodes.select("node", F.explode("keys").alias("key"))
     hubs = places.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
-    return components(places.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")), "candidates")
+    # a node meets its hub in many trees: once is enough, and spares the hub's joins
+    edges = places.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
+    return components(edges, "candidates")
 
 
 def _links(sets: list[np.ndarray], left: int, threshold: float) -> np.ndarray:
