@@ -98,9 +98,9 @@ def error_rate(edits: Column, length: Column) -> Column:
     return F.round(F.when(length > 0, edits / length), 6)
 
 
-def bench_error_rate(ref: Column, hyp: Column) -> Column:
+def bench_error_rate(ref: Column, hyp: Column, edits: Column | None = None) -> Column:
     """The variant for which an empty reference is right (0) if nothing was read, else wrong (1)."""
-    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(ref, hyp) / F.length(ref))
+    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise((F.levenshtein(ref, hyp) if edits is None else edits) / F.length(ref))
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -124,24 +124,40 @@ def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else edit_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
-def substitutions(a: str, b: str) -> list[tuple[int, int, str, str]]:
+def substitutions(a: str, b: str, cells: int = 1 << 22) -> list[tuple[int, int, str, str]]:
     """(place in a, place in b, character, read as) of one least edit script. Of equal scripts the one that, from the
     end, prefers substitution, then deletion."""
     m, n = len(a), len(b)
-    table = np.zeros((m + 1, n + 1), np.int32)
-    table[0] = np.arange(n + 1)
     y = np.array([ord(c) for c in b])
     steps = np.arange(n + 1)
-    for i in range(1, m + 1):
-        up = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (y != ord(a[i - 1]))) if n else np.empty(0, np.int64)
-        table[i] = np.minimum.accumulate(np.concatenate(([i], up)) - steps) + steps
+
+    def below(row: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Rows ``first`` to ``last`` of the table, of which ``row`` is the first."""
+        table = np.zeros((last - first + 1, n + 1), np.int32)
+        table[0] = row
+        for i in range(1, len(table)):
+            up = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (y != ord(a[first + i - 1]))) if n else np.empty(0, np.int64)
+            table[i] = np.minimum.accumulate(np.concatenate(([first + i], up)) - steps) + steps
+        return table
+
+    # a table of more than ``cells`` is kept a run of rows at a time: the first row of each run, the others anew on the way back
+    run = m or 1 if (m + 1) * (n + 1) <= cells else int(m**0.5) + 1
+    heads, table = [np.arange(n + 1, dtype=np.int32)], None
+    for first in range(0, m, run):
+        table = below(heads[-1], first, min(m, first + run))
+        heads.append(table[-1].copy())
+    at = (m - 1) // run * run if m else 0
     out, i, j = [], m, n
     while i and j:
-        if table[i, j] == table[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+        if i <= at:
+            at -= run
+            table = below(heads[at // run], at, at + run)
+        here, above = table[i - at], table[i - at - 1]
+        if here[j] == above[j - 1] + (a[i - 1] != b[j - 1]):
             i, j = i - 1, j - 1
             if a[i] != b[j]:
                 out.append((i, j, a[i], b[j]))
-        elif table[i, j] == table[i - 1, j] + 1:
+        elif here[j] == above[j] + 1:
             i -= 1
         else:
             j -= 1

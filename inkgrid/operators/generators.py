@@ -76,12 +76,12 @@ def perturb(text: str, kind: str, k: int, name: str, symbols: str = "#@~^") -> t
     return "".join(chars), n
 
 
-def perturbed(df: DataFrame, text: str, name: str, kind: str, k: int) -> DataFrame:
+def perturbed(df: DataFrame, text: str, name: str, kind: str, k: int, symbols: str = "#@~^") -> DataFrame:
     """Adds ``read`` and ``injected``."""
 
     @F.pandas_udf("read string, injected int")
     def run(t: pd.Series, n: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([perturb(a, kind, k, str(b)) if a is not None else (None, None) for a, b in zip(t, n, strict=True)], columns=["read", "injected"])
+        return pd.DataFrame([perturb(a, kind, k, str(b), symbols) if a is not None else (None, None) for a, b in zip(t, n, strict=True)], columns=["read", "injected"])
 
     return df.withColumn("_p", run(text, F.col(name).cast("string"))).select("*", "_p.read", "_p.injected").drop("_p")
 
