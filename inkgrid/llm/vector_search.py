@@ -5,12 +5,13 @@ sqrt(M^2 - |x|^2) with M the largest norm of the table, and queries a zero. Vect
 lists by their nearest k-means centroid. Within a probed list the randomly rotated vectors are read
 in blocks of columns; after d of D columns the partial squared distance times D/d estimates the
 whole one, and a candidate is abandoned as soon as the hypothesis that it belongs to the nearest k
-is rejected: estimate > bound * (1 + epsilon / sqrt(d))^2. The bound of a query is its k-th nearest
-distance within the fitted sample, which cannot be less than the true one. Survivors, and the k
-nearest of the sample, are scored on the original vectors in double precision.
+is rejected: estimate > bound * (1 + epsilon / sqrt(d))^2. The bound of a query is its (k + k/2)-th
+nearest distance within the fitted sample, which cannot be less than the true k-th: if a test errs,
+others are left to make up k. Survivors are scored on
+the original vectors in double precision. Only what the scan finds is returned.
 
-Centroids, the number of probed lists (least that finds ``recall`` of the sample's own neighbours)
-and the bounds come from the at most ``sample`` vectors of least xxhash64(vec_id); every row is
+Centroids, the number of probed lists (least that finds ``recall`` of the sample's own neighbours; more
+for a query whose lists hold no k others of the sample, if there are so many) and the bounds come from the at most ``sample`` vectors of least xxhash64(vec_id); every row is
 indexed. A list longer than ``chunk`` is dealt out in chunks by vec_id, each scanned by its own
 task group, so a vector that a third of all rows repeat is no hot spot.
 
@@ -42,6 +43,7 @@ class Index:
     rotation: np.ndarray
     centroids: np.ndarray
     probes: int
+    sizes: np.ndarray
     sample_ids: np.ndarray
     sample: np.ndarray
     k: int
@@ -56,24 +58,29 @@ class Index:
     def rotated_queries(self, q: np.ndarray) -> np.ndarray:
         return (np.column_stack((q, np.zeros(len(q)))) @ self.rotation).astype(np.float32)
 
-    def nearest_in_sample(self, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(squared distance to the k-th nearest vector of the sample, rows of the nearest k, their scores), the
-        query's own row left out; places beyond what the sample has are -1."""
-        n = min(self.k, len(self.sample))
-        bound, rows, best = np.full(len(q), np.inf), np.full((len(q), n), -1), np.zeros((len(q), n))
+    def bounds(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Squared distance to the (k + k/2)-th nearest vector of the sample, the query's own row left out; infinite if
+        the sample has not so many."""
+        n = min(self.k + self.k // 2, len(self.sample))
+        bound = np.full(len(q), np.inf)
         for lo in range(0, len(q), 256):
             part = q[lo : lo + 256]
             scores = part @ self.sample.T
             scores[ids[lo : lo + 256, None] == self.sample_ids[None, :]] = -np.inf
             top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-            found = np.take_along_axis(scores, top, axis=1)
-            real = np.isfinite(found)
+            real = np.isfinite(np.take_along_axis(scores, top, axis=1))
             exact = products(part[:, None, :], self.sample[top])
-            rows[lo : lo + 256], best[lo : lo + 256] = np.where(real, top, -1), exact
-            enough = real.all(axis=1) & (n == self.k)
+            enough = real.all(axis=1) & (n == self.k + self.k // 2)
             worst = np.where(enough, np.where(real, exact, np.inf).min(axis=1), -np.inf)
             bound[lo : lo + 256] = (part**2).sum(axis=1) + self.top**2 - 2 * worst
-        return bound, rows, best
+        return bound
+
+    def lists(self, q: np.ndarray) -> list[np.ndarray]:
+        """The lists that each query looks into, nearest first."""
+        near = np.argsort(_distances(np.column_stack((q, np.zeros(len(q)))), self.centroids), axis=1, kind="stable").astype(np.int32)
+        held = np.cumsum(self.sizes[near], axis=1)  # the query itself may be one of them
+        n = np.maximum(self.probes, (held <= self.k).sum(axis=1) + 1)
+        return [row[:m] for row, m in zip(near, n.tolist(), strict=True)]
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,12 +128,13 @@ def fit(vectors: DataFrame, k: int = 20, sample: int = 16_384, recall: float = 0
     top = float(sized.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y)))).first()[0]) * (1 + 1e-9)
     rng = np.random.Generator(np.random.PCG64(seed))
     rotation = np.linalg.qr(rng.standard_normal((dims + 1, dims + 1)))[0]
-    index = Index(dims, top, rotation, np.empty((0, dims + 1)), 1, ids, x, k)
+    index = Index(dims, top, rotation, np.empty((0, dims + 1)), 1, np.empty(0, np.int64), ids, x, k)
     full = index.augmented(x)
     n_lists = int(min(max_lists, max(1, len(x) ** 0.5)))
     index.centroids = k_means(full, n_lists, 8, rng)
     # rank of the list of each true neighbour among the lists as the query sees them
     home = _distances(full, index.centroids).argmin(axis=1)
+    index.sizes = np.bincount(home, minlength=n_lists)
     at = rng.choice(len(x), min(256, len(x)), replace=False)
     scores = x[at] @ x.T
     scores[np.arange(len(at)), at] = -np.inf
@@ -156,22 +164,16 @@ def assign(vectors: DataFrame, index: Index) -> DataFrame:
 
 
 def probe(queries: DataFrame, index: Index) -> DataFrame:
-    """vec_id, v, bound, lists (those that each query looks into), near (its nearest of the sample)."""
-    kind = "vec_id long, v array<double>, bound double, lists array<int>, near array<struct<vec_id:long,score:double>>"
-
+    """vec_id, v, bound, lists (those that each query looks into)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = _matrix(batch.column("v"), index.dims)
-            bound, rows, best = index.nearest_in_sample(batch.column("vec_id").to_numpy(), q)
-            near = pa.StructArray.from_arrays([pa.array(index.sample_ids[rows[rows >= 0]]), pa.array(best[rows >= 0])], names=["vec_id", "score"])
-            near = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((rows >= 0).sum(axis=1)))), pa.int32()), near)
-            away = _distances(np.column_stack((q, np.zeros(len(q)))), index.centroids)
-            lists = np.argsort(away, axis=1, kind="stable")[:, : index.probes].astype(np.int32)
-            offsets = pa.array(np.arange(len(q) + 1) * lists.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(bound), pa.ListArray.from_arrays(offsets, pa.array(lists.ravel())), near], names=["vec_id", "v", "bound", "lists", "near"])
+            bound = index.bounds(batch.column("vec_id").to_numpy(), q)
+            lists = pa.array(index.lists(q), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(bound), lists], names=["vec_id", "v", "bound", "lists"])
 
-    return queries.filter(F.size("v") == index.dims).select("vec_id", "v").mapInArrow(task("vectors")(run), kind)
+    return queries.filter(F.size("v") == index.dims).select("vec_id", "v").mapInArrow(task("vectors")(run), "vec_id long, v array<double>, bound double, lists array<int>")
 
 
 def scan_block(data: np.ndarray, queries: np.ndarray, bounds: np.ndarray, top: float, width: int = 16, epsilon: float = 2.1) -> tuple[np.ndarray, np.ndarray]:
@@ -262,13 +264,11 @@ def search(embeddings: DataFrame, is_query, k: int = 20, chunk: int = 4096, **ho
     chunks = F.broadcast(placed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(float(chunk))).cast("int").alias("chunks")))
     rows = placed.join(chunks, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(None).cast("double").alias("bound"), "vec_id", "v")
     queries = probe(vectors.filter(is_query), index)
-    sure = queries.select(F.col("vec_id").alias("query_id"), F.inline("near"))
     asked = queries.withColumn("list", F.explode("lists")).join(chunks, "list")
     asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "bound", "vec_id", "v")
     blocks = rows.unionByName(asked).repartition("list", "chunk").sortWithinPartitions("list", "chunk", F.col("bound").asc_nulls_first())
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = scan(blocks, index).unionByName(sure).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    found = scan(blocks, index).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
 
 

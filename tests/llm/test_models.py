@@ -132,6 +132,26 @@ def test_search_against_brute_force(spark):
     assert [v for _, v, _ in sorted(got[20])] == [v for v in range(700, 710)], "ties go to the smaller id"
 
 
+def test_only_the_scan_answers(spark, monkeypatch):
+    """What the scan does not find is not returned, and it alone finds most with a sample far below the table."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 24))
+    x = (centres[rng.integers(0, 12, 2000)] + 0.4 * rng.standard_normal((2000, 24))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hits = {q: set() for q in range(0, 2000, 20)}
+    for r in vector_search.search(df, F.col("vec_id") % 20 == 0, k=10, chunk=100, sample=100).collect():
+        hits[r["query_id"]].add(r["vec_id"])
+    found = 0
+    for q, got in hits.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(got) == 10
+        found += len(got & set(np.argsort(-s)[:10].tolist()))
+    assert found / 1000 >= 0.9
+    monkeypatch.setattr(vector_search, "scan", lambda blocks, index: spark.createDataFrame([], "query_id long, vec_id long, score double"))
+    assert vector_search.search(df, F.col("vec_id") % 20 == 0, k=10, sample=100).count() == 0
+
+
 def test_search_of_odd_rows(spark, odd_dir, empty_dir):
     got = vector_search.op3_adaptive_dimension_scan(spark, odd_dir).collect()
     good = {i: v for i, v in VECTORS if i is not None and v and len(v) == 2 and None not in v and any(v) and all(np.isfinite(v))}
