@@ -1,12 +1,12 @@
-"""N-gram Jaccard join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash banding of one fixed depth, then exact verification.
 
 Texts are sets of five-word shingles (lower case; a text of 1 to 4 words is one shingle). Texts
-with one shingle set are one node. Each node has a signature of ``trees`` x depth minima, and tree t
-is the prefix trie of its part of the signatures. Matching starts at ``max_depth`` levels and the
-matched prefix is shortened a level at a time until a pair at the threshold is found with
-probability ``recall`` (1 - (1 - s^depth)^trees); a set too small to have a partner other than
-itself at the threshold is not matched below full depth, that is, not at all. Nodes that share a
-prefix in any tree form candidate groups (connected through the least id of each trie node, never
+with one shingle set are one node. Each node has a signature of ``trees`` bands of depth minima. The
+depth is the greatest, up to ``max_depth``, at which a pair at the threshold is found with probability
+``recall`` (1 - (1 - s^depth)^trees); it depends on these numbers alone, not on the data, and is the
+same for all nodes (an LSH forest would shorten prefixes as needed). A set too small to have a partner other than
+itself at the threshold is not matched at all. Nodes that share a
+band form candidate groups (connected through the least id of each band value, never
 all pairs). Every pair within a candidate group is then verified on the whole shingle sets.
 
 A group of more than ``block`` nodes is dealt out as pairs of blocks, so no task holds a group and
@@ -44,7 +44,7 @@ def recall_at(similarity: float, depth: int, trees: int) -> float:
 
 
 def shortened_depth(threshold: float, recall: float, trees: int, max_depth: int) -> int:
-    """Shorten the matched prefix from ``max_depth`` until pairs at the threshold are found often enough."""
+    """The greatest depth up to ``max_depth`` at which pairs at the threshold are found often enough."""
     depth = max_depth
     while depth > 1 and recall_at(threshold, depth, trees) < recall:
         depth -= 1
@@ -118,7 +118,7 @@ def sign(documents: DataFrame, size: int, trees: int, depth: int, least: int) ->
 
 
 def candidate_groups(nodes: DataFrame) -> DataFrame:
-    """``node, root`` of the nodes that share a trie node with another, joined through the least node of each."""
+    """``node, root`` of the nodes that share a band value with another, joined through the least node of each."""
     places = nodes.select("node", F.explode("keys").alias("key"))
     hubs = places.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
     # a node meets its hub in many trees: once is enough, and spares the hub's joins
