@@ -385,7 +385,8 @@ def _buckets(texts: DataFrame, least: int, gram: int, crowd: int) -> tuple[DataF
 
 
 def repeat_groups(documents: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """Repeat groups among distinct surroundings, a row an occurrence: grp, length, maximal, doc, lo, first. Lengths
+    """Repeat groups among distinct surroundings, a row an occurrence: grp, length, maximal, doc, lo, first. Occurrences
+    whose surroundings equal earlier ones are left out, and with them repeats that have no other kind. Lengths
     are limited by the surroundings of an anchor (below 2 x ``least`` bytes); longer repeats appear as overlapping groups."""
     texts = _ordered(documents).select(F.col("_doc").alias("doc"), F.col("_text").alias("text"))
     return bucket_groups(_buckets(texts, least, gram, crowd)[1], least, roots_only=False)
