@@ -8,7 +8,7 @@ import pytest
 
 from inkgrid.llm import suffix_dedup as S
 
-from .conftest import DOCUMENTS, LONG, PASSAGE
+from .conftest import DOCUMENTS, LONG, PASSAGE, sentence
 
 
 def brute(rows: list[tuple[int, str]], least: int) -> dict[int, tuple]:
@@ -74,11 +74,65 @@ def test_maximal_repeats_equal_brute_force():
         assert {(n, tuple(at)) for n, at in S.maximal_repeats(texts, 3)} == want
 
 
-def test_repeat_groups_hold_all_occurrences(spark):
-    passage = "the passage that several documents hold in common, long enough to be a repeat of its own right here"
-    rows = [(i, f"{'abcdefg'[i] * 30} {passage} {'hijklmn'[i] * 30}") for i in range(5)]
-    got = S.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string"), least=60, gram=20).filter("root").groupBy("grp").agg({"doc": "count", "first": "max"}).collect()
-    assert got and all(r["count(doc)"] == 5 for r in got)
+def closures(rows: list[tuple[int, str]], least: int) -> set:
+    """(length, all occurrences) of the greatest string around each repeated window that stands wherever it stands."""
+    texts = {d: t.encode() for d, t in rows}
+    places: dict[bytes, list] = {}
+    for d, b in sorted(texts.items()):
+        for p in range(len(b) - least + 1):
+            places.setdefault(b[p : p + least], []).append((d, p))
+    out = set()
+    for at in places.values():
+        if len(at) > 1:
+            left, right = 0, least
+            while len({texts[d][p - left - 1] if p > left else -1 - i for i, (d, p) in enumerate(at)}) == 1:
+                left += 1
+            while len({texts[d][p + right] if p + right < len(texts[d]) else -1 - i for i, (d, p) in enumerate(at)}) == 1:
+                right += 1
+            out.add((left + right, tuple((d, p - left) for d, p in at)))
+    return out
+
+
+def groups(spark, rows, **how) -> set:
+    found: dict[tuple, list] = {}
+    for r in S.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), **how).collect():
+        found.setdefault((r["grp_doc"], r["grp_lo"], r["length"]), []).append((r["doc"], r["lo"]))
+    assert all(k[:2] == min(v) for k, v in found.items())
+    return {(k[2], tuple(sorted(v))) for k, v in found.items()}
+
+
+@pytest.mark.parametrize(("seed", "crowd"), [(0, 4096), (1, 4096), (1, 1)])
+def test_groups_equal_brute_force(spark, seed, crowd):
+    rows = corpus(seed)
+    assert groups(spark, rows, least=40, gram=12, crowd=crowd) == closures(rows, 40)
+
+
+def test_a_long_passage_is_one_group(spark):
+    """700 bytes in five documents, two of them equal: one group with all places, one more for the equal documents."""
+    passage = sentence(31, 200)[:700]
+    texts = [f"{sentence(i, 40)} {passage} {sentence(50 + i, 40)}" for i in range(4)]
+    rows = [*enumerate(texts), (4, texts[2])]
+    got = groups(spark, rows)
+    (whole,) = [g for g in got if len(g[1]) == 5]
+    assert 700 <= whole[0] <= 704 and {d for d, _ in whole[1]} == {0, 1, 2, 3, 4}
+    assert got == closures(rows, 100) and (len(texts[2]), ((2, 0), (4, 0))) in got
+
+
+def test_repeated_rows_without_an_earlier_twin_stay(spark):
+    text, other = sentence(21, 90), sentence(22, 90)
+    rows = [(5, text), (5, text), (None, other), (None, other), (7, sentence(23, 90))]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], with_text=True).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"], r["kept"]) for r in got) == sorted((str(d), 0, t) for d, t in rows)
+
+
+def test_carried_columns_come_back(spark):
+    names = ["doc", "text", "marks", "row", "_doc", "_id", "_text", "key", "n_bytes", "a b"]
+    rows = [(i, sentence(3, 80), *("x" * len(names[2:])), "y") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names if c != "text"))
+    got = S.remove_repeats(df, ["doc_id", *names])
+    assert got.columns == ["doc_id", *[c for c in names if c != "n_bytes"], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    for r in got.collect():
+        assert r["doc"] == r["_doc"] == r["marks"] == "x" and r["text"] == sentence(3, 80) and (r["n_removed"] > 0) == (r["doc_id"] > 0)
 
 
 def test_odd_rows(spark, odd_dir, empty_dir):
