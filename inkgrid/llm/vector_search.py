@@ -7,8 +7,9 @@ in blocks of columns; after d of D columns the partial squared distance times D/
 whole one, and a candidate is abandoned as soon as the hypothesis that it belongs to the nearest k
 is rejected: estimate > bound * (1 + epsilon / sqrt(d))^2. The bound of a query is its (k + k/2)-th
 nearest distance within the fitted sample, which cannot be less than the true k-th: if a test errs,
-others are left to make up k. Survivors are scored on
-the original vectors in double precision. Only what the scan finds is returned.
+others are left to make up k. Survivors are scored on the original vectors in double precision. Only
+what the scan finds is returned: the sample gives bounds, never rows. A query that is left with fewer
+than k rows, though there are more vectors, is scanned again through all lists without a bound.
 
 Centroids, the number of probed lists (least that finds ``recall`` of the sample's own neighbours; more
 for a query whose lists hold no k others of the sample, if there are so many) and the bounds come from the at most ``sample`` vectors of least xxhash64(vec_id); every row is
@@ -23,14 +24,14 @@ order) stands for it. Ties go to the smaller vec_id. Without queries or candidat
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 from .memory import task
 
 
@@ -47,6 +48,11 @@ class Index:
     sample_ids: np.ndarray
     sample: np.ndarray
     k: int
+    total: int = 0
+
+    def bare(self) -> Index:
+        """Without the sample, for tasks that need only rotation and centroids."""
+        return replace(self, sample_ids=self.sample_ids[:0], sample=self.sample[:0])
 
     def augmented(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.top**2 - (x * x).sum(axis=1), 0))
@@ -125,10 +131,11 @@ def fit(vectors: DataFrame, k: int = 20, sample: int = 16_384, recall: float = 0
     ids = np.array(rows["vec_id"], np.int64)[same]
     x = np.array([v for v, ok in zip(rows["v"], same, strict=True) if ok])
     sized = vectors.filter(F.size("v") == dims)
-    top = float(sized.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y)))).first()[0]) * (1 + 1e-9)
+    top, total = sized.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))), F.count("*")).first()
+    top = float(top) * (1 + 1e-9)
     rng = np.random.Generator(np.random.PCG64(seed))
     rotation = np.linalg.qr(rng.standard_normal((dims + 1, dims + 1)))[0]
-    index = Index(dims, top, rotation, np.empty((0, dims + 1)), 1, np.empty(0, np.int64), ids, x, k)
+    index = Index(dims, top, rotation, np.empty((0, dims + 1)), 1, np.empty(0, np.int64), ids, x, k, total)
     full = index.augmented(x)
     n_lists = int(min(max_lists, max(1, len(x) ** 0.5)))
     index.centroids = k_means(full, n_lists, 8, rng)
@@ -153,6 +160,7 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 def assign(vectors: DataFrame, index: Index) -> DataFrame:
     """vec_id, v, list."""
+    index = index.bare()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,6 +206,7 @@ _FOUND = "query_id long, vec_id long, score double"
 def scan(blocks: DataFrame, index: Index, n_queries: int = 64) -> DataFrame:
     """From rows (list, chunk, bound, vec_id, v) sorted with the vectors (null bound) of a block before its queries:
     the k best of each query in the block."""
+    index = index.bare()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, data, ids, rotated, waiting = None, [], [], None, []
@@ -263,13 +272,24 @@ def search(embeddings: DataFrame, is_query, k: int = 20, chunk: int = 4096, **ho
     # a row a list, at most max_lists: may be broadcast
     chunks = F.broadcast(placed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(float(chunk))).cast("int").alias("chunks")))
     rows = placed.join(chunks, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(None).cast("double").alias("bound"), "vec_id", "v")
-    queries = probe(vectors.filter(is_query), index)
-    asked = queries.withColumn("list", F.explode("lists")).join(chunks, "list")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "bound", "vec_id", "v")
-    blocks = rows.unionByName(asked).repartition("list", "chunk").sortWithinPartitions("list", "chunk", F.col("bound").asc_nulls_first())
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = scan(blocks, index).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+
+    def answers(queries: DataFrame) -> DataFrame:
+        asked = queries.withColumn("list", F.explode("lists")).join(chunks, "list")
+        asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "bound", "vec_id", "v")
+        blocks = rows.unionByName(asked).repartition("list", "chunk").sortWithinPartitions("list", "chunk", F.col("bound").asc_nulls_first())
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = scan(blocks, index).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return found.select("query_id", "rank", "vec_id", "score")
+
+    queries = vectors.filter(is_query).filter(F.size("v") == index.dims)
+    found = materialize(answers(probe(queries, index)), "nearest")
+    full = found.groupBy("query_id").count().filter(F.col("count") >= min(k, index.total - 1)).select(F.col("query_id").alias("vec_id"))
+    short = materialize(queries.join(full, "vec_id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    every = short.select("vec_id", "v", F.lit(float("inf")).alias("bound"), F.sequence(F.lit(0), F.lit(len(index.centroids) - 1)).alias("lists"))
+    again = answers(every)
+    return found.join(short, found.query_id == short.vec_id, "left_anti").unionByName(again)
 
 
 def op3_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
