@@ -15,7 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``; a folder of our own only if that is unset."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``. Where that is unset, a folder of our own if driver and
+    executors are one process; on a cluster it must be set."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="inkgrid-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -71,6 +71,67 @@ def test_depth_shortens_until_the_recall_is_reached():
     assert J.least_partnered(0.8) == 4
 
 
+def test_crowded_tries_stay_as_deep_as_the_recall_allows():
+    how = (0.8, 0.999, 20, 5, 8)
+    for crowded in range(21):
+        depth, n = J.crowded_depths(crowded, *how)
+        missed = (1 - 0.8**5) ** (20 - crowded) * (1 - 0.8**depth) ** n * (1 - 0.8 ** (depth + 1)) ** (crowded - n)
+        assert missed <= 0.001 and 5 <= depth < 8
+        if n:
+            assert missed * (1 - 0.8 ** (depth + 1)) / (1 - 0.8**depth) > 0.001, "one prefix less shortened would miss too many"
+    assert J.crowded_depths(2, *how)[0] == 7 and J.crowded_depths(20, *how)[0] == 5
+
+
+def test_crowded_tries_lose_no_link(spark):
+    """Trie nodes of over ``leaf`` members, with prefixes of several depths."""
+    rows = list(enumerate(t for s in (41, 42) for t in family(s, 60, 4)))
+    assert run(spark, rows, leaf=4) == brute(rows)
+
+
+def chain(n: int, words: int = 120, step: int = 16) -> list[tuple[int, str]]:
+    """Overlapping texts: neighbours share three quarters of their shingles, none 0.8 of their union."""
+    base = sentence(77, words + step * n).split()
+    return [(i, " ".join(base[i * step : i * step + words])) for i in range(n)]
+
+
+def test_a_chain_is_compared_trie_node_by_trie_node(spark):
+    rows = chain(80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = J.sign(docs, 5, 20, 5, 8, 4).withColumnRenamed("doc_id", "node")
+    members = J.trie_nodes(signed, 0.8, 0.999, 20, 5, 8, 64)
+    largest = members.groupBy("cell").count().agg({"count": "max"}).first()[0]
+    groups = J.candidate_groups(members, True).groupBy("grp", "tree").count().agg({"count": "max"}).first()[0]
+    chained = components(members.selectExpr("node AS a", "hub AS b")).groupBy("root").count().agg({"count": "max"}).first()[0]
+    assert groups <= max(largest, 6) < chained
+    assert run(spark, rows) == brute(rows)
+
+
+def test_links_met_in_several_trees_count_once(spark):
+    """Copies with edits along a chain: groups by trie node, links and classes as by brute force."""
+    rows = chain(60)
+    rows += [(100 + i, t.replace(t.split()[50], "edited", 1)) for i, t in rows[::3]]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_recall_by_similarity(spark):
+    """Edited copies from 0.8 up: found links by bin of similarity."""
+    rows, rng = [], random.Random(9)
+    for s in range(150):
+        base = sentence(1000 + s, 150).split()
+        own = list(base)
+        for _ in range(rng.randint(1, 3)):
+            own[rng.randrange(len(own))] = f"edit{rng.randrange(10**6)}"
+        rows += [(2 * s, " ".join(base)), (2 * s + 1, " ".join(own))]
+    got = run(spark, rows)
+    bins: dict[int, list[bool]] = {}
+    for s in range(150):
+        a, b = shingles(rows[2 * s][1]), shingles(rows[2 * s + 1][1])
+        j = len(a & b) / len(a | b)
+        if j >= 0.8:
+            bins.setdefault(int(j * 20), []).append(got[2 * s + 1][0] == 2 * s)
+    assert len(bins) >= 3 and all(sum(x) / len(x) >= 0.9 for x in bins.values())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (103, 101), (200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
