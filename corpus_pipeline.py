@@ -2,15 +2,14 @@
 passages are cut out, and what is left is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
-return the columns of the documents they get, whatever further columns those have. Rows with a null
-doc_id stay (they cannot be named in a class); rows that repeat a doc_id count as one document, of
-which the row with the least xxhash64(text) stays. A text that is cut away whole stays as an empty
-text. Empty tables pass through.
+return the columns of the documents they get, whatever further columns those have. Rows that repeat a
+doc_id, or have none, are documents of their own: each stays unless it is a near copy of another row.
+A text that is cut away whole stays as an empty text. Empty tables pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgrid.llm.common import materialize, table, vocabulary_path
@@ -32,14 +31,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of the n-gram Jaccard join the document of least doc_id stays."""
-    classes = jaccard_join(docs.select("doc_id", "text"))
-    beside = classes.filter("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = _boxed(docs).join(beside, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        kept = kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1 OR doc_id IS NULL")
-    return kept.select("row.*")
+    """Of each class of the n-gram Jaccard join the row of least doc_id stays (null last, then least xxhash64(text))."""
+    rows = _boxed(docs).withColumn("place", F.col("doc_id").cast("long"))
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
+        # ids that name no single row: rows are numbered by a distributed sort
+        ordered = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+        rows = materialize(ordered.withColumn("place", F.monotonically_increasing_id()), "numbered")
+    classes = jaccard_join(rows.select(F.col("place").alias("doc_id"), "text"))
+    gone = classes.filter("class_id <> doc_id").select(F.col("doc_id").alias("place"))
+    return rows.join(gone, "place", "left_anti").select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
