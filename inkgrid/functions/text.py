@@ -1,7 +1,7 @@
 """Text functions: normal forms, tokens, edit distances and classifications.
 
 Code points are the unit everywhere. Normal forms need Unicode tables that Spark lacks and run as
-Arrow functions; ASCII text, the common case, passes through the same function unchanged in kind.
+Arrow functions; ASCII text, the common case, does not leave the JVM.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -35,20 +36,36 @@ def normal_form(text: str | None) -> str | None:
     return _BLANKS.sub(" ", unicodedata.normalize("NFKC", text).translate(_REPLACED)).strip()
 
 
+def n1_ascii(text: Column) -> Column:
+    """The normal form of ASCII text, without leaving the JVM."""
+    return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r\x1C-\x1F]+", " "))
+
+
 @F.pandas_udf(T.StringType())
-def n1(text: pd.Series) -> pd.Series:
+def _n1(text: pd.Series) -> pd.Series:
     return text.map(normal_form, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def n2(text: pd.Series) -> pd.Series:
-    """Normal form, case folded (not merely lower-cased)."""
+def _n2(text: pd.Series) -> pd.Series:
     return text.map(lambda t: normal_form(t).casefold(), na_action="ignore")
 
 
-def n1_ascii(text: Column) -> Column:
-    """The normal form of ASCII text, without leaving the JVM."""
-    return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r\x1C-\x1F]+", " "))
+def _by_script(text: Column | str, plain: Callable[[Column], Column], other: Callable[[Column], Column]) -> Column:
+    """ASCII rows stay in the JVM; the Arrow function gets a null for each of them."""
+    text = F.col(text) if isinstance(text, str) else text
+    beyond = text.rlike(r"[^\x00-\x7F]")
+    return F.when(beyond, other(F.when(beyond, text))).otherwise(plain(text))
+
+
+def n1(text: Column | str) -> Column:
+    """Normal form."""
+    return _by_script(text, n1_ascii, _n1)
+
+
+def n2(text: Column | str) -> Column:
+    """Normal form, case folded (not merely lower-cased)."""
+    return _by_script(text, lambda t: F.lower(n1_ascii(t)), _n2)
 
 
 def without_spaces(normal: Column) -> Column:
@@ -69,10 +86,19 @@ def is_numeric_token(token: Column) -> Column:
     return token.rlike("[0-9]")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once (a lambda variable, not an expression repeated in every lambda)."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def multiset(items: Column) -> Column:
-    """map<item, count> of an array."""
-    distinct = F.array_distinct(items)
-    return F.map_from_entries(F.transform(distinct, lambda d: F.struct(d, F.size(F.filter(items, lambda x: x == d)))))
+    """map<item, count> of an array: places of change in the sorted array, and the gaps between them."""
+
+    def counted(s: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i < F.size(s)) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        return _bound(places, lambda at: F.map_from_arrays(F.transform(at, lambda i: F.get(s, i)), F.transform(at, lambda i, k: F.coalesce(F.get(at, k + 1), F.size(s)) - i)))
+
+    return _bound(F.array_sort(items), counted)
 
 
 def multiset_common(a: Column, b: Column) -> Column:

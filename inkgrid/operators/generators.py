@@ -53,30 +53,42 @@ def resample(df: DataFrame, stratum: str, order: str, seed: int) -> DataFrame:
     return df.groupBy(stratum).applyInPandas(draw, df.schema)
 
 
-def perturb(text: str, kind: str, k: int, name: str, symbols: str = "#@~^") -> tuple[str, int]:
-    """(text at edit distance exactly n, n): n = min(k, length) substitutions or deletions, or k insertions, of symbols
-    that the text does not hold, at places drawn from the SHA-256 of ``name``."""
-    rng = np.random.Generator(np.random.PCG64(int(hashlib.sha256(name.encode()).hexdigest()[:8], 16)))
+#: What is put into a text; of further ones there are as many as are needed.
+SYMBOLS = "#@~^"
+
+
+def _free_symbols(text: str, symbols: str) -> list[str]:
+    """Those that the text does not hold; if it holds them all, the first letter of a further alphabet that it does not."""
     free = [s for s in symbols if s not in text]
-    if not free:
-        raise ValueError("every symbol is in the text")
-    chars = list(text)
+    return free or [next(chr(c) for c in range(0x2580, 0x110000) if chr(c) not in text and not 0xD800 <= c < 0xE000)]
+
+
+def perturb(text: str, kind: str, k: int, name: str, symbols: str = SYMBOLS) -> tuple[str, int]:
+    """(text at edit distance exactly n, n): n substitutions, deletions or insertions of symbols that the text does not hold,
+    at places drawn from the SHA-256 of ``name``. No place is white space or next to it (an insertion: between two
+    others), so that the distance is n after the normal form too. n is ``k``, or less if there are not so many places."""
+    rng = np.random.Generator(np.random.PCG64(int(hashlib.sha256(name.encode()).hexdigest()[:8], 16)))
+    free = _free_symbols(text, symbols)
+    ink = np.array([not c.isspace() for c in text], bool)
     if kind == "insert":
-        for at in sorted(rng.integers(0, len(chars) + 1, k).tolist(), reverse=True):
-            chars.insert(at, free[int(rng.integers(len(free)))])
-        return "".join(chars), k
-    n = min(k, len(chars))
-    for at in sorted(rng.choice(len(chars), n, replace=False).tolist(), reverse=True) if n else []:
-        if kind == "substitute":
-            chars[at] = free[int(rng.integers(len(free)))]
-        elif kind == "delete":
-            del chars[at]
-        else:
-            raise ValueError(f"unknown kind {kind!r}")
-    return "".join(chars), n
-
-
-def perturbed(df: DataFrame, text: str, name: str, kind: str, k: int, symbols: str = "#@~^") -> DataFrame:
+        room = np.flatnonzero(ink[1:] & ink[:-1]) + 1
+        places = rng.choice(room, k).tolist() if len(room) else []
+    elif kind in ("substitute", "delete"):
+        inner = ink.copy()
+        inner[1:] &= ink[:-1]
+        inner[:-1] &= ink[1:]
+        room = np.flatnonzero(inner)
+        places = rng.choice(room, min(k, len(room)), replace=False).tolist() if len(room) else []
+    else:
+        raise ValueError(f"unknown kind {kind!r}")
+    new = [free[i] for i in rng.integers(len(free), size=len(places)).tolist()]
+    chars = list(text)
+    for at, symbol in sorted(zip(places, new, strict=True), reverse=True):
+        chars[at : at + (kind != "insert")] = [] if kind == "delete" else [symbol]
+    return "".join(chars), len(places)
+
+
+def perturbed(df: DataFrame, text: str, name: str, kind: str, k: int, symbols: str = SYMBOLS) -> DataFrame:
     """Adds ``read`` and ``injected``."""
 
     @F.pandas_udf("read string, injected int")

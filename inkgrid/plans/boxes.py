@@ -215,23 +215,13 @@ def w15_positions(spark, sf_dir):
     return ordering.positions(gt_lines(spark, sf_dir), ["image_id"], ["ln"], F.col("b.w"), 2.0).select("image_id", "ln", "position")
 
 
-@query(f"""WITH {GT}, px AS (SELECT image_id, unnest(range(x::BIGINT, (x + w)::BIGINT)) AS col FROM gt WHERE l_partkey % 2 = 0), d AS (SELECT DISTINCT image_id, col FROM px WHERE col % 7 < 4),
+@query(f"""WITH {GT}, px AS (SELECT image_id, unnest(range(x::BIGINT, (x + w)::BIGINT)) AS col FROM gt), d AS (SELECT DISTINCT image_id, col FROM px WHERE col % 7 < 4),
 m AS (SELECT *, CASE WHEN col - lag(col) OVER (PARTITION BY image_id ORDER BY col) <= 3 THEN 0 ELSE 1 END AS new FROM d), r AS (SELECT *, sum(new) OVER (PARTITION BY image_id ORDER BY col) AS run FROM m)
-SELECT image_id, run::BIGINT AS run, min(col) AS first, max(col) AS last FROM r GROUP BY image_id, run""")
+SELECT image_id, run::BIGINT AS run, min(col) AS first, max(col) AS last FROM r GROUP BY image_id, run""", also="w09_ink_runs_whole")
 def w09_ink_runs(spark, sf_dir):
-    """Runs of ink columns, gaps of up to two bridged; of the lines that its SQL reads (even l_partkey)."""
-    return _ink_runs(spark, sf_dir, "l_partkey % 2 = 0")
-
-
-@query()
-def w09_ink_runs_whole(spark, sf_dir):
-    """W09 of all lines."""
-    return _ink_runs(spark, sf_dir, "true")
-
-
-def _ink_runs(spark, sf_dir, where):
+    """Runs of ink columns, gaps of up to two bridged."""
     b = F.col("b")
-    columns = gt_lines(spark, sf_dir).filter(where).select("image_id", F.explode(F.sequence(b["x"].cast("bigint"), G.right(b).cast("bigint") - 1)).alias("col")).distinct()
+    columns = gt_lines(spark, sf_dir).select("image_id", F.explode(F.sequence(b["x"].cast("bigint"), G.right(b).cast("bigint") - 1)).alias("col")).distinct()
     return ordering.runs(columns, ["image_id"], "col", F.col("col") % 7 < 4, bridge=2)
 
 

@@ -239,23 +239,13 @@ def x24_profiles(spark, sf_dir):
     return a.groupBy("label").agg(_r(F.sqrt(F.sum(F.col("m") * F.col("m"))), 5).alias("norm"), _r(F.max(F.abs("m")), 5).alias("most"))
 
 
-@query("""WITH p AS (SELECT vec_id, embedding AS a, lead(embedding) OVER (ORDER BY vec_id) AS b FROM embeddings), m AS (SELECT vec_id, list_transform(range(1, 65), lambda i: (a[i] > 0)::INT) AS x, list_transform(range(1, 65), lambda i: (b[i] > 0)::INT) AS y FROM p WHERE b IS NOT NULL AND vec_id % 2 = 0),
-c AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: least(x[i], y[i]))) AS n, list_sum(list_transform(range(1, 65), lambda i: greatest(x[i], y[i]))) AS u FROM m) SELECT vec_id, round(CASE WHEN u = 0 THEN 1 ELSE n / u END, 6) AS iou FROM c""")
+@query("""WITH p AS (SELECT vec_id, embedding AS a, lead(embedding) OVER (ORDER BY vec_id) AS b FROM embeddings), m AS (SELECT vec_id, list_transform(range(1, 65), lambda i: (a[i] > 0)::INT) AS x, list_transform(range(1, 65), lambda i: (b[i] > 0)::INT) AS y FROM p WHERE b IS NOT NULL),
+c AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: least(x[i], y[i]))) AS n, list_sum(list_transform(range(1, 65), lambda i: greatest(x[i], y[i]))) AS u FROM m) SELECT vec_id, round(CASE WHEN u = 0 THEN 1 ELSE n / u END, 6) AS iou FROM c""", also="x01_mask_iou_whole")
 def x01_mask_iou(spark, sf_dir):
-    """IoU of sign masks of neighbouring vectors, by the Arrow kernel; every second pair, as its SQL has it."""
-    return _mask_iou(spark, sf_dir, "vec_id % 2 = 0")
-
-
-@query()
-def x01_mask_iou_whole(spark, sf_dir):
-    """X01 of all pairs."""
-    return _mask_iou(spark, sf_dir, "true")
-
-
-def _mask_iou(spark, sf_dir, where):
+    """IoU of sign masks of neighbouring vectors, by the Arrow kernel."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x > 0).cast("float")).alias("a"))
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
-    return e.join(nxt, "vec_id").filter(where).select("vec_id", _r(K.mask_iou_column("a", "b", F.lit(8), F.lit(8))).alias("iou"))
+    return e.join(nxt, "vec_id").select("vec_id", _r(K.mask_iou_column("a", "b", F.lit(8), F.lit(8))).alias("iou"))
 
 
 @query()

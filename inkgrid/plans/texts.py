@@ -11,22 +11,14 @@ from ..operators.tables import read
 from .registry import query
 from .standin import TEXTS, text_pairs
 
-#: A short ASCII line of each document: what a line of recognised text would hold. Queries named after it read these
-#: prefixes only, to equal the SQL; ``_whole`` and those without SQL read all lines (``_all_lines``).
-LINES = """l AS (SELECT doc_id, lang, source, trim(regexp_replace(split_part(regexp_replace(text, '[^ -~\\n]', '', 'g'), chr(10), 1), ' +', ' ', 'g')) AS ref,
- trim(regexp_replace(split_part(regexp_replace(text, '[^ -~\\n]', '', 'g'), chr(10), 2), ' +', ' ', 'g')) AS hyp FROM documents),
-p AS (SELECT doc_id, lang, source, substr(ref, 1, 80) AS ref, substr(hyp, 1, 80) AS hyp FROM l)"""
+#: Every line of a document, whole and in ASCII, read as the line after it; after the last line nothing is read.
+LINES = """l AS (SELECT doc_id, lang, source, string_split(regexp_replace(text, '[^ -~\\n]', '', 'g'), chr(10)) AS parts FROM documents),
+s AS (SELECT doc_id, lang, source, (generate_subscripts(parts, 1) - 1)::INT AS line, trim(regexp_replace(unnest(parts), ' +', ' ', 'g')) AS ref FROM l),
+p AS (SELECT *, coalesce(lead(ref) OVER (PARTITION BY doc_id ORDER BY line), '') AS hyp FROM s)"""
 
 
 def _lines(spark, sf_dir):
-    plain = F.regexp_replace("text", "[^ -~\n]", "")
-    part = [F.substring(F.trim(F.regexp_replace(F.split_part(plain, F.lit("\n"), F.lit(k)), " +", " ")), 1, 80) for k in (1, 2)]
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", "source", part[0].alias("ref"), part[1].alias("hyp"))
-
-
-def _all_lines(spark, sf_dir):
-    """doc_id, line, lang, source, ref, hyp: every line of a document, whole, read as the line after it; after the last
-    line nothing is read. A null text is one row of nulls."""
+    """doc_id, line, lang, source, ref, hyp: as LINES. A null text is one row of nulls."""
     parts = F.split(F.regexp_replace("text", "[^ -~\n]", ""), "\n", -1)
     rows = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.transform(parts, lambda s: F.trim(F.regexp_replace(s, " +", " "))).alias("lines"))
     pairs = F.transform("lines", lambda s, k: F.struct(s.alias("ref"), F.coalesce(F.get("lines", k + 1), F.lit("")).alias("hyp")))
@@ -37,16 +29,10 @@ def _r(c, n=6):
     return F.round(c, n)
 
 
-@query(f"WITH {LINES} SELECT doc_id, levenshtein(ref, hyp)::INT AS edits, length(ref)::INT AS n, round(CASE WHEN length(ref) > 0 THEN levenshtein(ref, hyp) / length(ref) END, 6) AS cer, round(CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) = 0 THEN 0 ELSE 1 END ELSE levenshtein(ref, hyp) / length(ref) END, 6) AS bench_cer FROM p")
+@query(f"WITH {LINES} SELECT doc_id, line, levenshtein(ref, hyp)::INT AS edits, length(ref)::INT AS n, round(CASE WHEN length(ref) > 0 THEN levenshtein(ref, hyp) / length(ref) END, 6) AS cer, round(CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) = 0 THEN 0 ELSE 1 END ELSE levenshtein(ref, hyp) / length(ref) END, 6) AS bench_cer FROM p", also="f06_character_distance_whole")
 def f06_character_distance(spark, sf_dir):
-    """F06, M13, M14, on the prefixes that its SQL reads."""
-    return _character_distance(_lines(spark, sf_dir), "doc_id")
-
-
-@query()
-def f06_character_distance_whole(spark, sf_dir):
-    """F06, M13, M14 of all lines."""
-    return _character_distance(_all_lines(spark, sf_dir), "doc_id", "line")
+    """F06, M13, M14."""
+    return _character_distance(_lines(spark, sf_dir), "doc_id", "line")
 
 
 def _character_distance(rows, *key):
@@ -56,34 +42,22 @@ def _character_distance(rows, *key):
     return rows.select(*key, "edits", F.length(r).alias("n"), X.error_rate(edits, F.length(r)).alias("cer"), _r(X.bench_error_rate(r, h, edits)).alias("bench_cer"))
 
 
-@query(f"WITH {LINES} SELECT lang, source, round(sum(levenshtein(ref, hyp)) / sum(length(ref)), 6) AS cer, round(sum(levenshtein(replace(ref, ' ', ''), replace(hyp, ' ', ''))) / sum(length(replace(ref, ' ', ''))), 6) AS cer_nows, sum((ref = hyp)::INT)::BIGINT AS exact, sum(length(ref))::BIGINT AS chars FROM p GROUP BY lang, source")
+@query(f"WITH {LINES} SELECT lang, source, round(sum(levenshtein(ref, hyp)) / sum(length(ref)), 6) AS cer, round(sum(levenshtein(replace(ref, ' ', ''), replace(hyp, ' ', ''))) / sum(length(replace(ref, ' ', ''))), 6) AS cer_nows, sum((ref = hyp)::INT)::BIGINT AS exact, sum(length(ref))::BIGINT AS chars FROM p GROUP BY lang, source", also="a01_micro_rates_whole")
 def a01_micro_rates(spark, sf_dir):
-    """Pooled error rates by language and source, on the prefixes that its SQL reads."""
+    """Pooled error rates by language and source."""
     return _micro_rates(_lines(spark, sf_dir))
 
 
-@query()
-def a01_micro_rates_whole(spark, sf_dir):
-    """A01, A02, A07, F04 of all lines."""
-    return _micro_rates(_all_lines(spark, sf_dir))
-
-
 def _micro_rates(rows):
     r, h = F.col("ref"), F.col("hyp")
     rs, hs = X.without_spaces(r), X.without_spaces(h)
     return rows.groupBy("lang", "source").agg(_r(F.try_divide(F.sum(F.levenshtein(r, h)), F.sum(F.length(r)))).alias("cer"), _r(F.try_divide(F.sum(F.levenshtein(rs, hs)), F.sum(F.length(rs)))).alias("cer_nows"), F.count_if(r == h).alias("exact"), F.sum(F.length(r)).alias("chars"))
 
 
-@query(f"WITH {LINES}, t AS (SELECT doc_id, CASE WHEN ref = '' THEN [] ELSE string_split(ref, ' ') END AS a, CASE WHEN hyp = '' THEN [] ELSE string_split(hyp, ' ') END AS b FROM p) SELECT doc_id, len(a)::INT AS n_ref, len(b)::INT AS n_hyp, len(list_filter(a, lambda x: regexp_matches(x, '[0-9]')))::INT AS numeric_tokens FROM t")
+@query(f"WITH {LINES}, t AS (SELECT doc_id, line, CASE WHEN ref = '' THEN [] ELSE string_split(ref, ' ') END AS a, CASE WHEN hyp = '' THEN [] ELSE string_split(hyp, ' ') END AS b FROM p) SELECT doc_id, line, len(a)::INT AS n_ref, len(b)::INT AS n_hyp, len(list_filter(a, lambda x: regexp_matches(x, '[0-9]')))::INT AS numeric_tokens FROM t", also="f05_tokens_whole")
 def f05_tokens(spark, sf_dir):
-    """F05, P08, on the prefixes that its SQL reads."""
-    return _token_counts(_lines(spark, sf_dir), "doc_id")
-
-
-@query()
-def f05_tokens_whole(spark, sf_dir):
-    """F05, P08 of all lines."""
-    return _token_counts(_all_lines(spark, sf_dir), "doc_id", "line")
+    """F05, P08."""
+    return _token_counts(_lines(spark, sf_dir), "doc_id", "line")
 
 
 def _token_counts(rows, *key):
@@ -91,24 +65,18 @@ def _token_counts(rows, *key):
     return rows.select(*key, F.size(a).alias("n_ref"), F.size(b).alias("n_hyp"), F.size(F.filter(a, X.is_numeric_token)).alias("numeric_tokens"))
 
 
-_BAGS = f"""WITH {LINES}, a AS (SELECT doc_id, unnest(CASE WHEN ref = '' THEN [] ELSE string_split(ref, ' ') END) AS t FROM p), b AS (SELECT doc_id, unnest(CASE WHEN hyp = '' THEN [] ELSE string_split(hyp, ' ') END) AS t FROM p),
-ca AS (SELECT doc_id, t, count(*) AS n FROM a GROUP BY ALL), cb AS (SELECT doc_id, t, count(*) AS n FROM b GROUP BY ALL),
-m AS (SELECT doc_id, sum(least(ca.n, cb.n)) AS c, sum(CASE WHEN regexp_matches(t, '[0-9]') THEN least(ca.n, cb.n) ELSE 0 END) AS nc FROM ca JOIN cb USING (doc_id, t) GROUP BY doc_id),
-na AS (SELECT doc_id, sum(n) AS n, sum(CASE WHEN regexp_matches(t, '[0-9]') THEN n ELSE 0 END) AS nn FROM ca GROUP BY doc_id), nb AS (SELECT doc_id, sum(n) AS n FROM cb GROUP BY doc_id)
-SELECT p.doc_id, round(CASE WHEN coalesce(na.n, 0) = 0 AND coalesce(nb.n, 0) = 0 THEN 1 WHEN coalesce(c, 0) = 0 THEN 0 ELSE 2 * c / (na.n + nb.n) END, 6) AS f1, coalesce(na.nn, 0)::INT AS numeric_total, coalesce(nc, 0)::INT AS numeric_correct
-FROM p LEFT JOIN m USING (doc_id) LEFT JOIN na USING (doc_id) LEFT JOIN nb USING (doc_id)"""
+_BAGS = f"""WITH {LINES}, a AS (SELECT doc_id, line, unnest(CASE WHEN ref = '' THEN [] ELSE string_split(ref, ' ') END) AS t FROM p), b AS (SELECT doc_id, line, unnest(CASE WHEN hyp = '' THEN [] ELSE string_split(hyp, ' ') END) AS t FROM p),
+ca AS (SELECT doc_id, line, t, count(*) AS n FROM a GROUP BY ALL), cb AS (SELECT doc_id, line, t, count(*) AS n FROM b GROUP BY ALL),
+m AS (SELECT doc_id, line, sum(least(ca.n, cb.n)) AS c, sum(CASE WHEN regexp_matches(t, '[0-9]') THEN least(ca.n, cb.n) ELSE 0 END) AS nc FROM ca JOIN cb USING (doc_id, line, t) GROUP BY doc_id, line),
+na AS (SELECT doc_id, line, sum(n) AS n, sum(CASE WHEN regexp_matches(t, '[0-9]') THEN n ELSE 0 END) AS nn FROM ca GROUP BY doc_id, line), nb AS (SELECT doc_id, line, sum(n) AS n FROM cb GROUP BY doc_id, line)
+SELECT p.doc_id, p.line, round(CASE WHEN coalesce(na.n, 0) = 0 AND coalesce(nb.n, 0) = 0 THEN 1 WHEN coalesce(c, 0) = 0 THEN 0 ELSE 2 * c / (na.n + nb.n) END, 6) AS f1, coalesce(na.nn, 0)::INT AS numeric_total, coalesce(nc, 0)::INT AS numeric_correct
+FROM p LEFT JOIN m USING (doc_id, line) LEFT JOIN na USING (doc_id, line) LEFT JOIN nb USING (doc_id, line)"""
 
 
-@query(_BAGS)
+@query(_BAGS, also="a20_bag_of_words_whole")
 def a20_bag_of_words(spark, sf_dir):
-    """A20, A03, F09 on arrays, without a shuffle, on the prefixes that its SQL reads."""
-    return _bags(_lines(spark, sf_dir), "doc_id")
-
-
-@query()
-def a20_bag_of_words_whole(spark, sf_dir):
-    """A20, A03, F09 of all lines."""
-    return _bags(_all_lines(spark, sf_dir), "doc_id", "line")
+    """A20, A03, F09 on arrays, without a shuffle."""
+    return _bags(_lines(spark, sf_dir), "doc_id", "line")
 
 
 def _bags(rows, *key):
@@ -117,33 +85,21 @@ def _bags(rows, *key):
     return rows.select(*key, _r(X.bag_of_words_f1(F.col("a"), F.col("b"))).alias("f1"), m["total"].alias("numeric_total"), m["correct"].alias("numeric_correct"))
 
 
-@query(f"WITH {LINES}, b AS (SELECT source, f1 FROM (SELECT doc_id, source FROM p) JOIN ({_BAGS.replace('WITH', 'WITH', 1)}) USING (doc_id)) SELECT source, round(avg(f1), 5) AS mean_f1, count(*)::BIGINT AS n FROM b GROUP BY source")
+@query(f"WITH {LINES}, b AS (SELECT source, f1 FROM (SELECT doc_id, line, source FROM p) JOIN ({_BAGS}) USING (doc_id, line)) SELECT source, round(avg(f1), 5) AS mean_f1, count(*)::BIGINT AS n FROM b GROUP BY source", also="a05_macro_f1_whole")
 def a05_macro_f1(spark, sf_dir):
-    """A mean over texts, not pooled, on the prefixes that its SQL reads."""
+    """A mean over texts, not pooled."""
     return _macro_f1(_lines(spark, sf_dir))
 
 
-@query()
-def a05_macro_f1_whole(spark, sf_dir):
-    """A05 of all lines: a mean over lines."""
-    return _macro_f1(_all_lines(spark, sf_dir))
-
-
 def _macro_f1(rows):
     rows = rows.withColumn("f1", _r(X.bag_of_words_f1(X.tokens(F.col("ref")), X.tokens(F.col("hyp")))))
     return rows.groupBy("source").agg(_r(F.avg("f1"), 5).alias("mean_f1"), F.count("*").alias("n"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, trim(regexp_replace(ref || '  ' || hyp, '[ \\t\\n\\r]+', ' ', 'g')) AS normal FROM p")
+@query(f"WITH {LINES} SELECT doc_id, line, trim(regexp_replace(ref || '  ' || hyp, '[ \\t\\n\\r]+', ' ', 'g')) AS normal FROM p", also="f02_normal_form_ascii_whole")
 def f02_normal_form_ascii(spark, sf_dir):
-    """F01 and F02 where the text is ASCII, in the JVM, on the prefixes that its SQL reads."""
-    return _normal_form(_lines(spark, sf_dir), "doc_id")
-
-
-@query()
-def f02_normal_form_ascii_whole(spark, sf_dir):
-    """F01 and F02 of all lines."""
-    return _normal_form(_all_lines(spark, sf_dir), "doc_id", "line")
+    """F01 and F02 where the text is ASCII, in the JVM."""
+    return _normal_form(_lines(spark, sf_dir), "doc_id", "line")
 
 
 def _normal_form(rows, *key):
@@ -159,28 +115,22 @@ def f02_normal_forms(spark, sf_dir):
 @query()
 def f07_token_distance(spark, sf_dir):
     """edit distance of the token arrays of all lines (tested against the recurrence)."""
-    return _all_lines(spark, sf_dir).select("doc_id", "line", X.token_distance(X.tokens(F.col("ref")), X.tokens(F.col("hyp"))).alias("edits"))
+    return _lines(spark, sf_dir).select("doc_id", "line", X.token_distance(X.tokens(F.col("ref")), X.tokens(F.col("hyp"))).alias("edits"))
 
 
 @query()
 def f08_substitutions(spark, sf_dir):
     """Most frequent substitutions of all lines by language (tested against the table of the recurrence)."""
-    units = _all_lines(spark, sf_dir).select("lang", F.lit("component").alias("kind"), F.lit(1).alias("n_gt"), F.col("ref").alias("ref_n1"), F.col("hyp").alias("hyp_n1"))
+    units = _lines(spark, sf_dir).select("lang", F.lit("component").alias("kind"), F.lit(1).alias("n_gt"), F.col("ref").alias("ref_n1"), F.col("hyp").alias("hyp_n1"))
     return scoring.confusions(units, ["lang"])
 
 
-@query(f"""WITH {LINES}, c AS (SELECT doc_id, regexp_replace(ref, '[^A-Za-z]', '', 'g') AS l, ref FROM p)
-SELECT doc_id, CASE WHEN l = '' THEN 'no_letters' WHEN NOT regexp_matches(l, '[a-z]') THEN 'upper' WHEN NOT regexp_matches(l, '[A-Z]') THEN 'lower' WHEN NOT regexp_matches(ref, '(^|[^A-Za-z])[a-z]') AND NOT regexp_matches(ref, '[A-Za-z][A-Z]') THEN 'title' ELSE 'mixed' END AS letters,
- regexp_matches(ref, '[0-9]') AS digit, regexp_matches(ref, '[gjpqy]') AS descender, regexp_matches(ref, '[bdfhklt]') AS ascender, regexp_matches(ref, '[A-Z]') AS capital, regexp_matches(ref, '[^A-Za-z0-9 ]') AS punctuation FROM c""")
+@query(f"""WITH {LINES}, c AS (SELECT doc_id, line, regexp_replace(ref, '[^A-Za-z]', '', 'g') AS l, ref FROM p)
+SELECT doc_id, line, CASE WHEN l = '' THEN 'no_letters' WHEN NOT regexp_matches(l, '[a-z]') THEN 'upper' WHEN NOT regexp_matches(l, '[A-Z]') THEN 'lower' WHEN NOT regexp_matches(ref, '(^|[^A-Za-z])[a-z]') AND NOT regexp_matches(ref, '[A-Za-z][A-Z]') THEN 'title' ELSE 'mixed' END AS letters,
+ regexp_matches(ref, '[0-9]') AS digit, regexp_matches(ref, '[gjpqy]') AS descender, regexp_matches(ref, '[bdfhklt]') AS ascender, regexp_matches(ref, '[A-Z]') AS capital, regexp_matches(ref, '[^A-Za-z0-9 ]') AS punctuation FROM c""", also="f10_case_and_glyphs_whole")
 def f10_case_and_glyphs(spark, sf_dir):
-    """F10, F11, on the prefixes that its SQL reads."""
-    return _case_and_glyphs(_lines(spark, sf_dir), "doc_id")
-
-
-@query()
-def f10_case_and_glyphs_whole(spark, sf_dir):
-    """F10, F11 of all lines."""
-    return _case_and_glyphs(_all_lines(spark, sf_dir), "doc_id", "line")
+    """F10, F11."""
+    return _case_and_glyphs(_lines(spark, sf_dir), "doc_id", "line")
 
 
 def _case_and_glyphs(rows, *key):
@@ -188,35 +138,23 @@ def _case_and_glyphs(rows, *key):
     return rows.select(*key, X.letter_case(F.col("ref")).alias("letters"), *[flags[c].alias(c) for c in ("digit", "descender", "ascender", "capital", "punctuation")])
 
 
-@query(f"WITH {LINES}, w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(ref, '\\s+'), lambda x: x <> '')) AS t FROM p) SELECT t AS token, count(*)::BIGINT AS n FROM w GROUP BY t")
+@query(f"WITH {LINES}, w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(ref, '\\s+'), lambda x: x <> '')) AS t FROM p) SELECT t AS token, count(*)::BIGINT AS n FROM w GROUP BY t", also="f12_token_multiset_whole")
 def f12_token_multiset(spark, sf_dir):
-    """F12, on the prefixes that its SQL reads."""
+    """F12."""
     return _token_multiset(_lines(spark, sf_dir))
 
 
-@query()
-def f12_token_multiset_whole(spark, sf_dir):
-    """F12 of all lines."""
-    return _token_multiset(_all_lines(spark, sf_dir))
-
-
 def _token_multiset(rows):
     return rows.select(F.explode(X.whitespace_tokens(F.col("ref"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {LINES}, a AS (SELECT unnest(string_split(ref, ' ')) AS t FROM p), b AS (SELECT unnest(string_split(hyp, ' ')) AS t FROM p), x AS (SELECT t, count(*) AS n FROM a GROUP BY t), y AS (SELECT t, count(*) AS n FROM b GROUP BY t)
-SELECT t AS token, greatest(coalesce(x.n, 0) - coalesce(y.n, 0), 0)::BIGINT AS only_a, greatest(coalesce(y.n, 0) - coalesce(x.n, 0), 0)::BIGINT AS only_b FROM x FULL JOIN y USING (t) WHERE coalesce(x.n, 0) <> coalesce(y.n, 0)""")
+SELECT t AS token, greatest(coalesce(x.n, 0) - coalesce(y.n, 0), 0)::BIGINT AS only_a, greatest(coalesce(y.n, 0) - coalesce(x.n, 0), 0)::BIGINT AS only_b FROM x FULL JOIN y USING (t) WHERE coalesce(x.n, 0) <> coalesce(y.n, 0)""", also="j20_multiset_difference_whole")
 def j20_multiset_difference(spark, sf_dir):
-    """J20, E03, on the prefixes that its SQL reads."""
+    """J20, E03."""
     return _surplus_tokens(_lines(spark, sf_dir))
 
 
-@query()
-def j20_multiset_difference_whole(spark, sf_dir):
-    """J20, E03 of all lines."""
-    return _surplus_tokens(_all_lines(spark, sf_dir))
-
-
 def _surplus_tokens(rows):
     a, b = (rows.select(F.explode(F.split(c, " ")).alias("token")) for c in ("ref", "hyp"))
     return matching.multiset_difference(a, b, "token")
@@ -374,7 +312,7 @@ def j12_neighbour_pairs(spark, sf_dir):
 @query()
 def e08_perturbed(spark, sf_dir):
     """All lines at a known edit distance (tested to be exact). Symbols beyond ASCII are free in every line."""
-    rows = _all_lines(spark, sf_dir).select("doc_id", "line", "ref", F.concat_ws(":", "doc_id", "line").alias("name"))
+    rows = _lines(spark, sf_dir).select("doc_id", "line", "ref", F.concat_ws(":", "doc_id", "line").alias("name"))
     return generators.perturbed(rows, "ref", "name", "substitute", 3, "#@~^\u00a4\u00a7").drop("name")
 
 
