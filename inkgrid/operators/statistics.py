@@ -146,7 +146,7 @@ def _signs(t: np.ndarray) -> np.ndarray:
 RATIO = Target(_quotient, _quotient_gradient, floor=0.0)
 DIFFERENCE = Target(lambda t: _quotient(t[..., :2]) - _quotient(t[..., 2:]), lambda t: np.concatenate((_quotient_gradient(t[..., :2]), -_quotient_gradient(t[..., 2:])), axis=-1))
 #: The logarithm of the quotient of two ratios is a signed sum of logarithms of the four totals.
-LOG_QUOTIENT = Target(lambda t: (np.log(t) * np.array([1.0, -1.0, -1.0, 1.0])).sum(axis=-1), _signs, outward=math.exp)
+LOG_QUOTIENT = Target(lambda t: (np.log(t) * np.array([1.0, -1.0, -1.0, 1.0])).sum(axis=-1), _signs, outward=lambda x: float(np.exp(min(x, 700.0))))
 
 
 class Moments:
@@ -184,8 +184,8 @@ class Moments:
         return len(self.x) - len(self.groups)
 
     def studentised(self) -> np.ndarray:
-        """(value - point) / error of the resamples that have one."""
-        usable = np.isfinite(self.values) & np.isfinite(self.spreads) & (self.spreads > 1e-9 * self.error)
+        """(value - point) / error of the resamples that have one; what rounding leaves of an error of 0 is none."""
+        usable = np.isfinite(self.values) & np.isfinite(self.spreads) & (self.spreads > 1e-6 * self.error)
         return (self.values[usable] - self.point) / self.spreads[usable]
 
 
