@@ -46,6 +46,14 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def apart_from(names: list[str], name: str = "text") -> str:
+    """``name``, lengthened until it is none of ``names`` (in any case)."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def vocabulary_path(name: str) -> str:
     """Place of a public vocabulary file; ``INKGRID_TOKENIZERS`` names another folder."""
     folder = os.environ.get("INKGRID_TOKENIZERS")

@@ -12,9 +12,13 @@ decoding gives back the text either way. (A U+2581 in a text is the format's own
 comes back as one.)
 
 No piece reaches from a visible character over a blank, and none holds a newline (checked when the
-model is loaded), so the best path of a text is those of its chunks in order. Distinct chunks are
-solved together, position by position, as matrix rows, and remembered. Null text is an empty text,
-which has no ids. Repeated rows are each encoded for themselves.
+model is loaded), so the best path of a text is those of its chunks in order. Long chunks (scripts
+without blanks, base64) are cut again before every character at which the automaton falls back to that
+character alone: no piece crosses such a place. Distinct chunks are solved together, position by
+position, as matrix rows, and remembered; what has no place to cut for over 256 bytes is solved by
+the same recurrence on its own, in time linear in its length. Null text is an empty text, which has no
+ids, and an empty table an empty table. Repeated rows, and rows with a null doc_id, are each encoded for
+themselves. A kept column with the name of the outcome gives way to it.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import memory
-from .common import table, text_or_empty, vocabulary_path
+from .common import apart_from, table, text_or_empty, vocabulary_path
 from .encoding import ChunkMemory
 from .memory import task
 
@@ -57,6 +61,7 @@ class Automaton:
                 at = nxt
             ends[at] = i
         n = len(children)
+        self.depth = np.array(depth)
         self.step = np.zeros((n, 256), np.int32)
         self.piece = np.full(n, -1, np.int32)
         self.link = np.zeros(n, np.int32)
@@ -111,6 +116,10 @@ class PieceCodec:
         for byte, i in self.byte_ids.items():
             self.plain[i] = bytes([byte])
         self.memory = ChunkMemory(self._solve)
+        # plain numbers for walks byte by byte
+        self._depth, self._piece, self._link = (x.tolist() for x in (self.automaton.depth, self.automaton.piece, self.automaton.link))
+        self._length, self._score = self.lengths.tolist(), self.scores.tolist()
+        self._step = memoryview(self.automaton.step.reshape(-1))
         self.newline = np.uint32(self.byte_ids.get(10, self.unknown_id)).tobytes()
 
     # -- encoding
@@ -194,16 +203,62 @@ class PieceCodec:
             ids += [self.byte_ids[b] for b in chunk[first:last]] if self.byte_ids else [self.unknown_id]
         return np.array(ids)
 
+    def apart(self, data: bytes) -> list[bytes]:
+        """The parts of a chunk between the places that no piece crosses."""
+        step, depth = self._step, self._depth
+        cuts, state, first = [0], 0, 0
+        for at, byte in enumerate(data):
+            state = step[state << 8 | byte]
+            if byte & 0xC0 != 0x80:
+                first = at
+            if first > cuts[-1] and depth[state] <= at - first + 1 and (at + 1 == len(data) or data[at + 1] & 0xC0 != 0x80):
+                cuts.append(first)
+        return [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+
+    def path(self, data: bytes) -> np.ndarray:
+        """What ``viterbi`` gives for one chunk, byte by byte."""
+        step, piece, link, length, score = self._step, self._piece, self._link, self._length, self._score
+        n, worst, unknown = len(data), float("-inf"), self.unknown
+        best, back = [0.0] + [worst] * n, [-1] * (n + 1)
+        state = start = 0
+        for at in range(n):
+            byte = data[at]
+            if byte & 0xC0 != 0x80:
+                start = at
+            state = step[state << 8 | byte]
+            node = state if piece[state] >= 0 else link[state]
+            most, by = worst, -1
+            while node:
+                i = piece[node]
+                found = best[at + 1 - length[i]] + score[i]
+                if found > most:
+                    most, by = found, i
+                node = link[node]
+            if (at + 1 == n or data[at + 1] & 0xC0 != 0x80) and best[start] + unknown > most:
+                most, by = best[start] + unknown, -2 - start
+            best[at + 1], back[at + 1] = most, by
+        steps, at = [], n
+        while at:
+            steps.append(back[at])
+            at = at - length[back[at]] if back[at] >= 0 else -2 - back[at]
+        steps.reverse()
+        return self._with_bytes(np.array(steps), data).astype("<u4")
+
     def _solve(self, chunks: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        chunks.sort(key=len)
-        for lo in range(0, len(chunks), 8192):
-            part = chunks[lo : lo + 8192]
-            data = [self.newline if c == "\n" else c.replace(" ", BLANK).encode() for c in part]
-            wide = len(data[-1]) > 256
-            found = [ids for d in data for ids in self.viterbi([d])] if wide else self.viterbi(data)
-            out.update((c, self.newline if c == "\n" else ids.tobytes()) for c, ids in zip(part, found, strict=True))
-        return out
+        parts: list[bytes] = []
+        ends = []
+        for c in chunks:
+            data = c.replace(" ", BLANK).encode()
+            parts += [] if c == "\n" else self.apart(data) if len(data) > 64 else [data]
+            ends.append(len(parts))
+        found: dict[bytes, bytes] = {}
+        ordered = sorted(set(parts), key=len)
+        short = [x for x in ordered if len(x) <= 256]
+        for lo in range(0, len(short), 8192):
+            part = short[lo : lo + 8192]
+            found.update(zip(part, (ids.tobytes() for ids in self.viterbi(part)), strict=True))
+        found.update((x, self.path(x).tobytes()) for x in ordered[len(short) :])
+        return {c: self.newline if c == "\n" else b"".join(map(found.__getitem__, parts[a:b])) for c, a, b in zip(chunks, [0, *ends[:-1]], ends, strict=True)}
 
     def cut(self, text: str) -> list[str]:
         if not text:
@@ -245,22 +300,24 @@ def codec(path: str) -> PieceCodec:
 
 def encode_documents(documents: DataFrame, model: str, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``ids`` (array of int)."""
+    keep = [c for c in keep if c != "ids"]
     schema = T.StructType([documents.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                got = codec(model).encode_many(part.column("_text").to_pylist())
+                got = codec(model).encode_many(part.column(len(keep)).to_pylist())
                 flat = np.frombuffer(b"".join(got), "<i4")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) // 4 for x in got]))), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=schema.names)
 
-    return documents.select(*keep, text_or_empty().alias("_text")).mapInArrow(task("pieces")(run), schema)
+    return documents.select(*[F.col(f"`{c}`") for c in keep], text_or_empty().alias(apart_from(keep))).mapInArrow(task("pieces")(run), schema)
 
 
 def decode_documents(encoded: DataFrame, model: str, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``text``, from ``ids``."""
+    keep = [c for c in keep if c not in ("text", "ids")]
     schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +325,7 @@ def decode_documents(encoded: DataFrame, model: str, keep: list[str]) -> DataFra
             texts = [codec(model).decode(ids.values.to_numpy(zero_copy_only=False)) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.select(*keep, "ids").mapInArrow(task("pieces")(run), schema)
+    return encoded.select(*[F.col(f"`{c}`") for c in keep], "ids").mapInArrow(task("pieces")(run), schema)
 
 
 _DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())])

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -209,3 +210,28 @@ def test_encode_and_decode_tables(spark):
     df = spark.createDataFrame(list(enumerate(odd_texts(6, 40))), "doc_id long, text string")
     back = piece_codec.decode_documents(piece_codec.encode_documents(df, model, ["doc_id"]), model, ["doc_id"])
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_chunks_without_blanks():
+    """Cut where no piece crosses, or solved on their own, they have the score of the whole path; length costs in proportion."""
+    c = piece_codec.codec(vocabulary_path("piece_bpe_32k.model"))
+    rng = random.Random(6)
+    alphabet = "abcdefgh0189/+日本語中文\u0e01\u0e02éß😀"
+    for n in (70, 300, 900):
+        data = "".join(rng.choice(alphabet) for _ in range(n)).encode()
+        parts = c.apart(data)
+        assert b"".join(parts) == data
+        (whole,) = c.viterbi([data])
+        assert np.array_equal(np.concatenate([c.path(p) for p in parts]), whole) and np.array_equal(c.path(data), whole)
+    began = time.monotonic()
+    text = "".join(rng.choice("日本語中文漢字仮名交") for _ in range(200_000)) + "e" * 300_000 + "".join(rng.choice("ABCDabcd0123+/") for _ in range(300_000))
+    (ids,) = c.encode_many([text])
+    assert c.decode(ids) == text and time.monotonic() - began < 30
+
+
+def test_kept_columns_with_the_names_in_use(spark):
+    model = vocabulary_path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, _text string, ids string")
+    got = piece_codec.encode_documents(df, model, ["doc_id", "text", "_text", "ids"])
+    assert got.columns == ["doc_id", "text", "_text", "ids"] and got.first()["_text"] == "x"
+    assert piece_codec.decode_documents(got, model, ["doc_id", "_text"]).first()["text"] == "a b"
