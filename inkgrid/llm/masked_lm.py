@@ -1,20 +1,26 @@
 """LM scoring by masked pseudo-likelihood.
 
 A small network in numpy predicts each word from the two before and the two after it: embeddings,
-one tanh layer, and a softmax over classes of words followed by one over the words of the class, so
-probabilities are exact and sum to one. A text's score is the sum of log P(word | both sides) over
-all its words; ``mean_score`` divides by their number.
-
-Three passes over all texts: word counts (summed by word before and after the shuffle) give the
-vocabulary; ``rounds`` of training, in which each task starts from the common weights and learns
-from a random tenth of the positions of its texts, and the weights are averaged by the number of
-positions; and scoring. The driver holds the vocabulary and one set of weights (bounded by
-``vocabulary``). Words outside the vocabulary share hashed entries. Results do not depend on the
-order in which tasks end.
-
-Null and empty texts, and texts without words, have 0 words, score 0.0 and a null mean. Repeated
-rows count and are scored each for itself. With an empty table there is nothing to learn and the
-result is empty.
+one tanh layer, and a softmax over classes of entries followed by one over the entries of the class, so
+probabilities are exact and sum to one. The most frequent words have an entry each; all other words of
+the corpus share ``hashed`` entries, and such a word has the probability of its entry times its share
+of the entry's occurrences in the whole corpus, so every word of the corpus has a probability of its own.
+A text's score is the sum of log P(word | both sides) over all its words; ``mean_score`` divides by
+their number.
+
+Passes over all texts: word counts (summed by word before and after the shuffle), from which entries
+and shares are taken and which grow with the corpus; ``rounds`` of training, each over its share of
+the positions, all positions together; and scoring. Training texts travel as entry numbers, dealt to
+shards by a hash of row and text: a shard of about ``2^20`` words (more if there would be over
+``_SHARDS`` of them) starts from the common weights and learns from its texts in the order of the hash, and
+weights are averaged by number of positions. Number and content of shards depend on the data alone,
+so results do not depend on partitioning. Shares are joined by word, not broadcast; the driver holds the
+entries and one set of weights (bounded by ``size``).
+
+Null and empty texts, and texts without words, have 0 words, score 0.0 and a null mean; very long texts
+are handled whole, one in a task. Repeated rows and rows with a null id count and are scored each for
+itself. A word that the fitted corpus lacks counts as half an occurrence in all. With an empty table
+there is nothing to learn and the result is empty. A kept column with the name of an outcome gives way to it.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_or_empty
+from .common import materialize, table, text_or_empty
 from .memory import task
 from .textkit import mix, utf8_chunks, word_hashes
 
@@ -139,12 +145,8 @@ def windows(words: np.ndarray, counts: np.ndarray, outside: int) -> np.ndarray:
     return np.column_stack([padded[at + s] for s in SIDES])
 
 
-def _texts(documents: DataFrame, *keep: str) -> DataFrame:
-    return documents.select(*keep, F.lower(text_or_empty()).alias("_text"))
-
-
-def build_vocabulary(documents: DataFrame, size: int, hashed: int) -> Vocabulary:
-    """The ``size - hashed`` most frequent words of all texts, ties by hash."""
+def word_counts(documents: DataFrame) -> DataFrame:
+    """word, n of all words of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -176,55 +178,96 @@ def build_vocabulary(documents: DataFrame, size: int, hashed: int) -> Vocabulary
         if held:
             yield from rows()
 
-    counts = _texts(documents).mapInArrow(task("masked_lm")(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    texts = documents.select(F.lower(text_or_empty()).alias("_text"))
+    return texts.mapInArrow(task("masked_lm")(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def build_vocabulary(counts: DataFrame, size: int, hashed: int) -> Vocabulary:
+    """The ``size - hashed`` most frequent words, ties by hash."""
     top = counts.orderBy(F.desc("n"), "word").limit(size - hashed).select("word").toArrow().column("word").to_numpy().view(np.uint64)
     order = np.argsort(top)
     return Vocabulary(top[order], order.astype(np.int64), size)
 
 
-_PARTS = 16
+def entry_shares(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """word, log_share of every word without an entry of its own: its part of the occurrences of its entry."""
+    spark = counts.sparkSession
+    known = spark.createDataFrame(pa.table({"word": vocabulary.hashes.view(np.int64)}))
+    rest = counts.join(F.broadcast(known), "word", "left_anti")  # bounded by size
+    rest = rest.withColumn("entry", F.col("word").bitwiseAND(vocabulary.size - len(vocabulary.hashes) - 1))
+    whole = rest.groupBy("entry").agg(F.sum("n").alias("whole"))
+    return rest.join(F.broadcast(whole), "entry").select("word", F.ln(F.col("n") / F.col("whole")).alias("log_share"))  # a row an entry
+
+
+_PARTS, _SHARDS, _SHARD_WORDS = 64, 4096, 1 << 20
+_NUMBERED = "key long, ids binary"
+
+
+def numbered(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """key (hash of doc_id, if there is one, and text), ids (entries of the words, little-endian) of the texts with words."""
+    kind = np.dtype("<u2") if vocabulary.size < 1 << 16 else np.dtype("<u4")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, buf, offsets in utf8_chunks(batch.column("_text")):
+                words, counts = word_hashes(buf, offsets)
+                data = pa.py_buffer(vocabulary.lookup(words).astype(kind).tobytes())
+                ends = pa.py_buffer((counts * kind.itemsize).astype(np.int64).tobytes())
+                lists = pa.Array.from_buffers(pa.large_binary(), last - first, [None, ends, data])
+                part = pa.RecordBatch.from_arrays([batch.column("key").slice(first, last - first), lists.cast(pa.binary())], names=["key", "ids"])
+                yield part.filter(pa.array(np.diff(counts) > 0))
+
+    key = F.xxhash64(*[F.col(c) for c in documents.columns if c == "doc_id"], "text")
+    return documents.select(key.alias("key"), F.lower(text_or_empty()).alias("_text")).mapInArrow(task("masked_lm")(run), _NUMBERED)
 
 
-def train_round(documents: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, number: int, share: float, batch_size: int, rate: float) -> np.ndarray:
-    """Mean of the weights that the tasks arrive at, each weighted by its number of positions."""
-    threshold = np.uint64(int(share * 2**32))
+def train_round(texts: DataFrame, size: int, shards: int, weights: np.ndarray, number: int, rounds: int, batch_size: int, rate: float) -> np.ndarray:
+    """Mean of the weights that the shards arrive at, each weighted by its number of positions."""
+    kind = "<u2" if size < 1 << 16 else "<u4"
+    names = ["piece", "shard", "seen", "sums"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        shard, net, memory, seen = None, None, None, 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        net = Network(vocabulary.size, weights=weights.copy())
-        memory = np.full_like(weights, 1e-4 * (1 + 9 * number))
-        seen, contexts, targets, waiting = 0, [], [], 0
+        def learn(last: bool) -> None:
+            """Batches of one length, whatever the pieces in which the texts arrive."""
+            c, t = (np.concatenate(x) for x in zip(*held, strict=True))
+            upto = len(t) if last else len(t) - len(t) % batch_size
+            for lo in range(0, upto, batch_size):
+                net.step(c[lo : min(lo + batch_size, upto)], t[lo : min(lo + batch_size, upto)], memory, rate)
+            held[:] = [(c[upto:], t[upto:])]
 
-        def learn() -> None:
-            nonlocal waiting
-            c, t = np.concatenate(contexts), np.concatenate(targets)
-            for lo in range(0, len(t), batch_size):
-                net.step(c[lo : lo + batch_size], t[lo : lo + batch_size], memory, rate)
-            contexts.clear()
-            targets.clear()
-            waiting = 0
+        def close() -> pa.RecordBatch:
+            learn(True)
+            pieces = np.array_split(net.weights.astype(np.float64) * seen, _PARTS)
+            return pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([shard] * _PARTS, pa.int64()), pa.array([seen] * _PARTS, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=names)
 
         for batch in batches:
-            for _, _, buf, offsets in utf8_chunks(batch.column("_text")):
-                words, counts = word_hashes(buf, offsets)
-                if not len(words):
+            own, keys = batch.column("shard").to_numpy(), batch.column("key").to_numpy().view(np.uint64)
+            data = batch.column("ids").to_pylist()
+            edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
                     continue
-                ids = vocabulary.lookup(words)
-                place = np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number)
-                masked = np.flatnonzero((mix(words ^ place) >> np.uint64(32)) < threshold)
-                contexts.append(windows(ids, counts, vocabulary.size)[masked])
-                targets.append(ids[masked])
-                seen += len(masked)
-                waiting += len(masked)
-                if waiting >= 4 * batch_size:
-                    learn()
-        if waiting:
-            learn()
+                if own[a] != shard:
+                    if seen:
+                        yield close()
+                    shard, net, memory, seen = int(own[a]), Network(size, weights=weights.copy()), np.full_like(weights, 1e-4 * (1 + 9 * number)), 0
+                    held.clear()
+                for lo in range(a, b, 512):
+                    part = data[lo : min(lo + 512, b)]
+                    ids = np.frombuffer(b"".join(part), kind).astype(np.int64)
+                    counts = np.concatenate(([0], np.cumsum([len(x) // np.dtype(kind).itemsize for x in part])))
+                    place = np.arange(len(ids)) - np.repeat(counts[:-1], np.diff(counts))
+                    turn = mix(np.repeat(keys[lo : lo + len(part)], np.diff(counts)) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+                    masked = np.flatnonzero(turn % np.uint64(rounds) == number)
+                    held.append((windows(ids, counts, size)[masked].astype(np.int32), ids[masked]))
+                    seen += len(masked)
+                    if sum(len(t) for _, t in held) >= 4 * batch_size:
+                        learn(False)
         if seen:
-            part = TaskContext.get().partitionId()
-            pieces = np.array_split(net.weights.astype(np.float64) * seen, _PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([part] * _PARTS, pa.int32()), pa.array([seen] * _PARTS, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["piece", "part", "seen", "sums"])
+            yield close()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, list] = {}
@@ -236,28 +279,47 @@ def train_round(documents: DataFrame, vocabulary: Vocabulary, weights: np.ndarra
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t[0] for t in totals.values()], pa.int64()), pa.array([t[1].tobytes() for t in totals.values()], pa.binary())], names=["piece", "seen", "sums"])
 
-    learnt = _texts(documents).mapInArrow(task("masked_lm")(run), "piece int, part int, seen long, sums binary")
-    summed = learnt.repartition("piece").sortWithinPartitions("piece", "part").mapInArrow(task("masked_lm")(add), "piece int, seen long, sums binary").toArrow().sort_by("piece")
+    placed = texts.withColumn("shard", F.pmod("key", F.lit(shards))).repartition("shard").sortWithinPartitions("shard", "key", "ids")
+    learnt = placed.mapInArrow(task("masked_lm")(run), "piece int, shard long, seen long, sums binary")
+    summed = learnt.repartition("piece").sortWithinPartitions("piece", "shard").mapInArrow(task("masked_lm")(add), "piece int, seen long, sums binary").toArrow().sort_by("piece")
     if not summed.num_rows:
         return weights
     return np.concatenate([np.frombuffer(d.as_py()) / n.as_py() for d, n in zip(summed.column("sums"), summed.column("seen"), strict=True)]).astype(np.float32)
 
 
-def fit(documents: DataFrame, size: int = 2048, hashed: int = 256, rounds: int = 2, share: float = 0.1, batch_size: int = 2048, rate: float = 0.3) -> tuple[Vocabulary, np.ndarray]:
-    if size % MEMBERS or not 0 < hashed <= size:
-        raise ValueError(f"size must be a multiple of {MEMBERS}, hashed between 1 and size")
-    vocabulary = build_vocabulary(documents, size, hashed)
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    weights: np.ndarray
+    shares: DataFrame
+    words: int
+
+
+def fit(documents: DataFrame, size: int = 2048, hashed: int = 256, rounds: int = 2, batch_size: int = 8192, rate: float = 0.3) -> Model:
+    if size % MEMBERS or not 0 < hashed <= size or hashed & (hashed - 1):
+        raise ValueError(f"size must be a multiple of {MEMBERS}, hashed a power of two and not over size")
+    counts = materialize(word_counts(documents), "counts")
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    vocabulary = build_vocabulary(counts, size, hashed)
+    shares = materialize(entry_shares(counts, vocabulary), "shares")
+    texts = materialize(numbered(documents, vocabulary), "numbered")
+    shards = max(1, min(_SHARDS, -(-words // _SHARD_WORDS)))
     weights = Network(size).weights
     for number in range(rounds):
-        weights = train_round(documents, vocabulary, weights, number, share, batch_size, rate)
-    return vocabulary, weights
+        weights = train_round(texts, size, shards, weights, number, rounds, batch_size, rate)
+    return Model(vocabulary, weights, shares, words)
 
 
-_SCORED = [T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("mean_score", T.DoubleType())]
+_OUTCOME = ["n_tokens", "score", "mean_score"]
+_RARE = T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.IntegerType())]))
 
 
-def score_documents(documents: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    schema = T.StructType([documents.schema[c] for c in keep] + _SCORED)
+def score_documents(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """``keep`` columns, n_tokens, score, mean_score."""
+    boxed = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).cast("int").alias("none"))
+    texts = documents.select(boxed.alias("row"), F.lower(text_or_empty()).alias("_text"))
+    schema = T.StructType([texts.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("known", T.DoubleType()), T.StructField("rare", _RARE)])
+    vocabulary, weights = model.vocabulary, model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(vocabulary.size, weights=weights)
@@ -269,13 +331,26 @@ def score_documents(documents: DataFrame, vocabulary: Vocabulary, weights: np.nd
                 logs = [net.log_probability(around[lo : lo + 32768], ids[lo : lo + 32768]) for lo in range(0, len(ids), 32768)]
                 before = np.concatenate(([0.0], np.cumsum(np.concatenate(logs) if logs else [])))
                 n = np.diff(counts)
-                total = before[counts[1:]] - before[counts[:-1]]
-                part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], names=schema.names)
-
-    return _texts(documents, *keep).mapInArrow(task("masked_lm")(run), schema)
+                # words without an entry of their own, once a text
+                rare = np.flatnonzero(ids >= len(vocabulary.hashes))
+                owner, word = np.repeat(np.arange(len(n)), n)[rare], words[rare]
+                order = np.lexsort((word, owner))
+                owner, word = owner[order], word[order]
+                new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])))[: len(word)])
+                times = np.diff(np.append(new, len(word))).astype(np.int32)
+                ends = np.searchsorted(owner[new], np.arange(len(n) + 1)).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(word[new].view(np.int64)), pa.array(times)], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, last - first), pa.array(n), pa.array(before[counts[1:]] - before[counts[:-1]]), pa.ListArray.from_arrays(pa.array(ends), pairs)], names=schema.names)
+
+    scored = materialize(texts.mapInArrow(task("masked_lm")(run), schema).withColumn("at", F.monotonically_increasing_id()), "scored")
+    lacking = float(np.log(0.5 / max(model.words, 1)))
+    each = scored.select("at", F.explode("rare").alias("x")).select("at", "x.word", "x.n").join(model.shares, "word", "left")
+    added = each.groupBy("at").agg(F.sum(F.col("n") * F.coalesce("log_share", F.lit(lacking))).alias("added"))
+    score = F.col("known") + F.coalesce("added", F.lit(0.0))
+    out = scored.select("row", "n_tokens", "known", "at").join(added, "at", "left").select("row", "n_tokens", score.alias("score"), F.when(F.col("n_tokens") > 0, score / F.col("n_tokens")).alias("mean_score"))
+    return out.select(*[F.col(f"row.`{c}`") for c in keep if c not in _OUTCOME], *_OUTCOME)
 
 
 def op4_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return score_documents(documents, *fit(documents), ["doc_id"])
+    return score_documents(documents, fit(documents), ["doc_id"])

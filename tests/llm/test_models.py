@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -91,10 +92,47 @@ def test_natural_order_scores_higher(spark):
     cycle = " ".join(f"w{i % 12}" for i in range(120))
     rows = [(i, cycle) for i in range(60)] + [(100 + i, " ".join(rng.permutation(cycle.split()))) for i in range(3)]
     documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    scored = {r["doc_id"]: r["mean_score"] for r in masked_lm.score_documents(documents, *masked_lm.fit(documents, size=64, hashed=16, rounds=3, share=0.5, batch_size=64), ["doc_id"]).collect()}
+    scored = {r["doc_id"]: r["mean_score"] for r in masked_lm.score_documents(documents, masked_lm.fit(documents, size=64, hashed=16, rounds=3, batch_size=64), ["doc_id"]).collect()}
     assert min(scored[i] for i in range(60)) > max(scored[100 + i] for i in range(3)) + 0.5
 
 
+def test_scores_are_summed_conditional_log_probabilities(spark):
+    """Every score against a plain loop over the words of a text; probabilities of all words of the corpus sum to one; the
+    number of partitions changes nothing."""
+    rng = np.random.default_rng(12)
+    names = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(names, 30, p=np.arange(60, 0, -1) / 1830))) for i in range(40)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    how = dict(size=32, hashed=8, rounds=2, batch_size=128)
+    runs = []
+    for n in (1, 8):
+        own = documents.repartition(n)
+        model = masked_lm.fit(own, **how)
+        runs.append({r["doc_id"]: r["score"] for r in masked_lm.score_documents(own, model, ["doc_id"]).collect()})
+    assert runs[0] == pytest.approx(runs[1], rel=1e-6), "but for the rounding of single precision"
+    counts = Counter(w for _, t in rows for w in t.split())
+    number = {}
+    for w in counts:
+        hashes, _ = masked_lm.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))
+        number[w] = int(model.vocabulary.lookup(hashes)[0])
+    entries = Counter()
+    for w, n in counts.items():
+        entries[number[w]] += n
+    assert len(model.vocabulary.hashes) == 24 and sum(i >= 24 for i in number.values()) == len(counts) - 24
+    net = masked_lm.Network(32, weights=model.weights)
+
+    def log_p(word, around):
+        return float(net.log_probability(np.array([around]), np.array([number[word]]))[0]) + np.log(counts[word] / entries[number[word]])
+
+    for d, text in rows[:10]:
+        ids = [32, 32, *(number[w] for w in text.split()), 32, 32]
+        want = sum(log_p(w, [ids[k], ids[k + 1], ids[k + 3], ids[k + 4]]) for k, w in enumerate(text.split()))
+        assert runs[0][d] == pytest.approx(want, rel=1e-5)
+    used = {number[w] for w in counts}
+    unused = sum(np.exp(net.log_probability(np.array([[1, 2, 3, 4]]), np.array([i])))[0] for i in range(32) if i not in used)
+    assert sum(np.exp(log_p(w, [1, 2, 3, 4])) for w in counts) + unused == pytest.approx(1, abs=1e-5)
+
+
 def test_language_scores_of_odd_rows(spark, odd_dir, empty_dir):
     got = masked_lm.op4_masked_pseudo_likelihood(spark, odd_dir).collect()
     assert len(got) == len(DOCUMENTS)
