@@ -60,6 +60,15 @@ class Vocabulary:
         return out
 
 
+def _exponentials(logits: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row's logits, less their maximum where they could overflow, and the sums of the rows. Inputs are at most
+    1 in size (tanh), so the weights bound the logits. Changes ``logits`` by what it takes off."""
+    if np.abs(weights).sum(axis=0).max() + np.abs(bias).max() > 40:
+        logits -= logits.max(axis=1, keepdims=True)
+    out = np.exp(logits)
+    return out, out @ np.ones(out.shape[1], out.dtype)
+
+
 class Network:
     """Weights in one flat float32 vector, with named views."""
 
@@ -87,15 +96,15 @@ class Network:
         _, h = self._hidden(context)
         group, member = np.divmod(target, MEMBERS)
         logits = h @ v["to_class"] + v["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        out = logits[np.arange(len(target)), group] - np.log(np.exp(logits).sum(axis=1))
+        _, total = _exponentials(logits, v["to_class"], v["class_bias"])
+        out = logits[np.arange(len(target)), group] - np.log(total)
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(self.classes + 1))
         for g in np.flatnonzero(np.diff(cuts)):
             rows = order[cuts[g] : cuts[g + 1]]
             inner = h[rows] @ v["to_word"][g] + v["word_bias"][g]
-            inner -= inner.max(axis=1, keepdims=True)
-            out[rows] += inner[np.arange(len(rows)), member[rows]] - np.log(np.exp(inner).sum(axis=1))
+            _, total = _exponentials(inner, v["to_word"][g], v["word_bias"][g])
+            out[rows] += inner[np.arange(len(rows)), member[rows]] - np.log(total)
         return out.astype(np.float64)
 
     def step(self, context: np.ndarray, target: np.ndarray, memory: np.ndarray, rate: float) -> None:
@@ -106,8 +115,8 @@ class Network:
         grad = Network(self.size, self.dims, self.hidden, np.zeros_like(self.weights))
         d = grad.views
         logits = h @ v["to_class"] + v["class_bias"]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
+        p, total = _exponentials(logits, v["to_class"], v["class_bias"])
+        p /= total[:, None]
         p[np.arange(n), group] -= 1
         d["to_class"][:] = h.T @ p
         d["class_bias"][:] = p.sum(axis=0)
@@ -117,8 +126,8 @@ class Network:
         for g in np.flatnonzero(np.diff(cuts)):
             rows = order[cuts[g] : cuts[g + 1]]
             inner = h[rows] @ v["to_word"][g] + v["word_bias"][g]
-            q = np.exp(inner - inner.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
+            q, total = _exponentials(inner, v["to_word"][g], v["word_bias"][g])
+            q /= total[:, None]
             q[np.arange(len(rows)), member[rows]] -= 1
             d["to_word"][g] = h[rows].T @ q
             d["word_bias"][g] = q.sum(axis=0)
@@ -135,14 +144,19 @@ class Network:
         self.weights -= rate * g / (np.sqrt(memory) + 1e-6)
 
 
-def windows(words: np.ndarray, counts: np.ndarray, outside: int) -> np.ndarray:
-    """(word, side) ids around every word; ``outside`` stands beyond the ends of a text."""
+def windows(words: np.ndarray, counts: np.ndarray, outside: int, at: np.ndarray | None = None) -> np.ndarray:
+    """(word, side) ids around every word, or around those ``at`` places; ``outside`` stands beyond the ends of a text."""
     reach = max(SIDES)
-    owner = np.repeat(np.arange(len(counts) - 1), np.diff(counts))
-    at = np.arange(len(words)) + reach * (owner + 1)
-    padded = np.full(len(words) + reach * len(counts), outside, np.int64)
-    padded[at] = words
-    return np.column_stack([padded[at + s] for s in SIDES])
+    moved = np.repeat(np.arange(reach, reach * len(counts), reach, dtype=np.int32), np.diff(counts))
+    moved += np.arange(len(words), dtype=np.int32)
+    padded = np.full(len(words) + reach * len(counts), outside, np.int32)
+    padded[moved] = words
+    if at is not None:
+        moved = moved[at]
+    out = np.empty((len(moved), len(SIDES)), np.int32)
+    for k, side in enumerate(SIDES):
+        np.take(padded, moved + np.int32(side), out=out[:, k])
+    return out
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -201,6 +215,7 @@ def entry_shares(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 _PARTS, _SHARDS, _SHARD_WORDS = 64, 4096, 1 << 20
 _NUMBERED = "key long, ids binary"
+_STRIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def numbered(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -259,10 +274,11 @@ def train_round(texts: DataFrame, size: int, shards: int, weights: np.ndarray, n
                     part = data[lo : min(lo + 512, b)]
                     ids = np.frombuffer(b"".join(part), kind).astype(np.int64)
                     counts = np.concatenate(([0], np.cumsum([len(x) // np.dtype(kind).itemsize for x in part])))
-                    place = np.arange(len(ids)) - np.repeat(counts[:-1], np.diff(counts))
-                    turn = mix(np.repeat(keys[lo : lo + len(part)], np.diff(counts)) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+                    # place in the text, and key, in one number
+                    start = keys[lo : lo + len(part)] - counts[:-1].astype(np.uint64) * _STRIDE
+                    turn = mix(np.repeat(start, np.diff(counts)) + np.arange(len(ids), dtype=np.uint64) * _STRIDE) >> np.uint64(32)
                     masked = np.flatnonzero(turn % np.uint64(rounds) == number)
-                    held.append((windows(ids, counts, size)[masked].astype(np.int32), ids[masked]))
+                    held.append((windows(ids, counts, size, masked), ids[masked]))
                     seen += len(masked)
                     if sum(len(t) for _, t in held) >= 4 * batch_size:
                         learn(False)
