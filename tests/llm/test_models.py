@@ -254,7 +254,7 @@ def test_fingerprints_of_odd_rows(spark, odd_dir, empty_dir):
 
 
 def test_license_scan(spark, odd_dir, empty_dir):
-    rows = [(1, "some more words stand before it in this text\nLicensed under the APACHE license, version 2.0!\nand many more of them follow after it"), (2, license_scan.TEMPLATES["MIT"][1].replace(", ", ",\n")), (3, None), (4, ""), (5, "a license of no kind")]
+    rows = [(1, "some more words stand before it in this text\nLicensed under the APACHE license, version 2.0!\nand many more of them follow after it"), (2, license_scan.PARAGRAPHS["MIT"][0].replace(", ", ",\n")), (3, None), (4, ""), (5, "a license of no kind")]
     got = {r["doc_id"]: (r["licenses"], r["n_matches"]) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
     assert got == {1: ("Apache-2.0", 1), 2: ("MIT", 1), 3: ("", 0), 4: ("", 0), 5: ("", 0)}
     found = {r["doc_id"]: r["licenses"] for r in license_scan.op8_license_scan(spark, odd_dir).collect()}
@@ -263,6 +263,35 @@ def test_license_scan(spark, odd_dir, empty_dir):
     assert license_scan.op8_license_scan(spark, empty_dir).count() == 0
 
 
+def test_each_template_names_its_own_license(spark):
+    """Notices with other punctuation, headers over several lines and the paragraphs of full texts."""
+    rows, want = [], {}
+    for name, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            rows.append((len(rows), text.upper().replace(". ", ".\n# ")))
+            want[len(rows) - 1] = name
+    notices = ["This project is licensed under the MIT License", "Licensed under the ISC License", "// SPDX-License-Identifier: GPL-2.0-only", "# SPDX-License-Identifier: BSD-3-Clause"]
+    for text, name in zip(notices, ["MIT", "ISC", "GPL-2.0", "BSD-3-Clause"], strict=True):
+        rows.append((len(rows), text))
+        want[len(rows) - 1] = name
+    full = "\n\n".join([license_scan.PARAGRAPHS["BSD"][0], *license_scan.PARAGRAPHS["BSD"][1:3], license_scan.PARAGRAPHS["BSD-3-Clause"][1], license_scan.PARAGRAPHS["BSD"][3]])
+    rows.append((len(rows), full))
+    want[len(rows) - 1] = "BSD|BSD-3-Clause"
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit("x"))
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(df, ["doc_id", "found"]).collect()}
+    assert {d: n for d, n in got.items() if want[d] not in n.split("|") and n != want[d]} == {}
+
+
+def test_no_match_lacks_every_marking_word():
+    """Of each template, take out all bigrams with a marking word: what is left does not reach the threshold, whatever the rest."""
+    known = license_scan.prepared()
+    marks = set(license_scan.marking_words(known, 0.8))
+    assert len(marks) < 40
+    for _, _, _, own in known:
+        rest = [g for g in own if not marks & set(g.split())]
+        assert 2 * len(rest) / (len(rest) + len(own)) < 0.8
+
+
 def test_license_bounds_lose_nothing():
     for _, least, most, own in license_scan.prepared():
         n = len(own)
