@@ -215,6 +215,11 @@ def multiset_difference(a: DataFrame, b: DataFrame, item: str) -> DataFrame:
     return x.join(y, item, "full_outer").select(item, F.greatest(d, F.lit(0)).alias("only_a"), F.greatest(-d, F.lit(0)).alias("only_b")).filter("only_a > 0 OR only_b > 0")
 
 
+def touching(regions: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs of ``regions`` (column ``a``) and ``lines`` (column ``b``) of one key that share some area, with it."""
+    return regions.join(lines, key).withColumn("area", G.intersection(F.col("a"), F.col("b"))).filter("area > 0")
+
+
 def pixel_owners(pixels: DataFrame, lines: DataFrame, key: list[str], pad: int) -> DataFrame:
     """Line that owns each ink pixel (key, x, y): of the lines whose padded box holds it, one whose own box does,
     and of those the last. ``lines`` has the key, ``line`` and ``b``."""

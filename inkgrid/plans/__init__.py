@@ -1,4 +1,4 @@
 """Registered queries over the tables."""
 
-from . import boxes, measures, shapes, texts  # noqa: F401
+from . import boxes, measures, scored, shapes, texts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

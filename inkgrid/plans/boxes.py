@@ -30,11 +30,13 @@ def cells_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{BOXES} SELECT a.image_id, a.ln AS g, b.p, round({OVERLAP}, 9) AS score FROM gt a JOIN pred b USING (image_id) WHERE {OVERLAP} >= 0.5""")
 def j03_overlap_join(spark, sf_dir):
+    """Pairs by the share of the smaller box."""
     return _pairs(spark, sf_dir, G.overlap_min(F.col("a"), F.col("b")), 0.5).select("image_id", "g", "p", F.round("score", 9).alias("score"))
 
 
 @query(f"""{BOXES} SELECT a.image_id, a.ln AS g, b.p, round({IOU}, 9) AS score FROM gt a JOIN pred b USING (image_id) WHERE {IOU} >= 0.3""")
 def j04_iou_join(spark, sf_dir):
+    """Pairs by intersection over union."""
     return _pairs(spark, sf_dir, G.iou(F.col("a"), F.col("b")), 0.3).select("image_id", "g", "p", F.round("score", 9).alias("score"))
 
 
