@@ -207,3 +207,13 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, limits
 
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of ``conversations`` packed for instruction training: only answers (role assistant) and end ids bear loss, and a
+    sequence holds at most 1024 tokens, 16 pieces and 768 tokens that bear loss, so that prompts fill what answers may not."""
+    turns = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id").cast("long") * (1 << 20) + F.col("turn").cast("long")).alias("doc_id"), "text", F.when(F.col("role") == "assistant", 0).otherwise(F.length("text")).alias("prompt")
+    )
+    packed = pack_documents(turns, vocabulary_path("byte_bpe_50k.json"), limits=Limits(tokens=1024, segments=16, loss=768), loss_from="prompt")
+    return packed.select(F.shiftright("doc_id", 20).alias("conv_id"), F.col("doc_id").bitwiseAND((1 << 20) - 1).cast("int").alias("turn"), "start", "length", "loss_tokens", "doc_tokens", "sequence_id", "offset")

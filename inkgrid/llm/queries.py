@@ -11,7 +11,7 @@ from .license_scan import op8_license_scan
 from .license_scan import oracle as license_sql
 from .masked_lm import op4_masked_pseudo_likelihood
 from .ngram_join import op1_ngram_jaccard_join
-from .packing import op10_vector_packing
+from .packing import op10_vector_packing, pack_conversations
 from .piece_codec import op2_sentencepiece_codec
 from .suffix_dedup import op6_suffix_dedup
 from .toxicity import op7_nb_ngram_toxicity
@@ -20,7 +20,7 @@ from .winnow import op5_winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece_codec, op3_adaptive_dimension_scan, op4_masked_pseudo_likelihood, op5_winnowing, op6_suffix_dedup, op7_nb_ngram_toxicity, op8_license_scan, op9_bitpacked_ids, op10_vector_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sentencepiece_codec, op3_adaptive_dimension_scan, op4_masked_pseudo_likelihood, op5_winnowing, op6_suffix_dedup, op7_nb_ngram_toxicity, op8_license_scan, op9_bitpacked_ids, op10_vector_packing, pack_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:

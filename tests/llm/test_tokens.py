@@ -235,3 +235,23 @@ def test_kept_columns_with_the_names_in_use(spark):
     got = piece_codec.encode_documents(df, model, ["doc_id", "text", "_text", "ids"])
     assert got.columns == ["doc_id", "text", "_text", "ids"] and got.first()["_text"] == "x"
     assert piece_codec.decode_documents(got, model, ["doc_id", "_text"]).first()["text"] == "a b"
+
+
+def test_conversations_meet_three_limits(spark):
+    """Every token of every turn once; all limits hold, and those on tokens and on loss both bind."""
+    rows = packing.pack_conversations(spark, "/root/testdata/sf0.001").collect()
+    by, turns = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append(r)
+        turns[r["conv_id"], r["turn"]].append(r)
+    source = {(r["conv_id"], r["turn"]): r for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()}
+    assert set(turns) == set(source)
+    for at, parts in turns.items():
+        parts.sort(key=lambda r: r["start"])
+        n = parts[0]["doc_tokens"]
+        assert [r["start"] for r in parts] == [sum(x["length"] for x in parts[:k]) for k in range(len(parts))] and sum(r["length"] for r in parts) == n
+        assert sum(r["loss_tokens"] for r in parts) == (n if source[at]["role"] == "assistant" else 1)
+    sums = [(sum(r["length"] for r in s), len(s), sum(r["loss_tokens"] for r in s)) for s in by.values()]
+    assert all(a <= 1024 and b <= 16 and c <= 768 for a, b, c in sums)
+    assert any(c == 768 and a < 1024 for a, _, c in sums), "there is room for tokens, but for none that bears loss"
+    assert any(a == 1024 and c < 768 for a, _, c in sums)
