@@ -34,6 +34,7 @@ read. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -326,6 +327,7 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, size: int =
     sets = materialize(sets.select("h1", "h2", "node", "copies", "x.*"), "sets")
 
     members = trie_nodes(sets, threshold, recall, trees, floor, max_depth, leaf)
+    gc.collect()  # frames that nothing refers to any more hold their plans in the driver
     one_each = sets.groupBy("node").count().filter("count > 1").isEmpty()  # else a node has the cells of several sets
     grouped = candidate_groups(members, one_each).withColumn("blocks", F.ceil(F.col("n") / F.lit(float(block))).cast("int"))
     placed = grouped.join(sets.select("node", "h1"), "node")
@@ -339,6 +341,7 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, size: int =
     cells = dealt.select(F.xxhash64("grp", "tree", low, high).alias("cell"), F.when(F.col("_b") > F.col("_o"), 1).otherwise(0).alias("side"), whole.alias("whole"), "tree", "cells", "node", "shingles")
     verified = materialize(verify(cells.repartition("cell").sortWithinPartitions("cell", "side", "node"), threshold), "verified")
 
+    gc.collect()
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     edges = verified.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"), "whole")
     roots = edges.filter("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))

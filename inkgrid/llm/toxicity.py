@@ -16,6 +16,7 @@ A null doc_id is scored, and counts as not held out.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, table, text_or_empty
-from .memory import task
+from .memory import task, trim
 from .textkit import mix, powers, prefix_hash
 
 ORDERS = (3, 4, 5, 6, 7)
@@ -200,10 +201,14 @@ def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = 4000, max_
     matrix = sample.mapInArrow(task("toxicity")(chosen_features), "doc_id long, y int, features binary").toArrow().sort_by("doc_id")
     y = matrix.column("y").to_numpy().astype(float)
     lists = [np.frombuffer(x.as_py(), "<u4") for x in matrix.column("features")]
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    columns = np.concatenate(lists).astype(np.int64)
+    rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    columns = np.concatenate(lists).astype(np.int32)
+    del matrix, lists
     weight = np.where(y == 1, shares[1] / n1, shares[0] / n0)
     w, b = train_logistic(rows, columns, ratios[columns], y, weight, len(buckets))
+    del rows, columns
+    gc.collect()  # the driver gives back what training took: later stages need the room
+    trim()
     return Model(buckets, w * ratios, b)
 
 
