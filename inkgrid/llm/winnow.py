@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from .common import shuffle_width, table, text_or_empty
 from .memory import task
+from .ranges import Ranges
 from .textkit import byte_prefix, gram_hash, rightmost_minima, span_hash, utf8_chunks
 
 GRAM, WINDOW = 16, 64
@@ -86,29 +87,37 @@ _LEAST = -(1 << 63)
 
 
 def in_descending_order(documents: DataFrame) -> DataFrame:
-    """doc_id, text, part, ghost in partitions of descending doc_id; each partition ends with a copy (ghost)
-    of the first row after it, and the last one with a copy of the very first row. One shuffle of the
-    texts; the driver sees a number a partition."""
+    """doc_id, text, ghost in partitions of descending doc_id; each partition ends with a copy (ghost) of the
+    first row after it, and the last one with a copy of the very first row. One shuffle of the texts; the
+    driver sees a number a partition. An id that many rows share is split by the texts' hashes."""
     spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(_LEAST)))
-    n = shuffle_width(spark)
-    keys = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"))
-    probs = [i / n for i in range(1, n)]
-    cuts = sorted(set(keys.select(F.percentile_approx("key", probs, 20_000)).first()[0] or []), reverse=True) if probs else []
-    # partition of a key: how many cuts are at or above it
-    place = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c > F.col("key"))) if cuts else F.lit(0)
-    heads = sorted((r["part"], r["head"]) for r in keys.select(place.alias("part"), "key").groupBy("part").agg(F.max("key").alias("head")).collect())
-    ghost_for: dict[int, list[int]] = {}
-    for i, (_, head) in enumerate(heads):
-        ghost_for.setdefault(head, []).append(heads[i - 1][0])
-    copies = F.array(F.struct(place.alias("part"), F.lit(0).alias("ghost")))
-    if heads:
-        ghosts = F.create_map(*[x for head, parts in ghost_for.items() for x in (F.lit(head).cast("long"), F.array(*[F.struct(F.lit(p).alias("part"), F.lit(1).alias("ghost")) for p in parts]))])
-        none = F.array().cast("array<struct<part:int,ghost:int>>")
-        copies = F.concat(copies, F.coalesce(F.try_element_at(ghosts, F.col("key")), none))
-    placed = rows.withColumn("copy", F.explode(copies)).select("doc_id", "text", "key", "copy.part", "copy.ghost")
-    placed = placed.repartitionById(max([p for p, _ in heads], default=0) + 1, F.col("part").cast("int"))
-    return placed.sortWithinPartitions("ghost", F.desc("key"), F.xxhash64("text")).select("doc_id", "text", "ghost")
+    # ~id ascends where the id descends
+    key, tie = F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).alias("key"), F.xxhash64(text_or_empty())
+    ranges = Ranges.of(documents.select(key), shuffle_width(spark))
+
+    @F.arrow_udf("int")
+    def place(keys: pa.Array, ties: pa.Array) -> pa.Array:
+        return pa.array(ranges.place(keys.to_numpy(), ties.to_numpy()))
+
+    ties = (tie if ranges.splits_ids else F.lit(0).cast("long")).alias("tie")
+    placed = documents.select(key, ties).select("key", place("key", "tie").alias("part"))
+    heads = sorted((r["part"], r["head"]) for r in placed.groupBy("part").agg(F.min("key").alias("head")).collect())
+    parts = np.array([p for p, _ in heads], np.int32)
+    firsts, before = np.array([h for _, h in heads], np.int64), np.roll(parts, 1)
+
+    @F.arrow_udf("struct<part:int,before:int>")
+    def dealt(keys: pa.Array, ties: pa.Array) -> pa.Array:
+        """The row's partition, and the one before it if the row may be the first there (else null)."""
+        own = ranges.place(keys.to_numpy(), ties.to_numpy())
+        at = np.searchsorted(parts, own)
+        ahead = pa.array(before[at], mask=firsts[at] != keys.to_numpy())
+        return pa.StructArray.from_arrays([pa.array(own), ahead], ["part", "before"])
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), key, ties).withColumn("to", dealt("key", "tie"))
+    own, ghost = F.struct(F.col("to.part").alias("part"), F.lit(0).alias("ghost")), F.struct(F.col("to.before").alias("part"), F.lit(1).alias("ghost"))
+    copies = F.when(F.col("to.before").isNull(), F.array(own)).otherwise(F.array(own, ghost))
+    moved = rows.withColumn("copy", F.explode(copies)).select("doc_id", "text", "key", "copy.part", "copy.ghost").repartitionById(ranges.parts, F.col("part"))
+    return moved.sortWithinPartitions("ghost", "key", F.xxhash64("text")).select("doc_id", "text", "ghost")
 
 
 def fingerprint_documents(documents: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
