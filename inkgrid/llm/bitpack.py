@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from .common import scratch_path, shuffle_width, table, text_or_empty, vocabulary_path
 from .encoding import encoder
 from .memory import task
+from .ranges import Ranges
 
 MAGIC = b"BITIDS01"
 _HEAD = struct.Struct("<8sIIQQQ")
@@ -109,7 +110,7 @@ class Shard:
 
 
 _NULL_ID = -(1 << 63)
-_ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("tie", T.LongType())])
+_ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("part", T.IntegerType())])
 _SHARDS = T.StructType([T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("seq", T.IntegerType()), ("inside", T.LongType()), ("n_ids", T.LongType()), ("n_docs", T.LongType()), ("shard", T.BinaryType()))])
 _DIGEST = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
@@ -118,8 +119,8 @@ def _moved_as(width: int) -> str:
     return "<u2" if width <= 16 else "<u4"
 
 
-def encode_documents(documents: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
-    """doc_id, ids (16 bits each if that is enough, else 32), n, tie: each text encoded where it was read, so that ids and not texts are shuffled."""
+def encode_documents(documents: DataFrame, tokenizer: str, end_id: int, width: int, ranges: Ranges) -> DataFrame:
+    """doc_id, ids (16 bits each if that is enough, else 32), n, tie, part: each text encoded where it was read, so that ids and not texts are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.uint32(end_id).tobytes()
@@ -132,7 +133,8 @@ def encode_documents(documents: DataFrame, tokenizer: str, end_id: int, width: i
                     got = np.frombuffer(ids + end, "<u4")
                     packed.append(got.astype(kind).tobytes())
                     n.append(len(got))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary()), pa.array(n, pa.int64()), part.column("tie")], names=_ENCODED.names)
+                place = ranges.place(part.column("doc_id").to_numpy(), part.column("tie").to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary()), pa.array(n, pa.int64()), part.column("tie"), pa.array(place)], names=_ENCODED.names)
 
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), text_or_empty().alias("text"))
     return rows.withColumn("tie", F.xxhash64("text")).mapInArrow(task("encoding")(run), _ENCODED)
@@ -168,16 +170,9 @@ def write_shards(documents: DataFrame, path: str, tokenizer: str, vocabulary: in
         if docs:
             yield flush()
 
-    width_parts = shuffle_width(spark)
-    encoded = encode_documents(documents, tokenizer, end_id, width)
-    # cut points come from doc_id alone: a sample of the encoded rows would encode twice
-    probs = [i / width_parts for i in range(1, width_parts)]
-    bounds = sorted({int(b) for b in (documents.select(F.percentile_approx(F.col("doc_id").cast("long"), probs, 20_000)).first()[0] or [])}) if probs else []
-    target = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(b).cast("long") for b in bounds])
-        target = F.size(F.filter(edges, lambda b: b <= F.col("doc_id")))
-    placed = encoded.withColumn("_to", target.cast("int")).repartitionById(len(bounds) + 1, F.col("_to")).drop("_to")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("key")
+    ranges = Ranges.of(documents.select(key), shuffle_width(spark))
+    placed = encode_documents(documents, tokenizer, end_id, width, ranges).repartitionById(ranges.parts, F.col("part"))
     placed.sortWithinPartitions("doc_id", "tie").mapInArrow(task("encoding")(run), _SHARDS).write.parquet(path)
 
 
@@ -211,9 +206,15 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str, lo: int, hi: int) -> np.ndarray:
-    """ids [lo, hi) of the whole output; only the shards that overlap are read."""
-    rows = shards(spark, path).filter((F.col("base") < hi) & (F.col("base") + F.col("n_ids") > lo)).orderBy("base").toLocalIterator()
-    parts = [Shard(r["shard"]).ids(max(0, lo - r["base"]), hi - r["base"]) for r in rows]
+    """ids [lo, hi) of the whole output: the counts say which shards overlap, and only those are asked for."""
+    own = spark.read.schema(_SHARDS).parquet(path)
+    places = own.select("part", "seq", "inside", "n_ids").join(F.broadcast(part_bases(spark, path)), "part")
+    base = (F.col("before") + F.col("inside")).alias("base")
+    wanted = places.select("part", "seq", base, "n_ids").filter((F.col("base") < hi) & (F.col("base") + F.col("n_ids") > lo)).orderBy("base").collect()
+    parts = []
+    for r in wanted:
+        for found in own.filter((F.col("part") == r["part"]) & (F.col("seq") == r["seq"])).select("shard").toLocalIterator():
+            parts.append(Shard(found["shard"]).ids(max(0, lo - r["base"]), hi - r["base"]))
     return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
