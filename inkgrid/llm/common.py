@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,6 +43,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table of ``materialize`` that ``df`` reads, when nothing will read it any more. No other table is touched."""
+    sc = df.sparkSession.sparkContext
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if re.fullmatch(r".*/inkgrid/[^/]+-[0-9a-f]{32}", path):
+            folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,9 +35,12 @@ def _is_star_forest(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
     """``a, b`` edges of long ids -> ``node, root``: root is the least id of the component. Ids without an edge are absent."""
-    current = edges.select("a", "b").filter("a <> b")
+    current, before = edges.select("a", "b").filter("a <> b"), None
     for _ in range(rounds):
         current = materialize(_small_star(_large_star(current)).distinct(), label)
+        if before is not None:
+            discard(before)  # the new table is whole in the shared folder: no lineage reaches the old one
+        before = current
         if _is_star_forest(current):
             roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

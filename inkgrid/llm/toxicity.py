@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,9 +138,10 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = 4000, max_features: int = 20_000, min_z: float = 2.5, min_texts: int = 3) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = 4000, max_features: int = 20_000, min_z: float = 2.5, min_texts: int = 3, max_pairs: int = 16_000_000) -> Model:
     """Learn from a bounded sample. The driver gets the sample's size in ids, ``max_features`` ratios and
-    the sample's chosen features."""
+    the sample's chosen features: at most ``max_pairs`` pairs of text and feature (4 bytes each), half for
+    each class. A sample of long texts that has more is cut in the order of xxhash64(doc_id)."""
     spark = documents.sparkSession
     usable = training_labels(labels)
     shares = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -196,15 +197,20 @@ def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = 4000, max_
             column = np.searchsorted(buckets, found).astype("<u4")
             cut = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             packed = [column[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(packed, pa.binary())], names=["doc_id", "y", "features"])
-
-    matrix = sample.mapInArrow(task("toxicity")(chosen_features), "doc_id long, y int, features binary").toArrow().sort_by("doc_id")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(np.diff(cut)), pa.array(packed, pa.binary())], names=["doc_id", "y", "n", "features"])
+
+    # at most max_per_class rows a class are in the window
+    featured = materialize(sample.mapInArrow(task("toxicity")(chosen_features), "doc_id long, y int, n long, features binary"), "toxicity-features")
+    so_far = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("features")).rowsBetween(Window.unboundedPreceding, 0))
+    running = featured.select("doc_id", "y", "features", so_far.alias("so_far"), F.col("n"))
+    # the first text of a class stays however long it is: it has max_features pairs at most
+    matrix = running.filter((F.col("so_far") <= max_pairs // 2) | (F.col("so_far") == F.col("n"))).select("doc_id", "y", "features").toArrow().sort_by("doc_id")
     y = matrix.column("y").to_numpy().astype(float)
     lists = [np.frombuffer(x.as_py(), "<u4") for x in matrix.column("features")]
     rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
     columns = np.concatenate(lists).astype(np.int32)
     del matrix, lists
-    weight = np.where(y == 1, shares[1] / n1, shares[0] / n0)
+    weight = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum()))
     w, b = train_logistic(rows, columns, ratios[columns], y, weight, len(buckets))
     del rows, columns
     gc.collect()  # the driver gives back what training took: later stages need the room
