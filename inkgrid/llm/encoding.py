@@ -20,7 +20,8 @@ from .textkit import byte_prefix, span_hash
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
+#: Without U+0130: in lower case it ends in a combining dot, which goes with the full stop behind it.
+_LETTER = "A-Za-zÀ-ÖØ-öø-\u012f\u0131-ſ"
 #: A lone newline; blanks and a word before a full stop or comma; blanks and a visible run; blanks.
 _CHUNK = re.compile(rf"(?<![ \n])\n(?=[^ \n])|[ \n]*+[{_LETTER}]++(?=[.,])|[ \n]*+[^ \n]++|[ \n]+")
 #: White space that the cuts do not know, special tokens, and the mark used for cutting.
@@ -90,7 +91,7 @@ def spans(texts: list[str], data: list[bytes], bare: bool) -> tuple[np.ndarray,
     stop = np.flatnonzero((kind == 2) & (before != 1))
     wide = stop[before[stop] == 5]
     lead, tail = buf[wide - 2], buf[wide - 1]
-    latin = (lead >= 0xC3) & (lead <= 0xC5) & ~((lead == 0xC3) & ((tail == 0x97) | (tail == 0xB7)))
+    latin = (lead >= 0xC3) & (lead <= 0xC5) & ~((lead == 0xC3) & ((tail == 0x97) | (tail == 0xB7))) & ~((lead == 0xC4) & (tail == 0xB0))
     last = bounds[1:][some] - 1
     odd = np.concatenate((np.setdiff1d(stop, wide[latin]), np.flatnonzero((kind == 3) & (before == 3)), last[kind[last] == 3]))
     uneven = sorted(set(owner(odd).tolist()) - set(whole)) if len(odd) else []

@@ -15,7 +15,7 @@ from inkgrid.llm.encoding import ChunkTable, encoder
 from .conftest import DOCUMENTS
 
 TEXTS = [t or "" for _, t in DOCUMENTS]
-ODD = ["a", "B", "é", ".", ",", " ", "  ", "\n", "1", "<|endoftext|>", "\t", "Σ", "日", "'s", "-", "́", "word", "..."]
+ODD = ["a", "B", "é", ".", ",", " ", "  ", "\n", "1", "<|endoftext|>", "\t", "Σ", "日", "'s", "-", "́", "word", "...", "İ"]
 
 
 def odd_texts(seed: int, n: int) -> list[str]:
