@@ -69,7 +69,7 @@ def test_equals_a_plain_trie(spark, seed):
 
 
 def test_one_long_conversation_is_spread_over_ranges(spark):
-    rows = [(7, t, "user", f"t{t % 13}") for t in range(3000)] + made(5, 40, 4)
+    rows = [(7, t, "user", f"t{t % 13}") for t in range(500)] + made(5, 40, 4)
     rows = [r for r in rows if r[0] != 7 or r[2] == "user"]
     numbered = numbered_turns(table(spark, rows)).filter("conv_id = 7")
     assert numbered.select("part").distinct().count() > 1
