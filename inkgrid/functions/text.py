@@ -17,6 +17,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .distance import edit_distance as char_distance
+from .distance import edit_distance_of
+
 # What the normal form deletes and replaces.
 DELETED = [0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD]
 APOSTROPHES = [0x2018, 0x2019, 0x201A, 0x201B, 0x2032]
@@ -126,7 +129,7 @@ def error_rate(edits: Column, length: Column) -> Column:
 
 def bench_error_rate(ref: Column, hyp: Column, edits: Column | None = None) -> Column:
     """The variant for which an empty reference is right (0) if nothing was read, else wrong (1)."""
-    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise((F.levenshtein(ref, hyp) if edits is None else edits) / F.length(ref))
+    return F.when(F.length(ref) == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise((char_distance(ref, hyp) if edits is None else edits) / F.length(ref))
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -147,7 +150,7 @@ def edit_distance(a: list, b: list) -> int:
 @F.pandas_udf(T.IntegerType())
 def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance of token arrays; null if either is null."""
-    return pd.Series([None if x is None or y is None else edit_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    return pd.Series([None if x is None or y is None else edit_distance_of(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def substitutions(a: str, b: str, cells: int = 1 << 22) -> list[tuple[int, int, str, str]]:

@@ -84,7 +84,7 @@ def with_edits(units: DataFrame) -> DataFrame:
     pairs = {"n0": (F.col("ref_n0"), F.col("hyp_n0")), "n1": (F.col("ref_n1"), F.col("hyp_n1")), "n2": (F.col("_r2"), F.col("_h2")), "nows": (X.without_spaces(F.col("ref_n1")), X.without_spaces(F.col("hyp_n1")))}
     out = forms
     for name, (r, h) in pairs.items():
-        out = out.withColumn(f"ed_{name}", F.levenshtein(r, h)).withColumn(f"len_{name}", F.length(r))
+        out = out.withColumn(f"ed_{name}", X.char_distance(r, h)).withColumn(f"len_{name}", F.length(r))
     out = out.withColumn("ed_w", X.token_distance("_rt", "_ht")).withColumn("len_w", F.size("_rt"))
     for name in (*pairs, "w"):
         out = out.withColumn("wer" if name == "w" else f"cer_{name}", X.error_rate(F.col(f"ed_{name}"), F.col(f"len_{name}")))

@@ -38,7 +38,7 @@ def f06_character_distance(spark, sf_dir):
 def _character_distance(rows, *key):
     r, h = F.col("ref"), F.col("hyp")
     edits = F.col("edits")
-    rows = rows.withColumn("edits", F.levenshtein(r, h))  # once a row
+    rows = rows.withColumn("edits", X.char_distance(r, h))  # once a row
     return rows.select(*key, "edits", F.length(r).alias("n"), X.error_rate(edits, F.length(r)).alias("cer"), _r(X.bench_error_rate(r, h, edits)).alias("bench_cer"))
 
 
@@ -51,7 +51,7 @@ def a01_micro_rates(spark, sf_dir):
 def _micro_rates(rows):
     r, h = F.col("ref"), F.col("hyp")
     rs, hs = X.without_spaces(r), X.without_spaces(h)
-    return rows.groupBy("lang", "source").agg(_r(F.try_divide(F.sum(F.levenshtein(r, h)), F.sum(F.length(r)))).alias("cer"), _r(F.try_divide(F.sum(F.levenshtein(rs, hs)), F.sum(F.length(rs)))).alias("cer_nows"), F.count_if(r == h).alias("exact"), F.sum(F.length(r)).alias("chars"))
+    return rows.groupBy("lang", "source").agg(_r(F.try_divide(F.sum(X.char_distance(r, h)), F.sum(F.length(r)))).alias("cer"), _r(F.try_divide(F.sum(X.char_distance(rs, hs)), F.sum(F.length(rs)))).alias("cer_nows"), F.count_if(r == h).alias("exact"), F.sum(F.length(r)).alias("chars"))
 
 
 @query(f"WITH {LINES}, t AS (SELECT doc_id, line, CASE WHEN ref = '' THEN [] ELSE string_split(ref, ' ') END AS a, CASE WHEN hyp = '' THEN [] ELSE string_split(hyp, ' ') END AS b FROM p) SELECT doc_id, line, len(a)::INT AS n_ref, len(b)::INT AS n_hyp, len(list_filter(a, lambda x: regexp_matches(x, '[0-9]')))::INT AS numeric_tokens FROM t", also="f05_tokens_whole")
@@ -65,6 +65,23 @@ def _token_counts(rows, *key):
     return rows.select(*key, F.size(a).alias("n_ref"), F.size(b).alias("n_hyp"), F.size(F.filter(a, X.is_numeric_token)).alias("numeric_tokens"))
 
 
+#: The transcript of a page, and the same with every ninth line unread and two letters read as one. Whole texts, in order.
+PAGES = f"""WITH {LINES}, w AS (SELECT doc_id, lang, source, string_agg(ref, ' ' ORDER BY line) FILTER (ref <> '') AS truth, string_agg(replace(replace(ref, 'rn', 'm'), 'cl', 'd'), ' ' ORDER BY line) FILTER (ref <> '' AND line % 9 <> 4) AS reading FROM p GROUP BY ALL),
+page AS (SELECT doc_id, lang, source, coalesce(truth, '') AS truth, coalesce(reading, '') AS reading FROM w)"""
+
+
+@query(f"""{PAGES} SELECT lang, source, count(*)::BIGINT AS pages, sum(levenshtein(truth, reading))::BIGINT AS edits, sum(length(truth))::BIGINT AS chars, round(CASE WHEN sum(length(truth)) > 0 THEN sum(levenshtein(truth, reading)) / sum(length(truth)) END, 6) AS page_cer FROM page GROUP BY lang, source""")
+def ext_page_error_rate(spark, sf_dir):
+    """Extension: error rate of whole transcripts, without lines being matched first."""
+    rows = _lines(spark, sf_dir).filter("ref IS NOT NULL")
+    line = F.struct("line", "ref")
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(c), lambda x: x.isNotNull())), lambda x: x["ref"]), " ")
+    read_as = F.struct("line", F.replace(F.replace(F.col("ref"), F.lit("rn"), F.lit("m")), F.lit("cl"), F.lit("d")).alias("ref"))
+    pages = rows.groupBy("doc_id", "lang", "source").agg(ordered(F.when(F.col("ref") != "", line)).alias("truth"), ordered(F.when((F.col("ref") != "") & (F.col("line") % 9 != 4), read_as)).alias("reading"))
+    scored = pages.select("lang", "source", F.length("truth").alias("n"), X.char_distance("truth", "reading").alias("e"))
+    return scored.groupBy("lang", "source").agg(F.count("*").alias("pages"), F.sum("e").alias("edits"), F.sum("n").alias("chars"), _r(F.try_divide(F.sum("e"), F.sum("n"))).alias("page_cer"))
+
+
 _BAGS = f"""WITH {LINES}, a AS (SELECT doc_id, line, unnest(CASE WHEN ref = '' THEN [] ELSE string_split(ref, ' ') END) AS t FROM p), b AS (SELECT doc_id, line, unnest(CASE WHEN hyp = '' THEN [] ELSE string_split(hyp, ' ') END) AS t FROM p),
 ca AS (SELECT doc_id, line, t, count(*) AS n FROM a GROUP BY ALL), cb AS (SELECT doc_id, line, t, count(*) AS n FROM b GROUP BY ALL),
 m AS (SELECT doc_id, line, sum(least(ca.n, cb.n)) AS c, sum(CASE WHEN regexp_matches(t, '[0-9]') THEN least(ca.n, cb.n) ELSE 0 END) AS nc FROM ca JOIN cb USING (doc_id, line, t) GROUP BY doc_id, line),
