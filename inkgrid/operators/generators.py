@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
 
 def grid(*dimensions: DataFrame) -> DataFrame:
     """All combinations of small dimension tables."""
@@ -41,16 +43,66 @@ def hash_sample(df: DataFrame, key: str, share: float, seed: str) -> DataFrame:
     return rows.filter(F.col("_bin") < last).unionByName(edge).drop("_digest", "_bin")
 
 
-def resample(df: DataFrame, stratum: str, order: str, seed: int) -> DataFrame:
-    """One stratified resample with replacement: each stratum keeps its size."""
+#: Rows of a stratum that are drawn from at once, on average.
+LEAF = 1024
 
-    def draw(names: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        digest = hashlib.sha256(repr((seed, *names)).encode()).digest()
-        rng = np.random.Generator(np.random.PCG64(int.from_bytes(digest[:8], "big")))
-        return rows.iloc[rng.integers(0, len(rows), len(rows))]
 
-    return df.groupBy(stratum).applyInPandas(draw, df.schema)
+def resample(df: DataFrame, stratum: str, order: str, seed: int) -> DataFrame:
+    """One stratified resample with replacement: each stratum keeps its size, rows come as often as they are drawn.
+
+    The draws of a stratum go down a binary tree over the hashes of ``order``: a node gives each of its draws to its left half with the
+    share of rows there (one binomial number), so the counts at the leaves are exactly multinomial. A leaf deals its draws to
+    its rows, about ``LEAF`` of them. Every number comes from a generator seeded by seed, stratum and node: the result depends on
+    the rows alone, not on how they are partitioned, and no stratum is gathered. ``order`` should tell rows apart: rows
+    of one value are drawn from together, in one leaf. A null stratum is a stratum of its own."""
+    place = F.shiftrightunsigned(F.xxhash64(F.col(order)), 1)  # 63 bits
+    most = df.groupBy(stratum).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    depth = max(0, (most // LEAF).bit_length())
+    rows = df.withColumns({"_leaf": F.shiftright(place, 63 - depth) if depth else F.lit(0).cast("long"), "_place": place})
+    leaves = written(rows.groupBy(F.col(stratum).alias("_s"), "_leaf").agg(F.count("*").alias("_n")))
+    name = F.coalesce(F.col("_s").cast("string"), F.lit("\x00"))
+
+    def level(k: int) -> DataFrame:
+        return leaves.groupBy("_s", F.shiftright("_leaf", depth - k).alias("_node")).agg(F.sum("_n").alias("_n"))
+
+    draws = level(0).select("_s", "_node", "_n", F.col("_n").alias("_draws"))
+    for k in range(1, depth + 1):
+        above = draws.select(F.col("_s").alias("_t"), F.col("_node").alias("_up"), F.col("_n").alias("_all"), "_draws")
+        below = level(k).join(above, F.col("_s").eqNullSafe(F.col("_t")) & (F.shiftright("_node", 1) == F.col("_up")))
+        left = F.col("_node") % 2 == 0
+        share = F.when(left, F.col("_n")).otherwise(F.col("_all") - F.col("_n")) / F.col("_all")
+        given = binomial(F.concat_ws("|", F.lit(seed), F.lit(k), F.col("_up"), name), F.col("_draws"), share)
+        split = below.withColumn("_left", given)
+        draws = split.select("_s", "_node", "_n", F.when(left, F.col("_left")).otherwise(F.col("_draws") - F.col("_left")).alias("_draws"))
+        if k % 8 == 0:
+            draws = written(draws)
+
+    columns = df.columns
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_place", order], kind="stable")
+        first = rows.iloc[0]
+        rng = _generator(f"{seed}|leaf|{first['_leaf']}|{first['_name']}")
+        times = rng.multinomial(int(first["_draws"]), np.full(len(rows), 1 / len(rows)))
+        return rows.iloc[np.repeat(np.arange(len(rows)), times)][columns]
+
+    wanted = draws.select(F.col("_s").alias("_t"), F.col("_node").alias("_drawn"), "_draws", name.alias("_name"))
+    held = rows.join(wanted, F.col(stratum).eqNullSafe(F.col("_t")) & (F.col("_leaf") == F.col("_drawn"))).drop("_t", "_drawn")
+    return held.groupBy("_name", "_leaf").applyInPandas(deal, df.schema)
+
+
+def _generator(name: str) -> np.random.Generator:
+    return np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256(name.encode()).digest()[:16], "big")))
+
+
+def binomial(name: Column, n: Column, share: Column) -> Column:
+    """A binomial number for each row, from a generator seeded by its name."""
+
+    @F.pandas_udf("long")
+    def drawn(names: pd.Series, ns: pd.Series, shares: pd.Series) -> pd.Series:
+        return pd.Series([_generator(a).binomial(int(k), min(max(p, 0.0), 1.0)) for a, k, p in zip(names, ns, shares, strict=True)], dtype="int64")
+
+    return drawn(name, n, share)
 
 
 #: What is put into a text; of further ones there are as many as are needed.

@@ -85,6 +85,55 @@ def independent_lines(boxes: Column, share: float = 0.5) -> Column:
     return F.aggregate(ordered, start, step)["n"]
 
 
+def merged_lines(boxes: DataFrame, key: list[str], share: float = 0.5) -> DataFrame:
+    """key, group, y0, y1, members: boxes (column ``b``) from the top, merged while they overlap the running line by over ``share`` of the
+    smaller height. The lower edge of the running line is the greatest of all boxes before, as a box that opens a line reaches
+    below all of them; only the line's top depends on where it began. Boxes without height take no part."""
+    from .scans import first_bound_groups
+
+    b = F.col("b")
+    rows = boxes.filter(b["h"] > 0).withColumns({"_y0": b["y"], "_y1": G.bottom(b)})
+    order = [F.col("_y0"), F.col("_y1"), b["x"], b["w"]]
+    until = F.max("_y1").over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.struct(F.col("_y0").alias("y0"), F.col("_y1").alias("y1"), until.alias("until"))
+
+    def opens(c: Column, first: Column) -> Column:
+        return F.least(c["until"], c["y1"]) - c["y0"] <= share * F.least(c["until"] - first["y0"], c["y1"] - c["y0"])
+
+    grouped = first_bound_groups(rows, key, order, opens, carried)
+    return grouped.groupBy(*key, "group").agg(F.min("_y0").alias("y0"), F.max("_y1").alias("y1"), F.count("*").alias("members"))
+
+
+def lines_of_characters(chars: DataFrame, key: list[str], order: str) -> DataFrame:
+    """key, line, text, b, chars, violations of characters (``ch``, ``b``) in logical order: a line ends where the centre of a character
+    leaves that of the line's first one by over half the smaller height. A blank belongs to the line that was begun last if
+    its centre is as near, otherwise to none. Violations are characters left of the one before, or over more than half of it."""
+    from .scans import first_bound_groups
+
+    b = F.col("b")
+    blank = F.trim("ch") == ""
+    place = F.struct(G.centre_y(b).alias("cy"), b["h"].alias("h"))
+
+    def far(c: Column, first: Column) -> Column:
+        return F.abs(c["cy"] - first["cy"]) > 0.5 * F.least(c["h"], first["h"])
+
+    ink = first_bound_groups(chars.filter(~blank).select(*key, order, "ch", "b"), key, [F.col(order)], far, place)
+    line = Window.partitionBy(*key, "group").orderBy(order)
+    before = F.lag("b").over(line)
+    late = (b["x"] < before["x"] - 0.5) | (G.right(before) - b["x"] > 0.5 * b["w"])
+    marked = ink.withColumn("_late", F.coalesce(late, F.lit(False))).withColumn("_first", F.first(place).over(line))
+    # blanks look back to the last character before them
+    upto = Window.partitionBy(*key).orderBy(order)
+    both = marked.unionByName(chars.filter(blank).select(*key, order, "ch", "b"), allowMissingColumns=True)
+    held = both.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in ("group", "_first")})
+    kept = held.filter(F.col("group").isNotNull() & (~blank | ~far(place, F.col("_first"))))
+    shown = F.when(~blank, F.col("b"))
+    x0, y0 = F.min(shown["x"]), F.min(shown["y"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.when(blank, " ").otherwise(F.col("ch")).alias("ch")))), lambda c: c["ch"]), "")
+    lines = kept.groupBy(*key, F.col("group").alias("line")).agg(text.alias("_t"), G.box(x0, y0, F.max(G.right(shown)) - x0, F.max(G.bottom(shown)) - y0).alias("b"), F.count_if(~blank).alias("chars"), F.count_if(F.coalesce("_late", F.lit(False))).alias("violations"))
+    return lines.select(*key, "line", F.trim(F.regexp_replace("_t", " +", " ")).alias("text"), "b", "chars", "violations")
+
+
 def order_violations(df: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
     """Rows of each key whose value is below that of the row before."""
     before = F.lag(value).over(Window.partitionBy(*key).orderBy(order))

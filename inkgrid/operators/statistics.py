@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 # Fixed values of the declared analysis.
 SEED = 20260924
 RESAMPLES = 9999
@@ -62,6 +64,37 @@ def leave_one_out(df: DataFrame, cell: list[str], num: str, den: str) -> DataFra
     return df.withColumn("without", F.try_divide(F.sum(num).over(whole) - F.col(num), F.sum(den).over(whole) - F.col(den)))
 
 
+def jackknife(df: DataFrame, cell: list[str], order: list[str], states: dict[str, tuple[Column, str]], finish: Callable[[dict[str, Column]], Column]) -> DataFrame:
+    """Adds ``without``: the statistic of all other rows of the cell, for any statistic whose state can be merged.
+
+    ``states`` are the parts of a row's state and how two are merged (sum, max or min), ``finish`` makes the statistic of merged parts. The
+    others are the rows before and the rows behind: two running merges, spread over ranges, so no part need be taken out again
+    (there is no way back from a maximum) and a cell may hold any number of rows. ``order`` must tell the rows of a cell apart."""
+    before = scans.running_states(df, cell, [F.col(c) for c in order], {f"_p_{n}": s for n, s in states.items()})
+    both = scans.running_states(before, cell, [F.col(c).desc() for c in order], {f"_s_{n}": s for n, s in states.items()})
+    merged = {n: scans.merge_two(F.col(f"_p_{n}"), F.col(f"_s_{n}"), kind) for n, (_, kind) in states.items()}
+    return both.select(*df.columns, finish(merged).alias("without"))
+
+
+def mergeable(name: str, x: Column, y: Column) -> tuple[dict[str, tuple[Column, str]], Callable[[dict[str, Column]], Column]]:
+    """(states, finish) of ``sum``, ``max``, ``ratio`` (of x to y) or ``correlation``."""
+    if name == "sum":
+        return {"x": (x, "sum")}, lambda s: s["x"]
+    if name == "max":
+        return {"x": (x, "max")}, lambda s: s["x"]
+    if name == "ratio":
+        return {"x": (x, "sum"), "y": (y, "sum")}, lambda s: F.try_divide(s["x"], s["y"])
+    if name == "correlation":
+        parts = {"n": F.lit(1).cast("long"), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
+
+        def finish(s: dict[str, Column]) -> Column:
+            spread = (s["n"] * s["xx"] - s["x"] * s["x"]).cast("double") * (s["n"] * s["yy"] - s["y"] * s["y"]).cast("double")
+            return F.when(spread > 0, (s["n"] * s["xy"] - s["x"] * s["y"]).cast("double") / F.sqrt(spread))
+
+        return {n: (v, "sum") for n, v in parts.items()}, finish
+    raise ValueError(f"no statistic {name!r}")
+
+
 def sample_size(half_width: Column, point: Column, pilot: int, full: int) -> Column:
     """struct<projected, threshold, increase>: half-width scaled to the full design against the larger of 0.2 points
     and a quarter of the estimate."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,3 +31,12 @@ def written(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes the table of ``written`` that ``df`` reads, when nothing will read it any more. No other table is touched."""
+    sc = df.sparkSession.sparkContext
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if re.fullmatch(r".*/inkgrid-tables/[0-9a-f]{32}", path):
+            folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)

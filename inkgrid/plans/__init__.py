@@ -1,4 +1,4 @@
 """Registered queries over the tables."""
 
-from . import boxes, measures, pages, scored, shapes, streams, texts  # noqa: F401
+from . import boxes, measures, pages, rasters, scored, sequences, shapes, streams, texts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -115,6 +115,14 @@ def word_lines(words: DataFrame) -> DataFrame:
     return grouped.select("image_id", "block", "par", "line", F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"), union_box(F.transform("_w", lambda w: w["b"])).alias("b"), "confidence")
 
 
+def sitemap(spark: SparkSession, path: str) -> DataFrame:
+    """loc, lastmod, changefreq, priority, alternates of all entries below ``path``, by the built-in XML source."""
+    schema = "loc string, lastmod string, changefreq string, priority string, `xhtml:link` array<struct<_hreflang:string,_href:string>>"
+    rows = spark.read.format("xml").option("rowTag", "url").option("recursiveFileLookup", True).schema(schema).load(path)
+    links = F.transform(F.coalesce("`xhtml:link`", F.array().cast("array<struct<_hreflang:string,_href:string>>")), lambda a: F.struct(a["_hreflang"].alias("hreflang"), a["_href"].alias("href")))
+    return rows.select("loc", "lastmod", "changefreq", "priority", links.alias("alternates"))
+
+
 def adapters() -> dict:
     """Readers by name: the place to register another engine's output."""
-    return {"manifest": manifest, "truth": truth, "predictions": predictions, "timings": timings, "images": images, "masks": masks}
+    return {"manifest": manifest, "truth": truth, "predictions": predictions, "timings": timings, "images": images, "masks": masks, "sitemap": sitemap}

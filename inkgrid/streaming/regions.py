@@ -175,9 +175,21 @@ def debounced(events: DataFrame, key: list[str], at: str, quiet: str = "450 mill
 
 
 def lines_of_chunks(chunks: DataFrame, key: list[str], order: list[str], text: str) -> DataFrame:
-    """Lines of a text that came in chunks cut anywhere; a last line without a newline counts, blank ones do not."""
-    whole = chunks.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t")))), lambda x: x["_t"]), "").alias("_all"))
-    return whole.select(*key, F.posexplode(F.filter(F.split("_all", "\n"), lambda l: F.trim(l) != "")).alias("line", "content"))
+    """key, line, content: lines of a text that came in chunks cut anywhere. A last line without a newline counts, blank ones do not.
+
+    A chunk is parted at its newlines; the piece behind the last one is carried to the next chunk, however many chunks have
+    none. The newlines before a chunk number its first piece: a running total spread over ranges of chunks, so a stream in one key is
+    never in one row or one task. Pieces of one number are one line, which is as long as it is. Lines are numbered in the same way."""
+    from ..operators.scans import running_totals
+
+    rows = chunks.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(*key, *order, F.col(text).alias("_t"))
+    at = running_totals(rows, key, [F.col(c) for c in order], {"_first": (F.length("_t") - F.length(F.replace(F.col("_t"), F.lit("\n"), F.lit("")))).cast("long")})
+    pieces = at.select(*key, *order, "_first", F.posexplode(F.split("_t", "\n", -1)).alias("_i", "_piece"))
+    numbered = pieces.filter("_piece <> ''").withColumn("_line", F.col("_first") + F.col("_i"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_i", "_piece"))), lambda x: x["_piece"]), "")
+    lines = numbered.groupBy(*key, "_line").agg(joined.alias("content")).filter(F.trim("content") != "")
+    placed = running_totals(lines, key, [F.col("_line")], {"line": F.lit(1).cast("long")})
+    return placed.select(*key, F.col("line").cast("int").alias("line"), "content")
 
 
 def attempt_outcome(attempts):
