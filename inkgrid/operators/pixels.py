@@ -54,7 +54,7 @@ def flat_alpha(pixels: DataFrame, key: list[str], ring: int = 2) -> DataFrame:
     placed = parted.join(ink, key)
     along = reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"_g{c}")) * (F.col(f"_i{c}") - F.col(f"_g{c}")) for c in CHANNELS])
     length = reduce(lambda a, b: a + b, [(F.col(f"_i{c}") - F.col(f"_g{c}")) * (F.col(f"_i{c}") - F.col(f"_g{c}")) for c in CHANNELS])
-    alpha = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), along / F.greatest(length, F.lit(1.0)))), F.lit(0.0))
+    alpha = F.when(F.col("_ir").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), along / F.greatest(length, F.lit(1.0)))))
     return placed.select(*pixels.columns, "threshold", "text", alpha.alias("alpha"))
 
 

@@ -26,7 +26,7 @@ var AS (SELECT vec_id, level, CASE WHEN nn > w THEN w::DOUBLE * (nn - w) * ((s /
 best AS (SELECT vec_id, coalesce((list(level ORDER BY v DESC, level) FILTER (v > 0))[1], 0) AS threshold FROM var GROUP BY vec_id),
 parted AS (SELECT *, (away > threshold) <> (avg((away > threshold)::INT) OVER (PARTITION BY vec_id) > 0.5) AS ink FROM far JOIN best USING (vec_id)),
 tone AS (SELECT vec_id, median(r) FILTER (ink) AS ir, median(g) FILTER (ink) AS ig, median(b) FILTER (ink) AS ib FROM parted GROUP BY vec_id),
-shade AS (SELECT vec_id, threshold, ink, coalesce(greatest(0, least(1, ((r - gr) * (ir - gr) + (g - gg) * (ig - gg) + (b - gb) * (ib - gb)) / greatest((ir - gr) * (ir - gr) + (ig - gg) * (ig - gg) + (ib - gb) * (ib - gb), 1))), 0) AS alpha FROM parted JOIN tone USING (vec_id))
+shade AS (SELECT vec_id, threshold, ink, CASE WHEN ir IS NULL THEN 0 ELSE greatest(0, least(1, ((r - gr) * (ir - gr) + (g - gg) * (ig - gg) + (b - gb) * (ib - gb)) / greatest((ir - gr) * (ir - gr) + (ig - gg) * (ig - gg) + (ib - gb) * (ib - gb), 1))) END AS alpha FROM parted JOIN tone USING (vec_id))
 SELECT vec_id, any_value(threshold)::INT AS threshold, count(*) FILTER (ink)::BIGINT AS ink_pixels, round(avg(alpha), 9) AS mean_alpha, count(*) FILTER (alpha > 0.95)::BIGINT AS full_pixels FROM shade GROUP BY vec_id""")
 def x10_flat_alpha(spark, sf_dir):
     """Ink share of each pixel on a flat ground, by Otsu's threshold from a histogram."""
