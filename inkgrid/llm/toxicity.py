@@ -111,15 +111,30 @@ class Model:
         return score
 
 
-def train_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, target: np.ndarray, sample_weight: np.ndarray, n_columns: int, l2: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression by Adam over the whole sparse matrix."""
-    w, b, n = np.zeros(n_columns), 0.0, len(target)
+#: Pairs of text and feature that one step of training holds unpacked.
+AT_ONCE = 1 << 20
+
+
+def train_logistic(columns: np.ndarray, offsets: np.ndarray, scale: np.ndarray, target: np.ndarray, sample_weight: np.ndarray, l2: float = 1e-3, steps: int = 200) -> tuple[np.ndarray, float]:
+    """L2-regularised logistic regression by Adam over the whole sparse matrix: row i has the features ``columns[offsets[i]:offsets[i+1]]``,
+    each with the value ``scale`` of its column. Rows are unpacked a block at a time, so memory is that of ``columns``."""
+    n_columns, n = len(scale), len(target)
+    w, b = np.zeros(n_columns), 0.0
     m, v = np.zeros(n_columns + 1), np.zeros(n_columns + 1)
     share = sample_weight / sample_weight.sum()
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(offsets, offsets[cuts[-1]] + AT_ONCE, side="right")) - 1))
     for t in range(1, steps + 1):
-        margin = np.bincount(rows, values * w[columns], n) + b
-        wrong = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - target) * share
-        g = np.append(np.bincount(columns, values * wrong[rows], n_columns) + l2 * w / n_columns**0.5, wrong.sum())
+        scaled, gradient, bias = w * scale, np.zeros(n_columns), 0.0
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = columns[offsets[lo] : offsets[hi]]
+            rows = np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(offsets[lo : hi + 1]))
+            margin = np.bincount(rows, scaled[own], hi - lo) + b
+            wrong = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - target[lo:hi]) * share[lo:hi]
+            gradient += np.bincount(own, wrong[rows], n_columns)
+            bias += wrong.sum()
+        g = np.append(gradient * scale + l2 * w / n_columns**0.5, bias)
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -206,13 +221,15 @@ def fit(documents: DataFrame, labels: DataFrame, max_per_class: int = 4000, max_
     # the first text of a class stays however long it is: it has max_features pairs at most
     matrix = running.filter((F.col("so_far") <= max_pairs // 2) | (F.col("so_far") == F.col("n"))).select("doc_id", "y", "features").toArrow().sort_by("doc_id")
     y = matrix.column("y").to_numpy().astype(float)
-    lists = [np.frombuffer(x.as_py(), "<u4") for x in matrix.column("features")]
-    rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-    columns = np.concatenate(lists).astype(np.int32)
-    del matrix, lists
+    features = matrix.column("features")
+    offsets = np.concatenate(([0], np.cumsum([len(x.as_buffer()) // 4 for x in features])))
+    columns = np.empty(offsets[-1], np.uint16 if len(buckets) <= 1 << 16 else np.uint32)
+    for i, x in enumerate(features):
+        columns[offsets[i] : offsets[i + 1]] = np.frombuffer(x.as_buffer(), "<u4")
+    del matrix, features
     weight = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum()))
-    w, b = train_logistic(rows, columns, ratios[columns], y, weight, len(buckets))
-    del rows, columns
+    w, b = train_logistic(columns, offsets, ratios, y, weight)
+    del columns
     gc.collect()  # the driver gives back what training took: later stages need the room
     trim()
     return Model(buckets, w * ratios, b)
