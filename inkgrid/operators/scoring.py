@@ -150,11 +150,29 @@ def with_cells(rows: DataFrame, base: str = "V00") -> DataFrame:
     return rows.withColumn("_cell", F.explode(F.filter(cells, lambda c: c.isNotNull()))).select("*", "_cell.dimension", "_cell.level").drop("_cell")
 
 
+#: Thresholds of detection, fixed by the declared analysis; the first is the main one.
+THRESHOLDS = (0.5, 0.3, 0.7)
+
+
+def image_rows(gt: DataFrame, pred: DataFrame, images: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """``images`` with n_gt, n_pred, matched_<t> in hundredths for each threshold, and bow_f1. ``pred`` are scored lines; an image without
+    a word on either side has no bow_f1."""
+    found = detection_counts(gt, pred, thresholds).groupBy("image_id").agg(*[F.sum(F.when(F.col("threshold") == t, F.col("matched"))).alias(f"matched_{round(100 * t)}") for t in thresholds])
+    sizes = gt.groupBy("image_id").agg(F.count("*").alias("n_gt")).join(pred.groupBy("image_id").agg(F.count("*").alias("n_pred")), "image_id", "full_outer")
+    rows = images.join(sizes, "image_id", "left").join(found, "image_id", "left").join(bag_of_words(gt, pred), "image_id", "left")
+    return rows.na.fill(0, ["n_gt", "n_pred", *[f"matched_{round(100 * t)}" for t in thresholds]])
+
+
 def cell_table(units: DataFrame, images: DataFrame) -> DataFrame:
-    """Cells by engine: unit metrics and image metrics, aggregated apart and joined. ``images`` has status and bow_f1."""
+    """Cells by engine: unit metrics and image metrics, aggregated apart and joined. ``images`` has status and bow_f1, and from
+    ``image_rows`` the counts of which precision, recall and F1 of detection are made, pooled over a cell."""
     cell = ["engine_id", "dimension", "level"]
     u = with_cells(units).groupBy(*cell).agg(*unit_metrics())
-    i = with_cells(images).groupBy(*cell).agg(F.avg("bow_f1").alias("M9_bow_f1"), F.count("*").alias("n_images"), F.count_if(F.col("status") != "ok").alias("engine_failures"))
+    marks = [c.removeprefix("matched_") for c in images.columns if c.startswith("matched_")]
+    pooled = [F.struct(F.sum(f"matched_{t}").alias("m"), F.sum("n_gt").alias("g"), F.sum("n_pred").alias("p")).alias(f"_{t}") for t in marks]
+    i = with_cells(images).groupBy(*cell).agg(F.avg("bow_f1").alias("M9_bow_f1"), F.count("*").alias("n_images"), F.count_if(F.col("status") != "ok").alias("engine_failures"), *pooled)
+    scores = {t: detection_metrics(F.col(f"_{t}.m"), F.col(f"_{t}.g"), F.col(f"_{t}.p")) for t in marks}
+    i = i.withColumns({f"M8_{name}_{t}": s[name] for t, s in scores.items() for name in ("precision", "recall", "f1")}).drop(*[f"_{t}" for t in marks])
     return u.join(i, cell, "full_outer").orderBy(*cell)
 
 
