@@ -111,6 +111,26 @@ def bag_of_words(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return sums.select("image_id", F.when(F.col("c") == 0, 0.0).otherwise(2.0 * F.col("c") / (F.col("r") + F.col("h"))).alias("bow_f1"))
 
 
+def token_bags(rows: DataFrame, key: list[str], ref: Column, hyp: Column) -> DataFrame:
+    """key, common, n_ref, n_hyp, numeric_total, numeric_correct of the token multisets of each row, told apart by ``key``.
+
+    Rows are dealt by their key once; tokens are counted by hash aggregates that need no further shuffle. A row without
+    tokens stays; null tokens count as none."""
+    sides = F.concat(F.transform(F.coalesce(ref, F.array()), lambda t: F.struct(t.alias("t"), F.lit(1).alias("r"))), F.transform(F.coalesce(hyp, F.array()), lambda t: F.struct(t.alias("t"), F.lit(0).alias("r"))))
+    dealt = rows.repartition(*key).select(*key, F.explode_outer(sides).alias("_s"))
+    counts = dealt.groupBy(*key, F.col("_s.t").alias("_t")).agg(F.sum("_s.r").alias("_r"), (F.count("_s.r") - F.sum("_s.r")).alias("_h"))
+    least, digit = F.least("_r", "_h"), F.col("_t").rlike("[0-9]")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return counts.groupBy(*key).agg(
+        zero(least).alias("common"), zero("_r").alias("n_ref"), zero("_h").alias("n_hyp"), zero(F.when(digit, F.col("_r"))).alias("numeric_total"), zero(F.when(digit, least)).alias("numeric_correct")
+    )
+
+
+def bag_f1(common: Column, n_ref: Column, n_hyp: Column) -> Column:
+    """F1 of two multisets; two empty ones agree."""
+    return F.when((n_ref == 0) & (n_hyp == 0), 1.0).when(common == 0, 0.0).otherwise(2.0 * common / (n_ref + n_hyp))
+
+
 def unit_metrics() -> list[Column]:
     """Micro-averaged ratios of units, as aggregates."""
     def rate(e: str, n: str) -> Column:

@@ -10,16 +10,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, also: str | None = None):
-    """Registers a query under its name, and under a second one that it had before."""
+def query(sql: str | None = None):
+    """Registers a query under its name."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        for name in filter(None, (f.__name__, also)):
-            if name in QUERIES:
-                raise ValueError(f"{name} is registered twice")
-            QUERIES[name] = f
-            if sql is not None:
-                ORACLES[name] = sql
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered twice")
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
         return f
 
     return add

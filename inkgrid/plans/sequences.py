@@ -36,6 +36,16 @@ def w04_merged_lines(spark, sf_dir):
     return ordering.merged_lines(moved, ["image_id"])
 
 
+@query(f"""WITH RECURSIVE {GT}, o AS (SELECT image_id, ln, x, h, y + h / 2 AS mid, row_number() OVER (PARTITION BY image_id ORDER BY y + h / 2, x, ln) AS k FROM gt),
+walk AS (SELECT image_id, ln, x, k, 0 AS row, mid AS cy, h AS rh FROM o WHERE k = 1
+  UNION ALL SELECT image_id, ln, x, k, CASE WHEN near THEN row ELSE row + 1 END, CASE WHEN near THEN cy ELSE mid END, CASE WHEN near THEN rh ELSE h END FROM (SELECT o.*, w.row, w.cy, w.rh, abs(o.mid - w.cy) < 0.5 * least(o.h, w.rh) AS near FROM walk w JOIN o ON o.image_id = w.image_id AND o.k = w.k + 1))
+SELECT image_id, ln, (row_number() OVER (PARTITION BY image_id ORDER BY row, x, k) - 1)::INT AS place FROM walk""")
+def w02_reading_places(spark, sf_dir):
+    """The place of each line in reading order."""
+    items = gt_lines(spark, sf_dir).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ln", "b"))).alias("items"))
+    return items.select("image_id", F.posexplode(ordering.reading_order(F.col("items"))).alias("place", "item")).select("image_id", "item.ln", "place")
+
+
 _CHARS = """ch AS (SELECT conv_id, turn, text[i] AS ch, i AS k, (6 * (i % 23))::DOUBLE AS x, (18 * (i // 23) + (i * 7 + conv_id) % 11)::DOUBLE AS y, 6::DOUBLE AS w, (10 + i % 5)::DOUBLE AS h
   FROM (SELECT conv_id, turn, text, unnest(range(1, length(text) + 1))::INT AS i FROM conversations WHERE length(text) > 0))"""
 

@@ -29,7 +29,7 @@ def _r(c, n=6):
     return F.round(c, n)
 
 
-@query(f"WITH {LINES} SELECT doc_id, line, levenshtein(ref, hyp)::INT AS edits, length(ref)::INT AS n, round(CASE WHEN length(ref) > 0 THEN levenshtein(ref, hyp) / length(ref) END, 6) AS cer, round(CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) = 0 THEN 0 ELSE 1 END ELSE levenshtein(ref, hyp) / length(ref) END, 6) AS bench_cer FROM p", also="f06_character_distance_whole")
+@query(f"WITH {LINES} SELECT doc_id, line, levenshtein(ref, hyp)::INT AS edits, length(ref)::INT AS n, round(CASE WHEN length(ref) > 0 THEN levenshtein(ref, hyp) / length(ref) END, 6) AS cer, round(CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) = 0 THEN 0 ELSE 1 END ELSE levenshtein(ref, hyp) / length(ref) END, 6) AS bench_cer FROM p")
 def f06_character_distance(spark, sf_dir):
     """F06, M13, M14."""
     return _character_distance(_lines(spark, sf_dir), "doc_id", "line")
@@ -42,7 +42,7 @@ def _character_distance(rows, *key):
     return rows.select(*key, "edits", F.length(r).alias("n"), X.error_rate(edits, F.length(r)).alias("cer"), _r(X.bench_error_rate(r, h, edits)).alias("bench_cer"))
 
 
-@query(f"WITH {LINES} SELECT lang, source, round(sum(levenshtein(ref, hyp)) / sum(length(ref)), 6) AS cer, round(sum(levenshtein(replace(ref, ' ', ''), replace(hyp, ' ', ''))) / sum(length(replace(ref, ' ', ''))), 6) AS cer_nows, sum((ref = hyp)::INT)::BIGINT AS exact, sum(length(ref))::BIGINT AS chars FROM p GROUP BY lang, source", also="a01_micro_rates_whole")
+@query(f"WITH {LINES} SELECT lang, source, round(sum(levenshtein(ref, hyp)) / sum(length(ref)), 6) AS cer, round(sum(levenshtein(replace(ref, ' ', ''), replace(hyp, ' ', ''))) / sum(length(replace(ref, ' ', ''))), 6) AS cer_nows, sum((ref = hyp)::INT)::BIGINT AS exact, sum(length(ref))::BIGINT AS chars FROM p GROUP BY lang, source")
 def a01_micro_rates(spark, sf_dir):
     """Pooled error rates by language and source."""
     return _micro_rates(_lines(spark, sf_dir))
@@ -54,7 +54,7 @@ def _micro_rates(rows):
     return rows.groupBy("lang", "source").agg(_r(F.try_divide(F.sum(X.char_distance(r, h)), F.sum(F.length(r)))).alias("cer"), _r(F.try_divide(F.sum(X.char_distance(rs, hs)), F.sum(F.length(rs)))).alias("cer_nows"), F.count_if(r == h).alias("exact"), F.sum(F.length(r)).alias("chars"))
 
 
-@query(f"WITH {LINES}, t AS (SELECT doc_id, line, CASE WHEN ref = '' THEN [] ELSE string_split(ref, ' ') END AS a, CASE WHEN hyp = '' THEN [] ELSE string_split(hyp, ' ') END AS b FROM p) SELECT doc_id, line, len(a)::INT AS n_ref, len(b)::INT AS n_hyp, len(list_filter(a, lambda x: regexp_matches(x, '[0-9]')))::INT AS numeric_tokens FROM t", also="f05_tokens_whole")
+@query(f"WITH {LINES}, t AS (SELECT doc_id, line, CASE WHEN ref = '' THEN [] ELSE string_split(ref, ' ') END AS a, CASE WHEN hyp = '' THEN [] ELSE string_split(hyp, ' ') END AS b FROM p) SELECT doc_id, line, len(a)::INT AS n_ref, len(b)::INT AS n_hyp, len(list_filter(a, lambda x: regexp_matches(x, '[0-9]')))::INT AS numeric_tokens FROM t")
 def f05_tokens(spark, sf_dir):
     """F05, P08."""
     return _token_counts(_lines(spark, sf_dir), "doc_id", "line")
@@ -90,30 +90,30 @@ SELECT p.doc_id, p.line, round(CASE WHEN coalesce(na.n, 0) = 0 AND coalesce(nb.n
 FROM p LEFT JOIN m USING (doc_id, line) LEFT JOIN na USING (doc_id, line) LEFT JOIN nb USING (doc_id, line)"""
 
 
-@query(_BAGS, also="a20_bag_of_words_whole")
+@query(_BAGS)
 def a20_bag_of_words(spark, sf_dir):
-    """A20, A03, F09 on arrays, without a shuffle."""
+    """Multisets of tokens counted by hash aggregates."""
     return _bags(_lines(spark, sf_dir), "doc_id", "line")
 
 
 def _bags(rows, *key):
-    rows = rows.withColumn("a", X.tokens(F.col("ref"))).withColumn("b", X.tokens(F.col("hyp")))
-    m = X.numeric_matches(F.col("a"), F.col("b"))
-    return rows.select(*key, _r(X.bag_of_words_f1(F.col("a"), F.col("b"))).alias("f1"), m["total"].alias("numeric_total"), m["correct"].alias("numeric_correct"))
+    bags = scoring.token_bags(rows, list(key), X.tokens(F.col("ref")), X.tokens(F.col("hyp")))
+    return bags.select(*key, _r(scoring.bag_f1(F.col("common"), F.col("n_ref"), F.col("n_hyp"))).alias("f1"), F.col("numeric_total").cast("int").alias("numeric_total"), F.col("numeric_correct").cast("int").alias("numeric_correct"))
 
 
-@query(f"WITH {LINES}, b AS (SELECT source, f1 FROM (SELECT doc_id, line, source FROM p) JOIN ({_BAGS}) USING (doc_id, line)) SELECT source, round(avg(f1), 5) AS mean_f1, count(*)::BIGINT AS n FROM b GROUP BY source", also="a05_macro_f1_whole")
+@query(f"WITH {LINES}, b AS (SELECT source, f1 FROM (SELECT doc_id, line, source FROM p) JOIN ({_BAGS}) USING (doc_id, line)) SELECT source, round(avg(f1), 5) AS mean_f1, count(*)::BIGINT AS n FROM b GROUP BY source")
 def a05_macro_f1(spark, sf_dir):
     """A mean over texts, not pooled."""
     return _macro_f1(_lines(spark, sf_dir))
 
 
 def _macro_f1(rows):
-    rows = rows.withColumn("f1", _r(X.bag_of_words_f1(X.tokens(F.col("ref")), X.tokens(F.col("hyp")))))
-    return rows.groupBy("source").agg(_r(F.avg("f1"), 5).alias("mean_f1"), F.count("*").alias("n"))
+    bags = scoring.token_bags(rows, ["doc_id", "line", "source"], X.tokens(F.col("ref")), X.tokens(F.col("hyp")))
+    scores = bags.select("source", _r(scoring.bag_f1(F.col("common"), F.col("n_ref"), F.col("n_hyp"))).alias("f1"))
+    return scores.groupBy("source").agg(_r(F.avg("f1"), 5).alias("mean_f1"), F.count("*").alias("n"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, line, trim(regexp_replace(ref || '  ' || hyp, '[ \\t\\n\\r]+', ' ', 'g')) AS normal FROM p", also="f02_normal_form_ascii_whole")
+@query(f"WITH {LINES} SELECT doc_id, line, trim(regexp_replace(ref || '  ' || hyp, '[ \\t\\n\\r]+', ' ', 'g')) AS normal FROM p")
 def f02_normal_form_ascii(spark, sf_dir):
     """F01 and F02 where the text is ASCII, in the JVM."""
     return _normal_form(_lines(spark, sf_dir), "doc_id", "line")
@@ -144,7 +144,7 @@ def f08_substitutions(spark, sf_dir):
 
 @query(f"""WITH {LINES}, c AS (SELECT doc_id, line, regexp_replace(ref, '[^A-Za-z]', '', 'g') AS l, ref FROM p)
 SELECT doc_id, line, CASE WHEN l = '' THEN 'no_letters' WHEN NOT regexp_matches(l, '[a-z]') THEN 'upper' WHEN NOT regexp_matches(l, '[A-Z]') THEN 'lower' WHEN NOT regexp_matches(ref, '(^|[^A-Za-z])[a-z]') AND NOT regexp_matches(ref, '[A-Za-z][A-Z]') THEN 'title' ELSE 'mixed' END AS letters,
- regexp_matches(ref, '[0-9]') AS digit, regexp_matches(ref, '[gjpqy]') AS descender, regexp_matches(ref, '[bdfhklt]') AS ascender, regexp_matches(ref, '[A-Z]') AS capital, regexp_matches(ref, '[^A-Za-z0-9 ]') AS punctuation FROM c""", also="f10_case_and_glyphs_whole")
+ regexp_matches(ref, '[0-9]') AS digit, regexp_matches(ref, '[gjpqy]') AS descender, regexp_matches(ref, '[bdfhklt]') AS ascender, regexp_matches(ref, '[A-Z]') AS capital, regexp_matches(ref, '[^A-Za-z0-9 ]') AS punctuation FROM c""")
 def f10_case_and_glyphs(spark, sf_dir):
     """F10, F11."""
     return _case_and_glyphs(_lines(spark, sf_dir), "doc_id", "line")
@@ -155,7 +155,7 @@ def _case_and_glyphs(rows, *key):
     return rows.select(*key, X.letter_case(F.col("ref")).alias("letters"), *[flags[c].alias(c) for c in ("digit", "descender", "ascender", "capital", "punctuation")])
 
 
-@query(f"WITH {LINES}, w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(ref, '\\s+'), lambda x: x <> '')) AS t FROM p) SELECT t AS token, count(*)::BIGINT AS n FROM w GROUP BY t", also="f12_token_multiset_whole")
+@query(f"WITH {LINES}, w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(ref, '\\s+'), lambda x: x <> '')) AS t FROM p) SELECT t AS token, count(*)::BIGINT AS n FROM w GROUP BY t")
 def f12_token_multiset(spark, sf_dir):
     """F12."""
     return _token_multiset(_lines(spark, sf_dir))
@@ -166,7 +166,7 @@ def _token_multiset(rows):
 
 
 @query(f"""WITH {LINES}, a AS (SELECT unnest(string_split(ref, ' ')) AS t FROM p), b AS (SELECT unnest(string_split(hyp, ' ')) AS t FROM p), x AS (SELECT t, count(*) AS n FROM a GROUP BY t), y AS (SELECT t, count(*) AS n FROM b GROUP BY t)
-SELECT t AS token, greatest(coalesce(x.n, 0) - coalesce(y.n, 0), 0)::BIGINT AS only_a, greatest(coalesce(y.n, 0) - coalesce(x.n, 0), 0)::BIGINT AS only_b FROM x FULL JOIN y USING (t) WHERE coalesce(x.n, 0) <> coalesce(y.n, 0)""", also="j20_multiset_difference_whole")
+SELECT t AS token, greatest(coalesce(x.n, 0) - coalesce(y.n, 0), 0)::BIGINT AS only_a, greatest(coalesce(y.n, 0) - coalesce(x.n, 0), 0)::BIGINT AS only_b FROM x FULL JOIN y USING (t) WHERE coalesce(x.n, 0) <> coalesce(y.n, 0)""")
 def j20_multiset_difference(spark, sf_dir):
     """J20, E03."""
     return _surplus_tokens(_lines(spark, sf_dir))

@@ -29,9 +29,9 @@ def rows_of(spark, path, name):
 
 def test_rates_of_all_lines(spark, lines_dir):
     edits = {at: X.edit_distance(list(a), list(b)) for at, (a, b) in PAIRS.items()}
-    got = rows_of(spark, lines_dir, "f06_character_distance_whole")
+    got = rows_of(spark, lines_dir, "f06_character_distance")
     assert {at: (r["edits"], r["n"]) for at, r in got.items()} == {at: (edits[at], len(a)) for at, (a, _) in PAIRS.items()}
-    total, = plans.QUERIES["a01_micro_rates_whole"](spark, lines_dir).collect()
+    total, = plans.QUERIES["a01_micro_rates"](spark, lines_dir).collect()
     chars = sum(len(a) for a in LINES.values())
     assert total["chars"] == chars and total["cer"] == round(sum(edits.values()) / chars, 6)
     words = {at: X.edit_distance(a.split(), b.split()) for at, (a, b) in PAIRS.items()}
@@ -43,18 +43,18 @@ def test_rates_of_all_lines(spark, lines_dir):
 
 def test_tokens_and_flags_of_all_lines(spark, lines_dir):
     tokens = Counter(t for a in LINES.values() for t in a.split())
-    assert {r["token"]: r["n"] for r in plans.QUERIES["f12_token_multiset_whole"](spark, lines_dir).collect()} == tokens
-    counts = rows_of(spark, lines_dir, "f05_tokens_whole")
+    assert {r["token"]: r["n"] for r in plans.QUERIES["f12_token_multiset"](spark, lines_dir).collect()} == tokens
+    counts = rows_of(spark, lines_dir, "f05_tokens")
     assert {at: (r["n_ref"], r["n_hyp"]) for at, r in counts.items()} == {at: (len(a.split()), len(b.split())) for at, (a, b) in PAIRS.items()}
     assert counts[1, 0]["numeric_tokens"] == counts[1, 2]["numeric_tokens"] == 1
-    bags = rows_of(spark, lines_dir, "a20_bag_of_words_whole")
+    bags = rows_of(spark, lines_dir, "a20_bag_of_words")
     assert bags[1, 1]["f1"] == round(2 / 5, 6) and bags[1, 0]["numeric_total"] == 1
-    mean, = plans.QUERIES["a05_macro_f1_whole"](spark, lines_dir).filter("source = 's'").collect()
+    mean, = plans.QUERIES["a05_macro_f1"](spark, lines_dir).filter("source = 's'").collect()
     assert mean["n"] == len(LINES) + 1
-    flags = rows_of(spark, lines_dir, "f10_case_and_glyphs_whole")
+    flags = rows_of(spark, lines_dir, "f10_case_and_glyphs")
     assert flags[1, 0]["capital"] and flags[1, 0]["digit"] and flags[1, 2]["punctuation"]
-    assert rows_of(spark, lines_dir, "f02_normal_form_ascii_whole")[1, 1]["normal"] == "second line third line 42!"
-    surplus = {r["token"]: (r["only_a"], r["only_b"]) for r in plans.QUERIES["j20_multiset_difference_whole"](spark, lines_dir).collect()}
+    assert rows_of(spark, lines_dir, "f02_normal_form_ascii")[1, 1]["normal"] == "second line third line 42!"
+    surplus = {r["token"]: (r["only_a"], r["only_b"]) for r in plans.QUERIES["j20_multiset_difference"](spark, lines_dir).collect()}
     assert surplus["Quay"] == (1, 0) and "line" not in surplus and "42!" not in surplus
 
 

@@ -12,7 +12,7 @@ def test_masks_of_all_pairs(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     signs = [{k for k, x in enumerate(v) if x > 0} for _, v in rows]
     want = {i: len(a & b) / len(a | b) if a | b else 1.0 for i, (a, b) in enumerate(zip(signs[:-1], signs[1:], strict=True))}
-    got = {r["vec_id"]: r["iou"] for r in plans.QUERIES["x01_mask_iou_whole"](spark, str(tmp_path)).collect()}
+    got = {r["vec_id"]: r["iou"] for r in plans.QUERIES["x01_mask_iou"](spark, str(tmp_path)).collect()}
     assert got == {i: pytest.approx(v, abs=1e-6) for i, v in want.items()} and len(got) == 8
 
 
@@ -27,6 +27,6 @@ def test_ink_runs_of_all_lines(spark, tmp_path):
         starts = [c for k, c in enumerate(ink) if not k or c - ink[k - 1] > 3]
         want[o] = [(a, max(c for c in ink if c < b)) for a, b in zip(starts, [*starts[1:], 10**6], strict=True)]
     got = {}
-    for r in plans.QUERIES["w09_ink_runs_whole"](spark, str(tmp_path)).collect():
+    for r in plans.QUERIES["w09_ink_runs"](spark, str(tmp_path)).collect():
         got.setdefault(r["image_id"], []).append((r["first"], r["last"]))
     assert {o: sorted(v) for o, v in got.items()} == want
