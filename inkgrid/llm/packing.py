@@ -209,11 +209,67 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+_EXAMPLES = T.StructType([T.StructField(n, t) for n, t in (("conv_id", T.LongType()), ("start", T.LongType()), ("length", T.LongType()), ("loss_tokens", T.LongType()), ("ends", T.BooleanType()), ("ids_crc32", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()))])
+
+
+def pack_examples(turns: DataFrame, tokenizer: str, end_id: int = 0, limits: Limits = Limits(), pool_size: int = 256, answers: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """One row a piece of a conversation (conv_id, turn, role, text): its turns one after another, each with an end id, of which the
+    tokens of ``answers`` bear loss. An answer stays with what it answers: a conversation is one piece, placed whole, unless
+    it passes a limit by itself; then it is cut where the limit is reached, and ``ends`` marks its last piece.
+
+    Turns are ordered by (turn, role, text), nulls first; a null role or text is empty; rows without conv_id are one conversation of their
+    own (conv_id null). Turns stream through the task of their conversation, of which at most one sequence is held. Sequences are not filled up by
+    cutting, so they end in padding. sequence_id is unique over all partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        enc, end = encoder(tokenizer), np.array([end_id], np.uint32)
+        first = TaskContext.get().partitionId() << 32
+        packer = Packer(limits, cut=False, pool_size=pool_size)
+        held: dict[int, tuple[int | None, bool, bytes]] = {}
+        ids, loss, start, conv, begun, owner = np.empty(0, np.uint32), np.empty(0, bool), 0, None, False, 0
+
+        def add(n: int, last: bool) -> None:
+            nonlocal ids, loss, start, owner
+            held[owner] = (conv, last, ids[:n].tobytes())
+            packer.add(Piece(owner, start, n, loss[:n]))
+            ids, loss, start, owner = ids[n:], loss[n:], start + n, owner + 1
+
+        def flush() -> pa.RecordBatch:
+            rows = [(*held.pop(p.owner), p, seq, at) for p, seq, at in packer.out]
+            packer.out.clear()
+            columns = zip(*[(c, p.start, p.length, p.loss_tokens, last, zlib.crc32(data), first + seq, at) for c, last, data, p, seq, at in rows], strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(list(x), pa.bool_() if n == "ends" else pa.int64()) for n, x in zip(_EXAMPLES.names, columns, strict=True)], names=_EXAMPLES.names)
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                coded = enc.encode_many(part.column("text").to_pylist())
+                for c, role, data in zip(part.column("conv_id").to_pylist(), part.column("role").to_pylist(), coded, strict=True):
+                    if begun and c != conv:
+                        add(len(ids), True)
+                        ids, loss, start = np.empty(0, np.uint32), np.empty(0, bool), 0
+                    conv, begun = c, True
+                    own = np.concatenate((np.frombuffer(data, np.uint32), end))
+                    ids, loss = np.concatenate((ids, own)), np.concatenate((loss, np.full(len(own), role in answers)))
+                    while len(ids) > limits.tokens or loss.sum() > limits.loss:
+                        add(packer._fitting(Piece(0, 0, len(ids), loss), limits.tokens, limits.loss), False)
+                if packer.out:
+                    yield flush()
+        if begun:
+            add(len(ids), True)
+        packer.finish()
+        if packer.out:
+            yield flush()
+
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn"), role.alias("role"), text.alias("text"))
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+    return ordered.mapInArrow(task("encoding")(run), _EXAMPLES)
+
+
 def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of ``conversations`` packed for instruction training: only answers (role assistant) and end ids bear loss, and a
-    sequence holds at most 1024 tokens, 16 pieces and 768 tokens that bear loss, so that prompts fill what answers may not."""
-    turns = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id").cast("long") * (1 << 20) + F.col("turn").cast("long")).alias("doc_id"), "text", F.when(F.col("role") == "assistant", 0).otherwise(F.length("text")).alias("prompt")
-    )
-    packed = pack_documents(turns, vocabulary_path("byte_bpe_50k.json"), limits=Limits(tokens=1024, segments=16, loss=768), loss_from="prompt")
-    return packed.select(F.shiftright("doc_id", 20).alias("conv_id"), F.col("doc_id").bitwiseAND((1 << 20) - 1).cast("int").alias("turn"), "start", "length", "loss_tokens", "doc_tokens", "sequence_id", "offset")
+    """``conversations`` packed whole for instruction training: answers bear loss, and a sequence holds at most 1024 tokens, 16
+    conversations and 768 tokens that bear loss."""
+    return pack_examples(table(spark, sf_dir, "conversations"), vocabulary_path("byte_bpe_50k.json"), limits=Limits(tokens=1024, segments=16, loss=768))

@@ -297,3 +297,17 @@ def test_license_bounds_lose_nothing():
         n = len(own)
         assert 2 * (least - 1) / (least - 1 + n) < 0.8 <= 2 * least / (least + n)
         assert 2 * n / (most + n) >= 0.8 > 2 * n / (most + 1 + n)
+
+
+def test_licenses_as_people_write_them(spark):
+    """Any line end, comment marks, paragraphs run together, and a notice among other sentences of its line."""
+    mit = license_scan.PARAGRAPHS["MIT"]
+    whole = "\n\n".join(p.replace(", ", ",\n") for p in mit)
+    texts = {
+        "unix": whole, "dos": whole.replace("\n", "\r\n"), "mac": whole.replace("\n", "\r"), "shell": "\n".join("# " + x for x in whole.split("\n")), "c": "\n".join(" * " + x for x in whole.split("\n")), "sql": "\n".join("-- " + x for x in whole.split("\n")),
+        "together": " ".join(mit), "wrapped": " ".join(mit).replace(", ", ",\n"), "sentence": "Copyright (c) 2021 Jane Doe. Licensed under the MIT License. All rights reserved by nobody at all here.",
+        "plain": "A sentence about a license. Another one. And a third, of no kind whatever.",
+    }
+    found = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id string, text string"), ["doc_id"]).collect()}
+    assert {k: r["licenses"] for k, r in found.items()} == {k: "" if k == "plain" else "MIT" for k in texts}
+    assert len({found[k]["n_matches"] for k in ("unix", "dos", "mac", "shell", "c", "sql")}) == 1

@@ -237,21 +237,68 @@ def test_kept_columns_with_the_names_in_use(spark):
     assert piece_codec.decode_documents(got, model, ["doc_id", "_text"]).first()["text"] == "a b"
 
 
-def test_conversations_meet_three_limits(spark):
-    """Every token of every turn once; all limits hold, and those on tokens and on loss both bind."""
+def test_conversations_stay_whole_under_three_limits(spark):
+    """Every token of every conversation once and in order; one that fits is one piece; no sequence passes a limit."""
     rows = packing.pack_conversations(spark, "/root/testdata/sf0.001").collect()
-    by, turns = defaultdict(list), defaultdict(list)
+    turns = defaultdict(list)
+    for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns[r["conv_id"]].append(r)
+    tokenizer = encoder(vocabulary_path("byte_bpe_50k.json")).tokenizer
+    by, pieces = defaultdict(list), defaultdict(list)
     for r in rows:
         by[r["sequence_id"]].append(r)
-        turns[r["conv_id"], r["turn"]].append(r)
-    source = {(r["conv_id"], r["turn"]): r for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()}
-    assert set(turns) == set(source)
-    for at, parts in turns.items():
+        pieces[r["conv_id"]].append(r)
+    assert set(pieces) == set(turns)
+    for conv, parts in pieces.items():
         parts.sort(key=lambda r: r["start"])
-        n = parts[0]["doc_tokens"]
-        assert [r["start"] for r in parts] == [sum(x["length"] for x in parts[:k]) for k in range(len(parts))] and sum(r["length"] for r in parts) == n
-        assert sum(r["loss_tokens"] for r in parts) == (n if source[at]["role"] == "assistant" else 1)
-    sums = [(sum(r["length"] for r in s), len(s), sum(r["loss_tokens"] for r in s)) for s in by.values()]
-    assert all(a <= 1024 and b <= 16 and c <= 768 for a, b, c in sums)
-    assert any(a == 512 == c for a, _, c in sums), "full of loss at 768 tokens and cut at powers of two, to need no padding"
-    assert any(a == 1024 and c < 768 for a, _, c in sums)
+        coded = [([*tokenizer.encode(t["text"], add_special_tokens=False).ids, 0], t["role"] == "assistant") for t in turns[conv]]
+        ids, loss = [i for own, _ in coded for i in own], [answer for own, answer in coded for _ in own]
+        assert [r["start"] for r in parts] == [sum(x["length"] for x in parts[:k]) for k in range(len(parts))] and sum(r["length"] for r in parts) == len(ids)
+        assert [r["ends"] for r in parts] == [False] * (len(parts) - 1) + [True]
+        for r in parts:
+            lo, hi = r["start"], r["start"] + r["length"]
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[lo:hi], "<u4").tobytes()) and r["loss_tokens"] == sum(loss[lo:hi])
+        if len(ids) <= 1024 and sum(loss) <= 768:
+            assert len(parts) == 1, "a conversation that fits is not cut"
+    assert any(len(p) == 1 for p in pieces.values()) and any(len(p) > 1 for p in pieces.values())
+    for s in by.values():
+        assert sum(r["length"] for r in s) <= 1024 and len(s) <= 16 and sum(r["loss_tokens"] for r in s) <= 768
+        s.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in s] == [sum(x["length"] for x in s[:k]) for k in range(len(s))]
+
+
+def test_odd_conversations(spark):
+    rows = [(None, 1, "user", "no id"), (1, None, None, None), (1, 0, "assistant", "a"), (1, 0, "assistant", "a"), (2, 5, "assistant", "word " * 5000), (3, 1, "", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").selectExpr("*", "'x' AS ids", "'x' AS loss", "1 AS start")
+    got = packing.pack_examples(turns, vocabulary_path("byte_bpe_50k.json"), limits=packing.Limits(tokens=64, segments=4, loss=32)).collect()
+    assert {r["conv_id"] for r in got} == {None, 1, 2, 3} and sum(r["ends"] for r in got) == 4
+    assert sum(r["length"] for r in got if r["conv_id"] == 1) == 5 and sum(r["loss_tokens"] for r in got if r["conv_id"] == 1) == 4
+    assert all(r["length"] <= 32 for r in got if r["conv_id"] == 2)
+    assert packing.pack_examples(turns.limit(0), vocabulary_path("byte_bpe_50k.json")).collect() == []
+
+
+def test_the_next_piece_is_that_of_greatest_dot_product():
+    """The bins of a pool against a plain loop over all pieces, remaining room and all."""
+    rng, limits = random.Random(3), packing.Limits(tokens=100, segments=5, loss=40)
+    pieces = [packing.Piece(i, 0, n := rng.randint(1, 60), np.arange(n) < rng.randint(0, min(n, 40))) for i in range(60)]
+    packer = packing.Packer(limits, cut=False, pool_size=1000)
+    for p in pieces:
+        packer.add(p)
+    packer.finish()
+    got = defaultdict(list)
+    for p, sequence, _ in packer.out:
+        got[sequence].append(p.owner)
+    left, want = list(pieces), []
+    while left:
+        room, bin_ = [limits.tokens, limits.segments, limits.loss], []
+        while min(room) > 0:
+            fits = [p for p in left if p.length <= room[0] and p.loss_tokens <= room[2]]
+            if not fits:
+                break
+            caps = (limits.tokens, limits.segments, limits.loss)
+            best = max(fits, key=lambda p: sum(a / c * r / c for a, r, c in zip((p.length, 1, p.loss_tokens), room, caps)))
+            bin_.append(best.owner)
+            room = [room[0] - best.length, room[1] - 1, room[2] - best.loss_tokens]
+            left.remove(best)
+        want.append(bin_)
+    assert list(got.values()) == want
