@@ -21,10 +21,11 @@ def status(passed: Column) -> Column:
 
 
 def check(df: DataFrame, name: str, passed: Column, evidence: Column, n: int = 10) -> DataFrame:
-    """One row: FAIL if any row fails, with the first ``n`` pieces of evidence in order; N/A for no rows."""
-    bad = F.collect_list(F.when(~passed, evidence))
+    """One row: FAIL if any row fails, with the first ``n`` pieces of evidence in order; N/A for no rows. Only these are gathered."""
     outcome = F.when(F.count("*") == 0, "N/A").when(F.count_if(~passed) > 0, "FAIL").otherwise("PASS")
-    return df.agg(F.lit(name).alias("check"), outcome.alias("status"), F.slice(F.array_sort(bad), 1, n).alias("evidence"), F.count_if(~passed).alias("failures"))
+    counts = df.agg(F.lit(name).alias("check"), outcome.alias("status"), F.count_if(~passed).alias("failures"))
+    first = df.filter(~passed).select(evidence.alias("_e")).orderBy("_e").limit(n).agg(F.array_sort(F.collect_list("_e")).alias("evidence"))
+    return counts.crossJoin(F.broadcast(first)).select("check", "status", "evidence", "failures")  # one row each
 
 
 def all_parts(parts: dict[str, Column]) -> Column:

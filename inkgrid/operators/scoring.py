@@ -196,6 +196,13 @@ def cell_table(units: DataFrame, images: DataFrame) -> DataFrame:
     return u.join(i, cell, "full_outer").orderBy(*cell)
 
 
+def best_of(cells: DataFrame, cell: list[str], flags: dict[str, tuple[str, bool]]) -> DataFrame:
+    """Adds a flag for each of ``flags`` (name -> metric, whether greater is better): the row has the best value of its cell. Ties share; a
+    missing value is never best."""
+    whole = Window.partitionBy(*cell)
+    return cells.withColumns({name: F.coalesce(F.col(m) == (F.max(m) if greater else F.min(m)).over(whole), F.lit(False)) for name, (m, greater) in flags.items()})
+
+
 def line_rows(gt: DataFrame, pred: DataFrame, units: DataFrame) -> DataFrame:
     """One row a ground-truth line: its unit, best IoU, and whether it is detected one-to-one at 0.5."""
     best = matching.best_partner(gt.select("image_id", "g", F.col("b").alias("a")), pred.select("image_id", "b"), ["image_id"], G.iou(F.col("a"), F.col("b")), ["image_id", "g"])

@@ -60,9 +60,13 @@ def r13_page_nodes(spark, sf_dir):
 _STYLE = "lower(regexp_extract(token, '(?is)^<[^>]*\\sstyle\\s*=\\s*\"([^\"]*)\"', 1))"
 
 
-@query(f"""{TREE}, own AS (SELECT page_id, node, name <> '#text' AND (list_contains({_list(pages.HIDDEN)}, name) OR regexp_matches(token, '(?i)^<[^>]*\\shidden(\\s|>|/|=)') OR regexp_matches({_STYLE}, 'display\\s*:\\s*none|visibility\\s*:\\s*hidden')) AS hides, list_contains({_list(TAGGED)}, name) AS tagged FROM nodes),
+#: Nodes with how many hiding and tagged elements lie around each.
+SEEN = f"""{TREE}, own AS (SELECT page_id, node, name <> '#text' AND (list_contains({_list(pages.HIDDEN)}, name) OR regexp_matches(token, '(?i)^<[^>]*\\shidden(\\s|>|/|=)') OR regexp_matches({_STYLE}, 'display\\s*:\\s*none|visibility\\s*:\\s*hidden')) AS hides, list_contains({_list(TAGGED)}, name) AS tagged FROM nodes),
 hiding AS (SELECT page_id, list(node) FILTER (hides) AS h, list(node) FILTER (tagged) AS t FROM own GROUP BY page_id),
-seen AS (SELECT n.*, name <> '#text' AS element, CASE WHEN name = '#text' THEN {_TEXT} ELSE '' END AS text, len(list_intersect(places, coalesce(h, []))) AS nh, len(list_intersect(places, coalesce(t, []))) AS nt, list_contains({_list(TAGGED)}, name) AS tagged, CASE WHEN name = 'style' THEN token ELSE '' END AS css FROM nodes n JOIN hiding USING (page_id))
+seen AS (SELECT n.*, name <> '#text' AS element, CASE WHEN name = '#text' THEN {_TEXT} ELSE '' END AS text, len(list_intersect(places, coalesce(h, []))) AS nh, len(list_intersect(places, coalesce(t, []))) AS nt, list_contains({_list(TAGGED)}, name) AS tagged, CASE WHEN name = 'style' THEN token ELSE '' END AS css FROM nodes n JOIN hiding USING (page_id))"""
+
+
+@query(f"""{SEEN}
 SELECT page_id, count(*) FILTER (element)::BIGINT AS elements, max(depth)::INT AS deepest, count(*) FILTER (list_contains({_list(pages.FORBIDDEN)}, name))::BIGINT AS forbidden,
   (count(*) FILTER (regexp_matches({_STYLE}, 'background[^;]*url\\(')) + sum(len(regexp_extract_all(css, '(?i)background[^;}}]*url\\('))))::BIGINT AS background_images,
   sum(len(regexp_extract_all(css, '(?i)::?(before|after)')))::BIGINT AS generated_content, count(*) FILTER (tagged AND nt > 0)::BIGINT AS nested_tagged,
