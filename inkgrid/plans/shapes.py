@@ -113,7 +113,13 @@ def p22_slow_selection(spark, sf_dir):
     return ordering.last_of(s, ["user_id"], [F.desc("value"), "event_id"], 2)
 
 
-@query()
+_FACES = ", ".join(f"({i}, '{family}', {weight}, '{role}')" for i, (family, weight, role) in enumerate(records.FACES))
+
+
+@query(f"""WITH face(ord, family, weight, role) AS (VALUES {_FACES}), used AS (SELECT p_partkey, (p_partkey % 23)::INT AS ord, p_size, p_retailprice FROM part)
+SELECT family, weight, any_value(role) AS role, count(p_partkey)::BIGINT AS parts, round(avg(p_size), 6) AS mean_size, round(avg(p_retailprice) / 1000, 6) AS ratio FROM face LEFT JOIN used USING (ord) GROUP BY family, weight""")
 def r15_faces(spark, sf_dir):
-    """The dimension of candidate faces."""
-    return records.faces(spark)
+    """The registry of faces as a dimension table, with the measures of the rows that use each."""
+    used = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 23).cast("int").alias("ord"), "p_size", "p_retailprice")
+    joined = F.broadcast(records.faces(spark)).join(used, "ord", "left")  # 16 faces
+    return joined.groupBy("family", "weight").agg(F.first("role").alias("role"), F.count("p_partkey").alias("parts"), F.round(F.avg("p_size"), 6).alias("mean_size"), F.round(F.avg("p_retailprice") / 1000, 6).alias("ratio"))

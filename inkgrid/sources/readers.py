@@ -105,14 +105,26 @@ def stage_logs(lines: DataFrame) -> DataFrame:
     return lines.select(F.regexp_extract("value", r"(\w+) \{", 1).alias("name"), F.from_json(F.regexp_extract("value", r"(\{.*\})$", 1), "map<string,double>").alias("fields")).filter("name <> '' AND fields IS NOT NULL")
 
 
-def word_lines(words: DataFrame) -> DataFrame:
-    """Words (block, par, line, word_num, text, conf, b) to lines: text in word order, box around, mean confidence of 100.
-    Blank words and those of negative confidence are left out."""
-    from ..functions.geometry import union_box
-
-    kept = words.filter("trim(text) <> '' AND conf >= 0")
-    grouped = kept.groupBy("image_id", "block", "par", "line").agg(F.array_sort(F.collect_list(F.struct("word_num", "text", "b"))).alias("_w"), (F.avg("conf") / 100).alias("confidence"))
-    return grouped.select("image_id", "block", "par", "line", F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"), union_box(F.transform("_w", lambda w: w["b"])).alias("b"), "confidence")
+#: How engines' words become lines: confidence of a line, whether it is out of 100, and whether boxes are shares of the image.
+WORD_RULES = {"tesseract": ("mean", 100.0, False), "doctr": ("least", 1.0, True), "windows": (None, 1.0, False)}
+
+
+def word_lines(words: DataFrame, rule: str = "tesseract") -> DataFrame:
+    """Words (image_id, block, par, line, word_num, text, conf, b) to lines: text in word order, box around. Blank words and those of
+    negative confidence are left out, and so are lines without a word.
+
+    ``tesseract``: mean confidence of 100. ``doctr``: least confidence, boxes are shares of ``image_width`` and ``image_height``.
+    ``windows``: no confidence."""
+    from ..functions import geometry as G
+
+    how, whole, shares = WORD_RULES[rule]
+    b = F.col("b")
+    if shares:
+        words = words.withColumn("b", G.box(b["x"] * F.col("image_width"), b["y"] * F.col("image_height"), b["w"] * F.col("image_width"), b["h"] * F.col("image_height")))
+    kept = words.filter("trim(text) <> '' AND coalesce(conf, 0) >= 0")
+    confidence = {"mean": F.avg("conf"), "least": F.min("conf"), None: F.lit(None).cast("double")}[how] / whole
+    grouped = kept.groupBy("image_id", "block", "par", "line").agg(F.array_sort(F.collect_list(F.struct("word_num", "text", "b"))).alias("_w"), confidence.alias("confidence"))
+    return grouped.select("image_id", "block", "par", "line", F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"), G.union_box(F.transform("_w", lambda w: w["b"])).alias("b"), "confidence")
 
 
 def sitemap(spark: SparkSession, path: str) -> DataFrame:
