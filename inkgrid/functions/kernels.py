@@ -143,9 +143,9 @@ def text_and_ground(image: np.ndarray, alpha: np.ndarray) -> tuple[list[int], li
 
 
 def linear_gradient(crop: np.ndarray) -> dict:
-    """Plane through the ring's colours: angle in degrees and the colours at the extreme corners."""
+    """Plane through the colours of a ring of up to 3 pixels, at most half the crop: angle in degrees and the colours at the extreme corners."""
     h, w, _ = crop.shape
-    y, x = np.nonzero(ring(h, w))
+    y, x = np.nonzero(ring(h, w, min(3, h // 2, w // 2) or 1))
     a = np.column_stack((x, y, np.ones(len(x))))
     plane = np.linalg.lstsq(a, crop[y, x].astype(float), rcond=None)[0]
     gx, gy = plane[0].sum(), plane[1].sum()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .graphs import star_components
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: list[str], score: Column, least: float, grid: float | None = None) -> DataFrame:
@@ -39,9 +40,14 @@ def best_partner(left: DataFrame, right: DataFrame, key: list[str], score: Colum
     return left.join(right, key, "left").groupBy(*by).agg(F.coalesce(F.max(score), F.lit(0.0)).alias("best"))
 
 
-def greedy_assignment(pairs: DataFrame, key: list[str], larger_first: bool = False) -> DataFrame:
+def greedy_assignment(pairs: DataFrame, key: list[str], larger_first: bool = False, crowded: bool = False) -> DataFrame:
     """One-to-one pairs by descending score. ``pairs`` has the key, g, p and score; ties go to the smaller (g, p),
-    or to the larger with ``larger_first``. An ordered fold over the pairs of a key, as one image has few boxes."""
+    or to the larger with ``larger_first``. An ordered fold over the pairs of a key, as one image has few boxes: its time grows
+    with the square of the pairs of a key. ``crowded`` takes rounds of joins in its place, for keys of thousands of pairs."""
+    if crowded:
+        if larger_first:
+            raise ValueError("the rounds of joins give ties to the smaller pair only")
+        return mutual_best_assignment(pairs, key)
     others = [c for c in pairs.columns if c not in key]
     sign = -1 if larger_first else 1
     item = F.struct((-F.col("score")).alias("a"), (F.col("g") * sign).alias("b"), (F.col("p") * sign).alias("c"), F.struct(*others).alias("v"))
@@ -77,23 +83,9 @@ def mutual_best_assignment(pairs: DataFrame, key: list[str], rounds: int = 50) -
     raise RuntimeError(f"pairs are left after {rounds} rounds")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root (least node reached) from edges ``a, b`` of one comparable type; a fixed point of least labels
-    with pointer jumping. Nodes without edges are absent."""
-    from .tables import written
-
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("_near"))
-        new = label.join(near, label["node"] == near["a"]).select("node", F.least("root", "_near").alias("root"))
-        hop = new.select(F.col("node").alias("root"), F.col("root").alias("_hop"))
-        new = written(new.join(hop, "root").select("node", F.least("root", "_hop").alias("root")))
-        changed = new.join(label.withColumnRenamed("root", "_old"), "node").filter("root <> _old")
-        if changed.isEmpty():
-            return new
-        label = new
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, root (least node reached) from edges ``a, b`` of one orderable type. Nodes without edges are absent."""
+    return star_components(edges, rounds)
 
 
 def components_by_key(edges: DataFrame, key: list[str]) -> DataFrame:
