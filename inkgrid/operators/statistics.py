@@ -264,9 +264,11 @@ def _pivot(m: Moments, alpha: float, symmetric: bool):
 
 
 def _log_t(m: Moments, alpha: float):
-    """Student's t on the log scale; a rate of 0 has no logarithm and stays."""
+    """Student's t on the log scale; a rate of 0 has no logarithm and stays. Without a degree of freedom any rate is possible."""
     if m.point <= 0:
         return 0.0, 0.0, None
+    if m.freedom < 1:
+        return 0.0, math.inf, None
     factor = math.exp(student_quantile(1 - alpha / 2, m.freedom) * m.error / m.point)
     return m.point / factor, m.point * factor, None
 

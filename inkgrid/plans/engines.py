@@ -83,11 +83,14 @@ def e12_interleaved_schedule(spark, sf_dir):
     return placed.select(F.col("place").cast("int").alias("place"), "rep", "s_suppkey", "engine")
 
 
-def _each(names, estimate: str) -> str:
-    return " UNION ALL ".join(f"SELECT cell, '{n}' AS method, {estimate} AS estimate, true AS ordered, false AS undefined FROM s" for n in names)
+def _each(names, estimate: str, ordered: str = "true", undefined: str = "false") -> str:
+    return " UNION ALL ".join(f"SELECT cell, '{n}' AS method, {estimate} AS estimate, {ordered} AS ordered, {undefined} AS undefined FROM s" for n in names)
 
 
-_SUMS = f"WITH {_T}, s AS (SELECT cell, sum(ea) AS a, sum(eb) AS b, sum(l) AS l FROM t GROUP BY cell)"
+#: Totals of a cell, and whether its linearised error is one: with one cluster a stratum, or none that differ, there is none.
+_SUMS = f"""WITH {_T}, w AS (SELECT *, sum(l) OVER c AS ll, sum(ea) OVER c AS aa, sum(eb) OVER c AS bb FROM t WINDOW c AS (PARTITION BY cell)),
+v AS (SELECT cell, stratum, any_value(aa) AS a, any_value(bb) AS b, any_value(ll) AS l, CASE WHEN count(*) >= 2 THEN var_pop(ea / nullif(aa, 0) - eb / nullif(bb, 0)) ELSE 0 END AS spread FROM w GROUP BY ALL),
+s AS (SELECT cell, any_value(a) AS a, any_value(b) AS b, any_value(l) AS l, coalesce(sum(spread), 0) > 0 AND any_value(a) > 0 AND any_value(b) > 0 AS varies FROM v GROUP BY cell)"""
 
 
 def _by_method(spark, sf_dir, columns, methods):
@@ -116,7 +119,7 @@ def q05_difference_methods(spark, sf_dir):
     return _by_method(spark, sf_dir, ["ea", "l", "eb", "l"], _PLAIN)
 
 
-@query(f"{_SUMS} {_each(_LOG, 'round((a / l) / (b / l), 8)')}")
+@query(f"{_SUMS} {_each(_LOG, 'round((a / l) / (b / l), 8)', 'CASE WHEN varies THEN true END', 'NOT varies')}")
 def q07_quotient_methods(spark, sf_dir):
     """The quotient of two rates and its interval by every method."""
     return _by_method(spark, sf_dir, ["ea", "l", "eb", "l"], _LOG)
