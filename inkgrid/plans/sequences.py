@@ -18,8 +18,7 @@ SELECT lang, source, (row_number() OVER (PARTITION BY lang, source ORDER BY i) -
 def s02_lines_from_chunks(spark, sf_dir):
     """All texts of a language and source as one stream, cut into chunks of 97 characters, and put together to lines again."""
     docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("lang", "source", "doc_id", "text")
-    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 97).cast("int"))
-    chunks = docs.filter("text <> ''").withColumn("n", F.explode(starts)).select("lang", "source", "doc_id", "n", F.expr("substring(text, n * 97 + 1, 97)").alias("chunk"))
+    chunks = docs.select("lang", "source", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,97}"), F.lit(0))).alias("n", "chunk"))
     lines = regions.lines_of_chunks(chunks, ["lang", "source"], ["doc_id", "n"], "chunk")
     return lines.select("lang", "source", "line", F.length("content").alias("chars"), F.md5(F.col("content").cast("binary")).alias("digest"))
 
