@@ -143,13 +143,14 @@ def whole_keys(df: DataFrame, key: list[str], solve, schema: str) -> DataFrame:
 
 def neighbour_clamp(boxes: DataFrame, key: list[str], item: str) -> DataFrame:
     """Bounds a padded crop may not pass: the middle of the gap to the nearest box beside or above and below.
-    ``boxes`` has the key, ``item`` and ``b``. Open bounds are 0 and infinity."""
+    ``boxes`` has the key, ``item`` and ``b``. Open bounds are 0 and infinity. Every box meets itself, so a row is lost only
+    where its key is null: it lies on no image."""
     me, other = boxes.withColumnRenamed("b", "a"), boxes.select(*key, F.col(item).alias("_other"), F.col("b"))
     a, b = F.col("a"), F.col("b")
     beside = (b["y"] < G.bottom(a)) & (G.bottom(b) > a["y"])
     stacked = (b["x"] < G.right(a)) & (G.right(b) > a["x"])
     row, column = beside & ~stacked, stacked & ~beside
-    pairs = me.join(other, key, "left")
+    pairs = me.join(other, key)
     infinity = F.lit(float("inf"))
     return pairs.groupBy(*key, item).agg(
         F.greatest(F.lit(0.0), F.max(F.when(row & (G.right(b) <= a["x"]), (G.right(b) + a["x"]) / 2))).alias("min_x"),
