@@ -23,10 +23,12 @@ def blocks(lines: DataFrame, key: list[str], gap: float = 1.5, shift: float = 8.
 
 def block_layout(members: DataFrame, key: list[str]) -> DataFrame:
     """alignment (edge of least population variance; left, centre, right in case of ties; left for one line) and
-    line_height (median distance of consecutive tops, null for one line) of each block."""
+    line_height (median distance of consecutive tops, null for one line) of each block. Variances are compared after rounding
+    to 9 digits: those of edges that are moved alike are equal, but for the last bits, which depend on the order of the sums."""
     b = F.col("b")
     step = (b["y"] - F.lag(b["y"]).over(Window.partitionBy(*key).orderBy(b["y"], b["x"]))).alias("_step")
-    found = members.select(*key, "b", step).groupBy(*key).agg(F.count("*").alias("lines"), F.var_pop(b["x"]).alias("_l"), F.var_pop(G.centre_x(b)).alias("_c"), F.var_pop(G.right(b)).alias("_r"), F.median("_step").alias("line_height"))
+    spread = lambda edge: F.round(F.var_pop(edge), 9)
+    found = members.select(*key, "b", step).groupBy(*key).agg(F.count("*").alias("lines"), spread(b["x"]).alias("_l"), spread(G.centre_x(b)).alias("_c"), spread(G.right(b)).alias("_r"), F.median("_step").alias("line_height"))
     side = F.when((F.col("lines") < 2) | ((F.col("_l") <= F.col("_c")) & (F.col("_l") <= F.col("_r"))), "left").when(F.col("_c") <= F.col("_r"), "center").otherwise("right")
     return found.select(*key, "lines", side.alias("alignment"), "line_height")
 
