@@ -92,7 +92,7 @@ FROM p LEFT JOIN m USING (doc_id, line) LEFT JOIN na USING (doc_id, line) LEFT J
 
 @query(_BAGS)
 def a20_bag_of_words(spark, sf_dir):
-    """Multisets of tokens counted by hash aggregates."""
+    """Multisets of tokens, paired off within the row."""
     return _bags(_lines(spark, sf_dir), "doc_id", "line")
 
 
