@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkgrid import plans
+from inkgrid.functions import distance as D
 from inkgrid.functions import text as X
 
 LONG = "x" * 90 + " Quay 7"
@@ -73,6 +74,19 @@ def test_substitutions_of_a_large_table():
         assert X.substitutions(a, b, cells=0) == X.substitutions(a, b)
 
 
+def test_substitutions_of_many_pairs_together():
+    """Pairs of a batch, worked on together or alone, give the script that each gives by itself."""
+    rng, kinds = random.Random(5), ["ab", "abc", "a b\u00e9\U0001d11e"]
+    for size in (0, 3, 40, 150, 300):
+        pairs = [tuple("".join(rng.choice(kinds[k % 3]) for _ in range(rng.randint(0, size))) for _ in range(2)) for k in range(90)]
+        pair, a, b = D.substituted([x for x, _ in pairs], [y for _, y in pairs])
+        found = Counter((i, chr(x), chr(y)) for i, x, y in zip(pair.tolist(), a.tolist(), b.tolist(), strict=True))
+        assert found == Counter((i, *s[2:]) for i, (x, y) in enumerate(pairs) for s in X.substitutions(x, y))
+        for x, y in (D._apart(*p) for p in pairs):
+            if x and y:
+                assert D._read_alone(x, y, kept=0) == [s[2:] for s in X.substitutions(x, y)][::-1]
+
+
 def test_multisets(spark):
     rows = [["b", "a", "b", "c", "b"], [], ["x"], None]
     df = spark.createDataFrame([(r,) for r in rows], "t array<string>")
