@@ -182,32 +182,60 @@ DIFFERENCE = Target(lambda t: _quotient(t[..., :2]) - _quotient(t[..., 2:]), lam
 LOG_QUOTIENT = Target(lambda t: (np.log(t) * np.array([1.0, -1.0, -1.0, 1.0])).sum(axis=-1), _signs, outward=lambda x: float(np.exp(min(x, 700.0))))
 
 
+#: Counts of draws that are held at once.
+DRAWN = 1 << 19
+
+
 class Moments:
-    """A cell of clusters (rows) by columns, and ``b`` resamples of it, held as how often each row of a stratum is drawn:
+    """A cell of clusters (rows) by columns, and ``b`` resamples of it, told as how often each row of a stratum is drawn:
     totals and errors of all resamples are products of these counts with first and second moments."""
 
     def __init__(self, columns: list, strata: list, target: Target, b: int, seed: int):
         self.x, self.target, names = np.column_stack([np.asarray(c, float) for c in columns]), target, np.asarray(strata)
+        self.b, self.seed = b, seed
         self.groups = [np.flatnonzero(names == s) for s in sorted(set(names.tolist()))]
-        rng = np.random.Generator(np.random.PCG64(seed))
-        self.counts = [rng.multinomial(len(g), np.full(len(g), 1 / len(g)), size=b).astype(float) for g in self.groups]
         self.totals = self.x.sum(axis=0)
         with np.errstate(divide="ignore", invalid="ignore"):
             self.point = float(target.value(self.totals))
-            self.error = float(self.errors([np.ones((1, len(g))) for g in self.groups], self.totals[None, :])[0])
-            drawn = sum(w @ self.x[g] for w, g in zip(self.counts, self.groups, strict=True))
-            self.values, self.spreads = target.value(drawn), self.errors(self.counts, drawn)
+            drawn, moments = self.drawn(lambda size, n: np.ones((size, n)), 1)
+            self.error = float(self.errors(self.totals[None, :], moments)[0])
+            drawn, moments = self.drawn(self._draws(), b)
+            self.values, self.spreads = target.value(drawn), self.errors(drawn, moments)
             self.without = target.value(self.totals - self.x)
 
-    def errors(self, counts: list[np.ndarray], totals: np.ndarray) -> np.ndarray:
+    def _draws(self) -> Callable[[int, int], np.ndarray]:
+        rng = np.random.Generator(np.random.PCG64(self.seed))
+        return lambda size, n: rng.multinomial(n, np.full(n, 1 / n), size=size).astype(float)
+
+    @property
+    def counts(self) -> list[np.ndarray]:
+        """How often each row of a stratum is drawn, all resamples at once and drawn anew: to look at, for small cells."""
+        draw = self._draws()
+        return [draw(self.b, len(g)) for g in self.groups]
+
+    def drawn(self, draw: Callable[[int, int], np.ndarray], b: int) -> tuple[np.ndarray, list]:
+        """Totals of ``b`` resamples, and for each stratum its rows and the first and second moments of each resample. Counts are drawn and
+        multiplied some resamples at a time, in one order, so no more than ``DRAWN`` of them are held, however many rows a stratum has."""
+        k = self.x.shape[1]
+        totals, moments = np.zeros((b, k)), []
+        for g in self.groups:
+            n, x = len(g), self.x[g]
+            centre = x.mean(axis=0)
+            centred = x - centre
+            square = (centred[:, :, None] * centred[:, None, :]).reshape(n, k * k)
+            first, second, step = np.empty((b, k)), np.empty((b, k * k)), max(1, DRAWN // n)
+            for lo in range(0, b, step):
+                w = draw(min(step, b - lo), n)
+                totals[lo : lo + step] += w @ x
+                first[lo : lo + step], second[lo : lo + step] = w @ centred / n, w @ square / n
+            moments.append((n, first, second.reshape(b, k, k)))
+        return totals, moments
+
+    def errors(self, totals: np.ndarray, moments: list) -> np.ndarray:
         """Standard error of each resample: n^2 / (n - 1) times the variance of gradient . row, summed over strata."""
         slope, square = self.target.gradient(totals), np.zeros(len(totals))
-        for w, g in zip(counts, self.groups, strict=True):
-            n = len(g)
+        for n, mean, second in moments:
             if n > 1:
-                centred = self.x[g] - self.x[g].mean(axis=0)
-                mean = w @ centred / n
-                second = np.tensordot(w, centred[:, :, None] * centred[:, None, :], axes=1) / n
                 variance = np.einsum("bi,bij,bj->b", slope, second, slope) - (slope * mean).sum(axis=1) ** 2
                 square += n * n / (n - 1) * np.maximum(variance, 0)
         return np.sqrt(square)
