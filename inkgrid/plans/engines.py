@@ -36,11 +36,7 @@ def _rule(name: str, conf: str, scale: str = "1") -> str:
 def a16_lines_by_engine(spark, sf_dir):
     """Words to lines through one reader by the rules of three engines."""
     words = _words(spark, sf_dir).withColumns({"image_width": F.lit(2.0), "image_height": F.lit(2.0)})
-    found = None
-    for rule in readers.WORD_RULES:
-        lines = readers.word_lines(words, rule).withColumn("rule", F.lit(rule))
-        found = lines if found is None else found.unionByName(lines)
-    return found.select("rule", "image_id", "block", "par", "line", "text", "b.x", "b.y", F.round("b.w", 6).alias("w"), F.round("b.h", 6).alias("h"), F.round("confidence", 6).alias("confidence"))
+    return readers.word_lines_by(words, list(readers.WORD_RULES)).select("rule", "image_id", "block", "par", "line", "text", "b.x", "b.y", F.round("b.w", 6).alias("w"), F.round("b.h", 6).alias("h"), F.round("confidence", 6).alias("confidence"))
 
 
 @query("""WITH l AS (SELECT n_name AS base_id, c_custkey, c_name, c_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BOX_ARRAY = "array<double>"
@@ -115,16 +115,28 @@ def word_lines(words: DataFrame, rule: str = "tesseract") -> DataFrame:
 
     ``tesseract``: mean confidence of 100. ``doctr``: least confidence, boxes are shares of ``image_width`` and ``image_height``.
     ``windows``: no confidence."""
+    return word_lines_by(words, [rule]).drop("rule")
+
+
+def word_lines_by(words: DataFrame, rules: list[str]) -> DataFrame:
+    """``rule`` and the columns of ``word_lines`` by each of ``rules``: words are grouped once, and each line is told by every rule."""
     from ..functions import geometry as G
 
-    how, whole, shares = WORD_RULES[rule]
-    b = F.col("b")
-    if shares:
-        words = words.withColumn("b", G.box(b["x"] * F.col("image_width"), b["y"] * F.col("image_height"), b["w"] * F.col("image_width"), b["h"] * F.col("image_height")))
+    b, item = F.col("b"), ["word_num", "text", "b"]
+    if any(WORD_RULES[rule][2] for rule in rules):
+        item.append(G.box(b["x"] * F.col("image_width"), b["y"] * F.col("image_height"), b["w"] * F.col("image_width"), b["h"] * F.col("image_height")).alias("whole"))
+    key = ["image_id", "block", "par", "line"]
     kept = words.filter("trim(text) <> '' AND coalesce(conf, 0) >= 0")
-    confidence = {"mean": F.avg("conf"), "least": F.min("conf"), None: F.lit(None).cast("double")}[how] / whole
-    grouped = kept.groupBy("image_id", "block", "par", "line").agg(F.array_sort(F.collect_list(F.struct("word_num", "text", "b"))).alias("_w"), confidence.alias("confidence"))
-    return grouped.select("image_id", "block", "par", "line", F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"), G.union_box(F.transform("_w", lambda w: w["b"])).alias("b"), "confidence")
+    grouped = kept.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*item))).alias("_w"), F.avg("conf").alias("_mean"), F.min("conf").alias("_least"))
+    lines = grouped.withColumn("text", F.array_join(F.transform("_w", lambda w: w["text"]), " "))
+
+    def told(rule: str) -> Column:
+        how, whole, shares = WORD_RULES[rule]
+        confidence = {"mean": F.col("_mean"), "least": F.col("_least"), None: F.lit(None).cast("double")}[how] / whole
+        return F.struct(F.lit(rule).alias("rule"), G.union_box(F.transform("_w", lambda w: w["whole" if shares else "b"])).alias("b"), confidence.alias("confidence"))
+
+    found = lines.select(*key, "text", F.explode(F.array(*[told(rule) for rule in rules])).alias("_t"))
+    return found.select("_t.rule", *key, "text", "_t.b", "_t.confidence")
 
 
 def sitemap(spark: SparkSession, path: str) -> DataFrame:

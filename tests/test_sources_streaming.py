@@ -142,3 +142,18 @@ def test_attempts(spark):
         return df.select(R.attempt_outcome(F.col("a"))).first()[0]
 
     assert [outcome(("error", True), ("ok", False)), outcome(("error", True), ("error", True)), outcome(("error", True), ("error", False)), outcome(("timeout", None)), outcome()] == ["ok", "resource_oom", "error", "timeout", "error"]
+
+
+def test_all_word_rules_in_one_pass(spark):
+    """Words are shuffled once for the rules of all engines, and each gives what it gives alone."""
+    from inkgrid.functions.geometry import box
+    from inkgrid.sources import readers
+
+    words = spark.range(60).selectExpr("id % 3 AS image_id", "id % 2 AS block", "0 AS par", "id % 4 AS line", "id AS word_num", "IF(id % 5 = 0, ' ', concat('w', id)) AS text", "double(id % 7 - 1) AS conf", "id AS i", "2.0D AS image_width", "3.0D AS image_height")
+    words = words.withColumn("b", box(F.col("i"), F.col("i") * 2, F.lit(5), F.lit(9)))
+    rules = list(readers.WORD_RULES)
+    found = readers.word_lines_by(words, rules)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    for rule in rules:
+        one = readers.word_lines(words, rule)
+        assert sorted(map(str, found.filter(F.col("rule") == rule).drop("rule").collect())) == sorted(map(str, one.collect()))
