@@ -111,6 +111,18 @@ def merged_lines(boxes: DataFrame, key: list[str], share: float = 0.5) -> DataFr
     return grouped.groupBy(*key, "group").agg(F.min("_y0").alias("y0"), F.max("_y1").alias("y1"), F.count("*").alias("members"))
 
 
+def merged_in(boxes: Column, share: float = 0.5) -> Column:
+    """Number of lines that ``merged_lines`` makes of an array of boxes, by a fold over them."""
+    rows = F.array_sort(F.transform(F.filter(boxes, lambda b: b["h"] > 0), lambda b: F.struct(b["y"].alias("y0"), G.bottom(b).alias("y1"), b["x"], b["w"])))
+    none = F.lit(None).cast("double")
+
+    def step(s: Column, r: Column) -> Column:
+        joins = F.coalesce(F.least(s["y1"], r["y1"]) - F.greatest(s["y0"], r["y0"]) > share * F.least(s["y1"] - s["y0"], r["y1"] - r["y0"]), F.lit(False)) & (s["lines"] > 0)
+        return F.struct(F.when(joins, s["lines"]).otherwise(s["lines"] + 1).alias("lines"), F.when(joins, s["y0"]).otherwise(r["y0"]).alias("y0"), F.when(joins, F.greatest(s["y1"], r["y1"])).otherwise(r["y1"]).alias("y1"))
+
+    return F.aggregate(rows, F.struct(F.lit(0).alias("lines"), none.alias("y0"), none.alias("y1")), step)["lines"]
+
+
 def lines_of_characters(chars: DataFrame, key: list[str], order: str) -> DataFrame:
     """key, line, text, b, chars, violations of characters (``ch``, ``b``) in logical order: a line ends where the centre of a character
     leaves that of the line's first one by over half the smaller height. A blank belongs to the line that was begun last if

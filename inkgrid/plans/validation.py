@@ -67,11 +67,13 @@ wrapped AS (SELECT image_id, merged = n AS apart, violations = 0 AS in_order, or
 
 
 def _wrapped(spark, sf_dir):
-    gt = gt_lines(spark, sf_dir)
-    merged = ordering.merged_lines(gt, ["image_id"]).groupBy("image_id").agg((F.count("*") == F.sum("members")).alias("apart"))
-    late = ordering.order_violations(gt.select("image_id", "ln", F.col("b.x").alias("x")), ["image_id"], "ln", "x")
-    stack = ordering.stacked_properly(gt.select("image_id", F.col("ln").alias("line"), "b"), ["image_id"])
-    rows = merged.join(late, "image_id").join(stack, "image_id").select("image_id", "apart", (F.col("violations") == 0).alias("in_order"), F.col("ordered").alias("stacked"))
+    # all three are told within the row of an image: its lines are grouped where the window that numbers them has put them
+    lines = gt_lines(spark, sf_dir).filter("image_id IS NOT NULL").groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ln", "b"))).alias("lines"))
+    boxes = lines.select("image_id", F.transform("lines", lambda v: v["b"]).alias("b")).withColumn("n", F.size(F.filter("b", lambda b: b["h"] > 0))).filter("n > 0")
+    steps = F.zip_with(F.slice("b", F.lit(1), F.size("b") - 1), F.slice("b", F.lit(2), F.size("b")), lambda b, n: F.struct(b.alias("b"), n.alias("n")))
+    none = lambda c, bad: F.size(F.filter(c, bad)) == 0
+    unstacked = lambda s: ~((s["n"]["y"] > s["b"]["y"]) & (G.bottom(s["b"]) - s["n"]["y"] <= 0.5 * F.least(s["b"]["h"], s["n"]["h"])))
+    rows = boxes.withColumn("s", steps).select("image_id", (ordering.merged_in(F.col("b")) == F.col("n")).alias("apart"), none("s", lambda s: s["n"]["x"] < s["b"]["x"]).alias("in_order"), none("s", unstacked).alias("stacked"))
     return rows.withColumn("passed", F.col("apart") & F.col("in_order") & F.col("stacked"))
 
 

@@ -94,3 +94,19 @@ def test_rows_are_not_shuffled_apart(spark, name, most):
     """Characters and ink columns are never rows on their way."""
     plan = plans.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") <= most
+
+
+def test_wrapping_is_told_within_an_image(spark, tmp_path):
+    """V04 in one pass over the lines, equal to the operators over rows."""
+    from inkgrid.plans.standin import gt_lines
+
+    rows = [(k // 5, k % 5 + 1, k * 37 % 101, k * 53 % 19, float(k % 7 + 1), float(k), "R", "O") for k in range(120)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string").selectExpr("*", "DATE'1995-01-01' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = plans.QUERIES["v04_wrapping"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    gt = gt_lines(spark, str(tmp_path))
+    merged = {r[0]: r[1] for r in ordering.merged_lines(gt, ["image_id"]).groupBy("image_id").agg(F.count("*") == F.sum("members")).collect()}
+    late = {r[0]: r[1] == 0 for r in ordering.order_violations(gt.select("image_id", "ln", F.col("b.x").alias("x")), ["image_id"], "ln", "x").collect()}
+    stack = {r[0]: r[1] for r in ordering.stacked_properly(gt.select("image_id", F.col("ln").alias("line"), "b"), ["image_id"]).collect()}
+    got = {r["image_id"]: (r["apart"], r["in_order"], r["stacked"]) for r in found.collect()}
+    assert got == {k: (merged[k], late[k], stack[k]) for k in merged} and len({a for a, _, _ in got.values()}) == 2
