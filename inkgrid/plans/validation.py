@@ -90,10 +90,11 @@ boxed AS (SELECT g.image_id, bool_and(w > 0 AND h > 0) AS positive, bool_and(x >
 def _boxed(spark, sf_dir):
     gt = gt_lines(spark, sf_dir).select("image_id", "ln", "b")
     b = F.col("b")
-    other = gt.select("image_id", F.col("ln").alias("other"), F.col("b").alias("a"))
-    worst = gt.join(other, "image_id").filter("ln < other").groupBy("image_id").agg(F.max(G.overlap_min(F.col("a"), b)).alias("worst"))
-    parts = gt.groupBy("image_id").agg(F.bool_and((b["w"] > 0) & (b["h"] > 0)).alias("positive"), F.bool_and((b["x"] >= 0) & (b["y"] >= 0) & (G.right(b) <= 120)).alias("inside"))
-    rows = parts.join(worst, "image_id", "left").select("image_id", "positive", "inside", (F.coalesce("worst", F.lit(0.0)) <= 0.5).alias("disjoint"))
+    parts = gt.groupBy("image_id").agg(F.bool_and((b["w"] > 0) & (b["h"] > 0)).alias("positive"), F.bool_and((b["x"] >= 0) & (b["y"] >= 0) & (G.right(b) <= 120)).alias("inside"), F.collect_list("b").alias("all"))
+    # every pair of boxes of an image, within its row
+    pairs = F.flatten(F.transform("all", lambda v, k: F.transform(F.slice("all", k + 2, F.size("all")), lambda w: G.overlap_min(w, v))))
+    worst = F.when(F.col("image_id").isNotNull(), F.array_max(pairs))  # lines without an image meet no others
+    rows = parts.select("image_id", "positive", "inside", (F.coalesce(worst, F.lit(0.0)) <= 0.5).alias("disjoint"))
     return rows.withColumn("passed", F.col("positive") & F.col("inside") & F.col("disjoint"))
 
 

@@ -110,3 +110,17 @@ def test_wrapping_is_told_within_an_image(spark, tmp_path):
     stack = {r[0]: r[1] for r in ordering.stacked_properly(gt.select("image_id", F.col("ln").alias("line"), "b"), ["image_id"]).collect()}
     got = {r["image_id"]: (r["apart"], r["in_order"], r["stacked"]) for r in found.collect()}
     assert got == {k: (merged[k], late[k], stack[k]) for k in merged} and len({a for a, _, _ in got.values()}) == 2
+
+
+def test_pairs_of_boxes_are_told_within_an_image(spark, tmp_path):
+    rows = [(k // 4 if k < 40 else None, k % 4 + 1, k * 37 % 101, k * 53 % 19, float(k % 7 + 1), float(k), "R", "O") for k in range(44)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string").selectExpr("*", "DATE'1995-01-01' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = plans.QUERIES["v05_boxes"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    lines = {}
+    for image, n, part, supp, quantity, *_ in rows:
+        lines.setdefault(image, []).append((part % 40, 30 * n - (24 if part % 3 == 0 else 0), 20 + int(quantity)))
+    apart = lambda a, b: max(min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), 0) * max(20 - abs(a[1] - b[1]), 0) <= 0.5 * 20 * min(a[2], b[2])
+    wanted = {i: i is None or all(apart(a, b) for k, a in enumerate(v) for b in v[:k]) for i, v in lines.items()}
+    assert {r["image_id"]: r["disjoint"] for r in found.collect()} == wanted and len(set(wanted.values())) == 2
