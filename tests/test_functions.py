@@ -231,3 +231,18 @@ def test_band_place_and_control():
     assert found == {"x": 20, "y": 20, "w": 40, "h": 20, "rgb": [120, 80, 40]}
     assert K.control_behind(image, (5, 5, 5, 5), near=2, far=8, tolerance=5) is None
     assert K.control_behind(image, (15, 15, 20, 20), near=2, far=20, tolerance=5) is None, "not plain"
+
+
+def test_normal_forms_hold_few_texts_at_once():
+    """Of a batch of long texts only some are Python strings at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([None, "", *[f"{k}’ café  " * 400 for k in range(1500)]])
+    tracemalloc.start()
+    found = X._n2.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist()[:3] == [None, "", X.normal_form(texts[2].as_py()).casefold()] and len(found) == len(texts)
+    assert peak < 4e6  # all texts as strings are 20 MB
