@@ -33,11 +33,18 @@ _NORMAL = NormalDist()
 # ---------------------------------------------------------------- estimates in SQL
 
 
+def _with_totals(df: DataFrame, cell: list[str], totals: dict[str, Column]) -> DataFrame:
+    """Adds aggregates of the whole cell, by a join with a row a cell: no task holds a cell, as that of a window would."""
+    keys = [f"_c{i}" for i in range(len(cell))]
+    whole = df.groupBy(*[F.col(c).alias(k) for c, k in zip(cell, keys, strict=True)]).agg(*[a.alias(n) for n, a in totals.items()])
+    same = [df[c].eqNullSafe(F.col(k)) for c, k in zip(cell, keys, strict=True)]
+    return df.join(whole, same).drop(*keys)
+
+
 def ratio_with_error(df: DataFrame, cell: list[str], stratum: str, num: str, den: str) -> DataFrame:
     """cell, ratio, se: sum over sum, with the stratified with-replacement error of its linear form."""
-    whole = Window.partitionBy(*cell)
-    total = F.sum(den).over(whole)
-    rows = df.withColumn("_r", F.sum(num).over(whole) / total).withColumn("_u", (F.col(num) - F.col("_r") * F.col(den)) / total)
+    rows = _with_totals(df, cell, {"_t": F.sum(den), "_r": F.sum(num) / F.sum(den)})
+    rows = rows.withColumn("_u", (F.col(num) - F.col("_r") * F.col(den)) / F.col("_t"))
     parts = rows.groupBy(*cell, stratum).agg(F.first("_r").alias("_r"), F.count("*").alias("_n"), F.var_pop("_u").alias("_v"))
     share = F.when(F.col("_n") >= 2, F.col("_n") * F.col("_n") / (F.col("_n") - 1) * F.col("_v")).otherwise(0.0)
     return parts.groupBy(*cell).agg(F.first("_r").alias("ratio"), F.sqrt(F.sum(share)).alias("se"))
