@@ -33,6 +33,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that one task of a shuffle by key should hold, and as many tasks as are always few enough to be left as they are.
+TASK_ROWS, FEW = 250_000, 16
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """The same rows; a large table is dealt by ``key`` over tasks of about ``TASK_ROWS`` rows. A shuffle that is left to itself is sized by its compressed
+    bytes, of which narrow rows have so few that millions of them, and all that is made of them, meet in one task. Counts the rows of ``df``: a
+    table just read tells its own number."""
+    parts = -(-df.count() // TASK_ROWS)
+    return df.repartition(parts, *key) if parts > FEW else df
+
+
 def discarded(df: DataFrame) -> None:
     """Deletes the table of ``written`` that ``df`` reads, when nothing will read it any more. No other table is touched."""
     sc = df.sparkSession.sparkContext

@@ -6,11 +6,11 @@ some missing. ``GT`` and ``PRED`` are the same in SQL, for use as common table e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box
-from ..operators.tables import read
+from ..operators.tables import read, spread
 
 GT = """gt AS (SELECT l_orderkey AS image_id, ln, (l_partkey % 40)::DOUBLE AS x, (30 * ln - CASE WHEN l_partkey % 3 = 0 THEN 24 ELSE 0 END)::DOUBLE AS y,
   (20 + l_quantity::BIGINT)::DOUBLE AS w, 20::DOUBLE AS h, l_returnflag AS engine, l_linestatus AS variant, year(l_shipdate)::INT AS theme, l_partkey, l_suppkey
@@ -24,18 +24,22 @@ OVERLAP = f"({INTER} / least(a.w * a.h, b.w * b.h))"
 
 
 def gt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, ln, b, engine, variant, theme and the part and supplier the box comes from."""
+    """image_id, ln, b, engine, variant, theme and the part and supplier the box comes from. Lines of an image are in one
+    task, of about as many lines however large the table is."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    rows = read(spark, sf_dir, "lineitem").withColumn("ln", F.row_number().over(order))
+    rows = spread(read(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("ln", F.row_number().over(order))
     b = box(F.col("l_partkey") % 40, 30 * F.col("ln") - F.when(F.col("l_partkey") % 3 == 0, 24).otherwise(0), 20 + F.col("l_quantity").cast("bigint"), F.lit(20))
     return rows.select(F.col("l_orderkey").alias("image_id"), "ln", b.alias("b"), F.col("l_returnflag").alias("engine"), F.col("l_linestatus").alias("variant"), F.year("l_shipdate").alias("theme"), "l_partkey", "l_suppkey")
 
 
+def pred_box(g: Column) -> Column:
+    """The box of a line of truth as it is predicted."""
+    return box(g["x"] + F.col("l_suppkey") % 7, g["y"] + F.col("l_partkey") % 5, g["w"] - F.col("l_suppkey") % 3, g["h"])
+
+
 def pred_lines(gt: DataFrame) -> DataFrame:
     """image_id, p, b and the dimensions."""
-    g = F.col("b")
-    moved = box(g["x"] + F.col("l_suppkey") % 7, g["y"] + F.col("l_partkey") % 5, g["w"] - F.col("l_suppkey") % 3, g["h"])
-    return gt.filter("l_partkey % 11 <> 0").select("image_id", F.col("ln").alias("p"), moved.alias("b"), "engine", "variant", "theme")
+    return gt.filter("l_partkey % 11 <> 0").select("image_id", F.col("ln").alias("p"), pred_box(F.col("b")).alias("b"), "engine", "variant", "theme")
 
 
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
