@@ -16,9 +16,12 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import written
+
 MESSAGE = "session string, seq long, kind string, region string, payload string"
 STATE = "session string, region string, status string, text string, dx double, dy double, style string, overridden boolean"
 _STYLE = ("font_family", "font_weight", "font_size", "letter_spacing", "text_color", "alignment")
@@ -177,19 +180,78 @@ def debounced(events: DataFrame, key: list[str], at: str, quiet: str = "450 mill
 def lines_of_chunks(chunks: DataFrame, key: list[str], order: list[str], text: str) -> DataFrame:
     """key, line, content: lines of a text that came in chunks cut anywhere. A last line without a newline counts, blank ones do not.
 
-    A chunk is parted at its newlines; the piece behind the last one is carried to the next chunk, however many chunks have
-    none. The newlines before a chunk number its first piece: a running total spread over ranges of chunks, so a stream in one key is
-    never in one row or one task. Pieces of one number are one line, which is as long as it is. Lines are numbered in the same way."""
-    from ..operators.scans import running_totals
-
-    rows = chunks.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(*key, *order, F.col(text).alias("_t"))
-    at = running_totals(rows, key, [F.col(c) for c in order], {"_first": (F.length("_t") - F.length(F.replace(F.col("_t"), F.lit("\n"), F.lit("")))).cast("long")})
-    pieces = at.select(*key, *order, "_first", F.posexplode(F.split("_t", "\n", -1)).alias("_i", "_piece"))
-    numbered = pieces.filter("_piece <> ''").withColumn("_line", F.col("_first") + F.col("_i"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_i", "_piece"))), lambda x: x["_piece"]), "")
-    lines = numbered.groupBy(*key, "_line").agg(joined.alias("content")).filter(F.trim("content") != "")
-    placed = running_totals(lines, key, [F.col("_line")], {"line": F.lit(1).cast("long")})
-    return placed.select(*key, F.col("line").cast("int").alias("line"), "content")
+    Chunks are dealt by ranges of (key, order), so a stream in one key is never in one task, and cut into lines range by range: the text is
+    shuffled once and written once. Only what lies before the first newline and behind the last one of a key in a range is put together with
+    its neighbours, two pieces a range, and numbered with the count of the lines between; a line is as long as it is."""
+    spark = chunks.sparkSession
+    rows = chunks.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(text).alias("_t"))
+    keys, places = [f"_k{i}" for i in range(len(key))], [f"_o{i}" for i in range(len(order))]
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, *places).sortWithinPartitions(*keys, *places)
+    kinds = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    pieces = written(dealt.select(*keys, F.spark_partition_id().alias("_part"), "_t").mapInArrow(_cut_to_lines, f"{kinds}_part int, _kind int, _n long, content string"))
+    tails = Window.partitionBy(*keys).orderBy("_part", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    ends = pieces.filter(F.col("_kind") > INNER).withColumn("_group", F.sum((F.col("_kind") == TAIL).cast("long")).over(tails))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", "_kind", "content"))), lambda x: x["content"]), "")
+    across = ends.groupBy(*keys, "_group").agg(joined.alias("content"), F.max(F.when(F.col("_kind") == TAIL, F.col("_part"))).alias("_part"), F.sum("_n").alias("_n")).withColumn("_counts", (F.trim("content") != "").cast("long"))
+    upto = Window.partitionBy(*keys).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = written(across.withColumn("_first", F.coalesce(F.sum(F.col("_n") + F.col("_counts")).over(upto), F.lit(0))))
+    named = [F.col(k).alias(name) for k, name in zip(keys, key, strict=True)]
+    starts = numbered.filter("_part IS NOT NULL").select(*[F.col(k).alias(f"_s{k}") for k in keys], F.col("_part").alias("_s_part"), "_first")
+    same = F.col("_part") == F.col("_s_part")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_s{k}"))
+    inner = pieces.filter(F.col("_kind") == INNER).join(starts, same).select(*named, (F.col("_first") + F.col("_n")).cast("int").alias("line"), "content")
+    # a line that goes on behind a range comes after the lines between in the range where it begins
+    return inner.unionByName(numbered.filter("_counts = 1").select(*named, (F.col("_first") + F.col("_n")).cast("int").alias("line"), "content"))
+
+
+#: A line that begins and ends within a range, what is before its first newline (or all, if there is none), and what is behind its last one.
+INNER, HEAD, TAIL = 0, 1, 2
+
+
+def _cut_to_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a range in order (key columns, _part, _t) -> key columns, _part, _kind, _n, content. ``_n`` numbers the lines within that are not blank; a
+    tail has their number. Holds one batch and the line that is open."""
+    at, part, cut, n, held, schema = None, 0, False, 0, [], None
+    out: list[tuple] = []
+
+    def table() -> pa.RecordBatch:
+        rows = list(zip(*out, strict=True)) or [()] * 5
+        names = list(zip(*rows[0], strict=True)) or [()] * (len(schema) - 2)
+        columns = [*names, *rows[1:]]
+        types = [*[f.type for f in schema][:-2], pa.int32(), pa.int32(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*schema.names[:-2], "_part", "_kind", "_n", "content"])
+
+    def end() -> None:
+        if at is not None:
+            out.append((at, part, TAIL if cut else HEAD, n, "".join(held)))
+
+    for batch in batches:
+        schema = batch.schema
+        columns = [c.to_pylist() for c in batch.columns]
+        for name, p, t in zip(zip(*columns[:-2], strict=True) if len(columns) > 2 else [()] * len(batch), columns[-2], columns[-1], strict=True):
+            if name != at:
+                end()
+                at, part, cut, n, held = name, p, False, 0, []
+            if "\n" not in t:
+                held.append(t)
+                continue
+            first, *lines, last = t.split("\n")
+            held.append(first)
+            lines.insert(0, "".join(held))
+            if not cut:
+                out.append((at, part, HEAD, 0, lines.pop(0)))
+                cut = True
+            for line in lines:
+                if line.strip(" "):
+                    out.append((at, part, INNER, n, line))
+                    n += 1
+            held = [last]
+        yield table()
+        out.clear()
+    if schema is not None:
+        end()
+        yield table()
 
 
 def attempt_outcome(attempts):
