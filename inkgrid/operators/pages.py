@@ -19,6 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import spread
+
+#: Pages whose nodes one task should hold.
+TASK_PAGES = 1000
 #: Names fixed by the HTML standard.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 RAW = ["script", "style", "title", "textarea"]
@@ -87,7 +91,8 @@ def _tree(names: pd.Series) -> pd.DataFrame:
 def page_nodes(pages: DataFrame) -> DataFrame:
     """page_id, node, name ("#text" for text), parent, depth, stop, token: a row for each element and text, in page order.
 
-    ``node`` is the place of the token in the page, so comments, declarations and end tags leave gaps."""
+    ``node`` is the place of the token in the page, so comments, declarations and end tags leave gaps. The nodes of a large table are dealt
+    over tasks of as many pages each: what is told page by page shuffles none again."""
     tokens = F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0))
     names = F.transform("tokens", lambda t: F.lower(F.regexp_extract(t, NAME, 1)))
     cut = pages.filter("html IS NOT NULL").select("page_id", tokens.alias("tokens")).withColumn("names", names)
@@ -95,7 +100,8 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     placed = cut.withColumn("tree", _tree("names")).select("page_id", F.explode(F.arrays_zip("tokens", "names", "tree.parent", "tree.depth", "tree.stop", F.sequence(F.lit(0), F.size("tokens") - 1).alias("node"))).alias("n"))
     flat = placed.select("page_id", F.col("n.node").alias("node"), F.col("n.names").alias("name"), F.col("n.parent").alias("parent"), F.col("n.depth").alias("depth"), F.col("n.stop").alias("stop"), F.col("n.tokens").alias("token"))
     mark = F.col("token").rlike(r"^<[!?]") | F.col("name").startswith("/")
-    return flat.filter(~mark).withColumn("name", F.when(F.col("name") == "", "#text").otherwise(F.col("name")))
+    nodes = flat.filter(~mark).withColumn("name", F.when(F.col("name") == "", "#text").otherwise(F.col("name")))
+    return spread(nodes, "page_id", rows=TASK_PAGES, of=pages)
 
 
 def attribute(token: Column, name: str) -> Column:
@@ -114,17 +120,18 @@ def hides(name: Column, token: Column) -> Column:
 
 def covered(nodes: DataFrame, flags: dict[str, Column]) -> DataFrame:
     """Adds, for each flag of elements, how many elements with it lie around a node: a running sum over starts and ends."""
-    own = {f"_{c}": F.when(F.coalesce(flag, F.lit(False)), 1).otherwise(0) for c, flag in flags.items()}
-    marked = nodes.withColumns(own)
-    starts = marked.withColumns({"_at": F.col("node"), "_order": F.lit(1)})
-    # an element ends before the node at its stop; what has no content covers nothing
-    ends = marked.filter((F.col("stop") > F.col("node")) & reduce(lambda a, b: a | b, [F.col(c) == 1 for c in own]))
-    ends = ends.withColumns({"_at": F.col("stop"), "_order": F.lit(0), **{c: -F.col(c) for c in own}})
-    starts = starts.withColumns({f"{c}_open": F.when(F.col("stop") > F.col("node"), F.col(c)).otherwise(0) for c in own})
-    ends = ends.withColumns({f"{c}_open": F.col(c) for c in own})
-    before = Window.partitionBy("page_id").orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, -1)
-    summed = starts.unionByName(ends).withColumns({c: F.coalesce(F.sum(f"_{c}_open").over(before), F.lit(0)) for c in flags})
-    return summed.filter("_order = 1").select(*nodes.columns, *flags)
+    own = {c: F.when(F.coalesce(flag, F.lit(False)), 1).otherwise(0) for c, flag in flags.items()}
+    opens = F.col("stop") > F.col("node")  # what has no content covers nothing
+    start = F.struct(F.col("node").alias("at"), F.lit(1).alias("order"), *[F.when(opens, F.col(f"_{c}")).otherwise(0).alias(c) for c in own])
+    # an element ends before the node at its stop
+    end = F.struct(F.col("stop").alias("at"), F.lit(0).alias("order"), *[(-F.col(f"_{c}")).alias(c) for c in own])
+    marks = reduce(lambda a, b: a | b, [F.col(f"_{c}") == 1 for c in own])
+    # both are made of the row of the node, so pages are cut into tokens once; an end carries no text
+    events = nodes.withColumns({f"_{c}": v for c, v in own.items()}).withColumn("_e", F.explode(F.when(opens & marks, F.array(start, end)).otherwise(F.array(start))))
+    kept = [F.when(F.col("_e.order") == 1, F.col("token")).alias("token") if c == "token" else F.col(c) for c in nodes.columns]
+    before = Window.partitionBy("page_id").orderBy("_e.at", "_e.order").rowsBetween(Window.unboundedPreceding, -1)
+    summed = events.select(*kept, "_e").withColumns({c: F.coalesce(F.sum(f"_e.{c}").over(before), F.lit(0)) for c in flags})
+    return summed.filter("_e.order = 1").select(*nodes.columns, *flags)
 
 
 def visible_text(token: Column) -> Column:

@@ -37,11 +37,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TASK_ROWS, FEW = 250_000, 16
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """The same rows; a large table is dealt by ``key`` over tasks of about ``TASK_ROWS`` rows. A shuffle that is left to itself is sized by its compressed
-    bytes, of which narrow rows have so few that millions of them, and all that is made of them, meet in one task. Counts the rows of ``df``: a
-    table just read tells its own number."""
-    parts = -(-df.count() // TASK_ROWS)
+def spread(df: DataFrame, *key: str, rows: int | None = None, of: DataFrame | None = None) -> DataFrame:
+    """The same rows; a large table is dealt by ``key`` over tasks of about ``rows`` rows (``TASK_ROWS``). A shuffle that is left to itself is sized by its compressed
+    bytes, of which narrow rows have so few that millions of them, and all that is made of them, meet in one task. Counts the rows of ``df``, or
+    of the table ``of`` that it is made from: one just read tells its own number."""
+    parts = -(-(of or df).count() // (rows or TASK_ROWS))
     return df.repartition(parts, *key) if parts > FEW else df
 
 

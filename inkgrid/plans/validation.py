@@ -43,9 +43,11 @@ def _faithful(spark, sf_dir):
     nodes = pages.page_nodes(read(spark, sf_dir, "pages"))
     name, token = F.col("name"), F.col("token")
     inside = pages.covered(nodes, {"n_hiding": (name != "#text") & pages.hides(name, token), "n_tagged": name.isin(TAGGED)})
-    shown = inside.filter("name = '#text' AND n_hiding = 0").select("page_id", "n_tagged", F.explode(F.filter(F.split(pages.visible_text(token), r"\s+"), lambda t: t != "")).alias("t"))
-    bags = shown.groupBy("page_id", "t").agg(F.count("*").alias("n"), F.count_if(F.col("n_tagged") > 0).alias("m"))
-    return bags.groupBy("page_id").agg(F.sum("n").alias("tokens"), F.sum("m").alias("tagged_tokens"), F.sum(F.col("n") - F.col("m")).alias("missing"))
+    # a token that occurs n times, m of them within tagged elements, is missing n - m times: over all tokens, those outside
+    words = F.size(F.filter(F.split(pages.visible_text(token), r"\s+"), lambda t: t != "")).cast("long")
+    shown = inside.filter("name = '#text' AND n_hiding = 0").select("page_id", "n_tagged", words.alias("n")).filter("n > 0")
+    found = shown.groupBy("page_id").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("n_tagged") > 0, F.col("n")).otherwise(0)).alias("tagged_tokens"))
+    return found.withColumn("missing", F.col("tokens") - F.col("tagged_tokens"))
 
 
 @query(f"""{_FIDELITY} SELECT *, tokens = tagged_tokens AS same, missing = 0 AS none_missing, tokens > 0 AS some, tokens = tagged_tokens AND missing = 0 AND tokens > 0 AS passed FROM faithful""")
