@@ -213,6 +213,35 @@ def touching(regions: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
     return regions.join(lines, key).withColumn("area", G.intersection(F.col("a"), F.col("b"))).filter("area > 0")
 
 
+def pixel_owners_in(pixels: Column, lines: Column, pad: int, at_once: int = 64) -> Column:
+    """``pixel_owners`` within the row of an image: array of struct<x, y, line> from arrays of struct<x, y> and of struct<line, b>. A
+    pixel that no padded box holds is left out. Pixels are taken from the top ``at_once`` by ``at_once``, with the lines at their height only."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), 0)  # noqa: E731 - a variable of a lambda is computed once
+
+    def bounds(line: Column) -> Column:
+        b = line["b"]
+        return F.struct(line["line"].alias("line"), F.floor(b["x"]).alias("x0"), F.ceil(G.right(b)).alias("x1"), F.floor(b["y"]).alias("y0"), F.ceil(G.bottom(b)).alias("y1"))
+
+    def held(p: Column, e: Column, by: int) -> Column:
+        return (p["y"] >= e["y0"] - by) & (p["y"] < e["y1"] + by) & (p["x"] >= e["x0"] - by) & (p["x"] < e["x1"] + by)
+
+    def owner(p: Column, near: Column) -> Column:
+        return F.array_max(F.transform(F.filter(near, lambda e: held(p, e, pad)), lambda e: F.struct(held(p, e, 0).alias("own"), e["line"].alias("line"))))["line"]
+
+    def some(part: Column, edges: Column) -> Column:
+        near = F.filter(edges, lambda e: (F.get(part, F.size(part) - 1)["y"] >= e["y0"] - pad) & (F.get(part, 0)["y"] < e["y1"] + pad))
+        return once(near, lambda near: F.transform(part, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), owner(p, near).alias("line"))))
+
+    def owned(edges: Column, down: Column) -> Column:
+        apart = F.filter(down, lambda p, n: (n == 0) | (F.get(down, n - 1) != p))
+        parts = lambda px: F.transform(F.sequence(F.lit(0), F.greatest(F.size(px) - 1, F.lit(0)), F.lit(at_once)), lambda n: F.slice(px, n + 1, at_once))
+        found = once(apart, lambda px: F.flatten(F.transform(parts(px), lambda part: some(part, edges))))
+        return F.filter(found, lambda o: o["line"].isNotNull())
+
+    whole = F.filter(F.transform(pixels, lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    return once(F.transform(lines, bounds), lambda edges: once(F.sort_array(whole), lambda down: owned(edges, down)))
+
+
 def pixel_owners(pixels: DataFrame, lines: DataFrame, key: list[str], pad: int) -> DataFrame:
     """Line that owns each ink pixel (key, x, y): of the lines whose padded box holds it, one whose own box does,
     and of those the last. ``lines`` has the key, ``line`` and ``b``."""
